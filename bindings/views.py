@@ -184,13 +184,26 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """The named base table or view as a DataFrame."""
+    """The named base table or view as a DataFrame.
+
+    The wide union behind ``v_resume_lines`` is written once per session, as
+    most of its readers scan it several times.
+    """
     if name in BASE:
         return table(spark, sf, name)
     if name == "v_li":
         return _li(spark, sf)
     if name == "v_pairs":
         return _pairs(spark, sf)
+    if name == "v_resume_lines":
+        key = (spark.sparkContext.applicationId, sf, name)
+        if key not in _MEMO:
+            _MEMO[key] = cut(_plain_view(spark, sf, name))
+        return _MEMO[key]
+    return _plain_view(spark, sf, name)
+
+
+def _plain_view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     for d in deps(name):
         view(spark, sf, d).createOrReplaceTempView(f"quire_{d}")
     known = set(deps(name))

@@ -365,12 +365,13 @@ def near_duplicate_lines(
         if allow_equal:
             prev = F.col("__p.__y")
         else:
-            d1 = d1.withColumn("__other", F.when(F.col("__p.__t") != F.col("__t"), F.col("__p.__y")))
+            d1 = cut(d1).withColumn("__other", F.when(F.col("__p.__t") != F.col("__t"), F.col("__p.__y")))
             d1 = ordered_scan(d1, [doc, "prefix"], at, blk, [last_seen("__prev", "__other")])
             prev = F.col("__prev")
         near = F.coalesce(F.round(F.col("__y") - prev, 9) <= dy, F.lit(False))
         return d1.groupBy(doc, "prefix").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(near).alias("n_flagged"))
 
+    d = cut(d)
     every = flagged(d).filter("n_flagged > 0")
     hard = flagged(d.filter(F.length("__t") >= hard_len)).filter("n_flagged > 0").select(doc, "prefix", F.lit(True).alias("hard"))
     return every.join(hard, [doc, "prefix"], "left").withColumn("hard", F.coalesce("hard", F.lit(False)))
@@ -410,7 +411,7 @@ def section_diff(src: DataFrame, out: DataFrame, doc: str = "doc_id", order: str
     A later section of the same name counts as part of its own run only.
     """
     def named(df):
-        d = section_lines(df, doc, order, line, block)
+        d = cut(section_lines(df, doc, order, line, block))
         parts = None
         for name, aliases in DIFF_SECTIONS.items():
             starts = d.filter(F.col("__head").isin(*aliases)).groupBy(doc).agg(F.min(F.struct(order, "__head")).alias("__st"))
@@ -419,6 +420,7 @@ def section_diff(src: DataFrame, out: DataFrame, doc: str = "doc_id", order: str
             body = runs.join(stop, doc, "left").filter(F.col("__end").isNull() | (F.col(order) < F.col("__end")))
             one = body.select(doc, F.lit(name).alias("section"), order, t.strip(F.col(line)).alias("txt"))
             parts = one if parts is None else parts.unionByName(one)
+        parts = cut(parts)
         live = parts.filter("txt <> ''").groupBy(doc, "section").agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
         inside = parts.join(live, [doc, "section"]).filter(F.col(order).between(F.col("__lo"), F.col("__hi")))
         return ordered_scan(inside.select(doc, "section", order, "txt"), [doc, "section"], [order], [F.floor(F.col(order) / block)], [rank_in("n")]).drop(order)
@@ -453,12 +455,13 @@ def experience_diff(src: DataFrame, out: DataFrame, doc: str = "doc_id", order:
     """Bullet diff of roles paired by position; roles beyond the shorter list are left out."""
     a = cut(experience_bullets(src, False, doc, order, line))
     b = cut(experience_bullets(out, True, doc, order, line))
-    head = lambda df: (
-        section_lines(df, doc, order, line).filter(
-            F.col("__sec").isin("experience", "professional experience") & F.col("__head").isNull()
-            & t.strip(F.col(line)).contains("|") & ~t.strip(F.col(line)).rlike("^[-•]"))
-        .groupBy(doc).agg(F.count(F.lit(1)).alias("roles"))
-    )
+
+    def head(df: DataFrame) -> DataFrame:
+        s = t.strip(F.col(line))
+        d = section_lines(df, doc, order, line)
+        role = F.col("__sec").isin("experience", "professional experience") & F.col("__head").isNull() & s.contains("|") & ~s.rlike("^[-•]")
+        return d.filter(role).groupBy(doc).agg(F.count(F.lit(1)).alias("roles"))
+
     both = cut(head(src).join(head(out).withColumnRenamed("roles", "r2"), doc).select(doc, F.least("roles", "r2").alias("roles")))
     cap = lambda df: df.join(both, doc).filter("role <= roles").drop("roles")
     return diff_bullets(cap(a), cap(b), [doc, "role"])
