@@ -58,7 +58,7 @@ def _(s, sf):
 
 
 _RAW = """SELECT position_id, CASE WHEN position_id % 23 = 0 THEN '[1]' WHEN position_id % 29 = 0 THEN '{"scores": 3}' ELSE concat('{"scores":{"truthfulness":{"score":', CAST(truthfulness AS STRING), '}',
-CASE WHEN position_id % 5 = 0 THEN ',"role_fit":7' WHEN position_id % 7 = 0 THEN '' ELSE concat(',"role_fit":{"score":"', CAST(role_fit AS STRING), '"}') END,
+CASE WHEN position_id % 5 = 0 THEN ',"role_fit":7' WHEN position_id % 7 = 0 THEN '' WHEN position_id % 3 = 0 THEN concat(',"role_fit":{"score":"', CAST(role_fit AS STRING), '"}') ELSE concat(',"role_fit":{"score":', CAST(role_fit AS STRING), '}') END,
 CASE WHEN clarity_impact IS NULL THEN '' ELSE concat(',"clarity_impact":{"score":', CAST(clarity_impact AS STRING), CASE WHEN position_id % 11 = 0 THEN '.5' ELSE '' END, '}') END,
 CASE WHEN overall_readiness IS NULL THEN '' ELSE concat(',"overall_readiness":{"score":', CAST(overall_readiness + CASE WHEN position_id % 13 = 0 THEN 9 ELSE 0 END AS STRING), '}') END, '}}') END AS raw FROM v_scores"""
 _REQ = ("truthfulness", "role_fit", "clarity_impact", "overall_readiness")
