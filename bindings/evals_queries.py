@@ -154,6 +154,11 @@ def _(s, sf):
     return e.top_values(view(s, sf, "v_blocks"), "n_chars", 10)
 
 
+@q("k6_top_candidates", sql_with("SELECT position_id, (coalesce(truthfulness, 0) * 2000 + coalesce(role_fit, 0) * 2000 + coalesce(clarity_impact, 0) * 1500 + coalesce(overall_readiness, 0) * 500) / 10000 AS weight FROM v_scores ORDER BY weight DESC, position_id LIMIT 20", "v_scores"))
+def _(s, sf):
+    return e.top_candidates(view(s, sf, "v_scores"), _W, "position_id", 20).select("position_id", "weight")
+
+
 @q("k4_examples_per_group", sql_with(
     "SELECT status, case_id, nth FROM (SELECT status, case_id, row_number() OVER (PARTITION BY status ORDER BY case_id) AS nth FROM v_results) WHERE nth <= 8", "v_results"))
 def _(s, sf):

@@ -26,7 +26,7 @@ def r6(df, *cols):
 
 
 # Larger documents of four pages with heading texts, from v_blocks.
-GEO = """SELECT doc_id % 600 AS doc_id, 1 + (block_id + doc_id) % 4 AS page, doc_id * 100 + block_id AS block_id, block_id % 2 AS half, page_w, page_h, x0, x1, y0, y1, block_type, n_lines, n_chars, spacing_before,
+GEO = """SELECT doc_id % 600 AS doc_id, 1 + (block_id + doc_id) % 4 AS page, doc_id * 100 + block_id AS block_id, CAST(n_chars % 3 % 2 AS INT) AS half, page_w, page_h, x0, x1, y0, y1, block_type, n_lines, n_chars, spacing_before,
 CASE WHEN block_type <> 'heading' THEN concat('Body ', CAST(n_chars AS STRING)) ELSE CASE n_chars % 8 WHEN 0 THEN '1. Experience' WHEN 1 THEN 'SKILLS' WHEN 2 THEN 'Education' WHEN 3 THEN 'Summary' WHEN 4 THEN 'Languages' WHEN 5 THEN 'Certifications' WHEN 6 THEN 'Work History' ELSE 'Misc Notes' END END AS text FROM v_blocks"""
 SIDES = f"""geo AS ({GEO}), sb AS (SELECT * REPLACE (y0 * CASE WHEN (doc_id + page) % 5 = 0 THEN 0.25::DOUBLE ELSE 1::DOUBLE END AS y0, y1 * CASE WHEN (doc_id + page) % 5 = 0 THEN 0.25::DOUBLE ELSE 1::DOUBLE END AS y1) FROM geo WHERE half = 0),
 ob AS (SELECT * REPLACE (y0 * CASE WHEN (doc_id + page) % 3 = 0 THEN 0.5::DOUBLE ELSE 1::DOUBLE END + 30 AS y0, y1 * CASE WHEN (doc_id + page) % 3 = 0 THEN 0.5::DOUBLE ELSE 1::DOUBLE END + 30 AS y1) FROM geo WHERE half = 1)"""

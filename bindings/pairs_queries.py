@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from bindings.views import sql_with, view
 from quire.functions import lexicons as L
 from quire.operators import pairs as p
+from quire.plans import ordered_scan, rank_in
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -104,9 +105,7 @@ def _index(s, sf):
     c = view(s, sf, "customer")
     n = c.select(F.col("c_mktsegment").alias("name")).distinct().union(c.filter("c_custkey % 50 = 0").select(
         F.concat("c_mktsegment", F.lit(" card "), F.col("c_nationkey").cast("string"), F.lit(" "), (F.col("c_custkey") % 10).cast("string"))).distinct()).distinct()
-    # Ordinals of the small index list come from a count of smaller names.
-    m = n.select(F.col("name").alias("other"))
-    return n.join(F.broadcast(m), F.col("other") <= F.col("name")).groupBy("name").agg(F.count("*").cast("int").alias("ord")).select("ord", "name")
+    return ordered_scan(n, [], ["name"], [F.left("name", F.lit(2))], [rank_in("ord")]).select(F.col("ord").cast("int").alias("ord"), "name")
 
 
 _MATCH = """nm AS (SELECT id, name, regexp_extract_all(lower(name), '[a-z0-9]+') AS lt FROM ({names})), ix AS (SELECT ord, name AS rname, regexp_extract_all(lower(name), '[a-z0-9]+') AS rt FROM ({index})),
@@ -217,6 +216,15 @@ def _(s, sf):
     return p.near_duplicate_lines(bind(s, sf, _ND, "v_resume_lines"), "doc_id", "line_no", "line", "y")
 
 
+@q("j19_repeated_top_lines", sql_with(r"""SELECT doc_id, prefix, n AS n_lines, f AS n_flagged, coalesce(h, false) AS hard FROM (SELECT doc_id, prefix, count(*) AS n, count(*) FILTER (round(y - py, 9) <= 0.20) AS f FROM (SELECT *, lag(y) OVER (PARTITION BY doc_id, prefix ORDER BY y, line_no) AS py FROM pr) GROUP BY ALL HAVING count(*) FILTER (round(y - py, 9) <= 0.20) > 0)
+LEFT JOIN (SELECT doc_id, prefix, true AS h FROM (SELECT *, lag(y) OVER (PARTITION BY doc_id, prefix ORDER BY y, line_no) AS py FROM pr WHERE length(t) >= 55) WHERE round(y - py, 9) <= 0.20 GROUP BY ALL) USING (doc_id, prefix)""", "v_resume_lines", extra=rf"""nd AS ({_ND}),
+pr AS (SELECT doc_id, line_no, y, lower(trim(line)) AS t, left(lower(trim(line)), 37) AS prefix FROM nd WHERE length(trim(line)) >= 55 AND len(string_split_regex(trim(line), '\s+')) >= 4 AND NOT regexp_matches(trim(line), '^[A-Z\s:./()|-]{{5,}}$') AND y <= 0.60)"""))
+def _(s, sf):
+    return p.near_duplicate_lines(
+        bind(s, sf, _ND, "v_resume_lines"), "doc_id", "line_no", "line", "y", min_len=55, prefix=37, zone=0.60, dy=0.20,
+        allow_equal=True, skip_verbs=False, hard_len=55)
+
+
 _SP_PARAS = """SELECT doc_id, CASE WHEN line_no < 10 THEN 1 WHEN line_no < 500 THEN 2 ELSE 3 END AS section_id, CASE WHEN line_no < 10 THEN 'summary' WHEN line_no < 500 THEN 'experience' ELSE 'skills' END AS section_type,
 CASE WHEN line_no = 2 AND doc_id % 4 = 0 THEN 'Something else entirely, long enough to count here.' WHEN line_no = 501 AND doc_id % 4 IN (0, 1) AND doc_id % 3 <> 0 THEN concat('Note: Engineer working with ', line, ' for a long time now') ELSE concat(line, ' and more words') END AS text FROM v_resume_lines"""
 _SP_EXP = "SELECT doc_id, 'Engineer working with machines of every kind' AS summary FROM v_resume_lines WHERE line_no = 1"

@@ -9,6 +9,7 @@ from bindings.views import sql_with, view
 from quire.functions import lexicons as L
 from quire.operators import profiles as pr
 from quire.operators import segments as g
+from quire.plans import cut
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -81,8 +82,7 @@ _FX = "SELECT doc_id, section_type, CASE WHEN section_type = 'summary' AND doc_i
 
 
 def _lines(s, sf):
-    view_ = seg(s, sf)
-    view_.createOrReplaceTempView("quire_seg")
+    cut(seg(s, sf)).createOrReplaceTempView("quire_seg")
     return s.sql(_FX.replace("FROM seg", "FROM quire_seg"))
 
 
@@ -176,7 +176,7 @@ LEFT JOIN (SELECT doc_id, count(*) AS bad FROM (SELECT t.doc_id, t.section, CASE
  WHERE CASE WHEN has THEN rr < fl ELSE ff < CASE WHEN section = 'summary' THEN 0.95 ELSE fl END END OR (has AND na > 0 AND nb > 0 AND jac >= 0.95 AND rr < 0.80) GROUP BY 1) y ON y.doc_id = d.doc_id""", "v_resume_lines",
     extra=_SEG + f", it AS ({_INJ_T}), ir AS ({_INJ_R.replace(', ' + chr(39) + 'x' + chr(39) + ')', ', ' + chr(39) + 'x' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}), io AS ({_INJ_O.replace(', ' + chr(39) + 'x' + chr(39) + ')', ', ' + chr(39) + 'x' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}), tv AS (SELECT DISTINCT doc_id, section, unnest({_ct('line')}) AS w FROM it WHERE section IS NOT NULL), rv AS (SELECT DISTINCT doc_id, section, unnest({_ct('line')}) AS w FROM ir WHERE section IS NOT NULL), ov AS (SELECT DISTINCT doc_id, section, unnest({_ct('line')}) AS w FROM io WHERE section IS NOT NULL), fv AS (SELECT DISTINCT doc_id, unnest({_ct('line')}) AS w FROM ir)"))
 def _(s, sf):
-    seg(s, sf).createOrReplaceTempView("quire_seg")
+    cut(seg(s, sf)).createOrReplaceTempView("quire_seg")
     it = s.sql(_INJ_T.replace("FROM seg", "FROM quire_seg"))
     it.createOrReplaceTempView("quire_it")
     return g.injection_score(it, s.sql(_INJ_R.replace("FROM it", "FROM quire_it")), s.sql(_INJ_O.replace("FROM it", "FROM quire_it")))
@@ -243,3 +243,15 @@ def _(s, sf):
         F.when(F.col("p_partkey") % 2 == 0, F.replace("p_name", F.lit(" "), F.lit("_"))).otherwise(F.col("p_name")),
         F.when(F.col("p_partkey") % 5 == 0, F.concat("p_type", F.lit(","))).otherwise(F.concat("p_type", F.lit(" x")))).alias("skills"))
     return pr.backfill_report(pr.normalize_profiles(d, ["skills"]))
+
+
+_UD = f"CASE WHEN lower(trim(line)) IN {inlist(_KNOWN)} THEN 1 ELSE 0 END"
+
+
+@q("x3_split_sections", sql_with(f"""SELECT doc_id, CAST(line_no AS INT) AS line_no, CAST(sum(h) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS INT) AS section_no, line FROM (
+SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS line_no, CASE WHEN lower(trim(unnest(lines))) IN {inlist(_KNOWN)} THEN 1 ELSE 0 END AS h FROM (SELECT doc_id, string_split(concat('Summary', chr(10), text, chr(10), ' SKILLS', chr(10), lang), chr(10)) AS lines FROM documents))"""))
+def _(s, sf):
+    s.udtf.register("split_sections", g.split_sections_udtf())
+    view(s, sf, "documents").createOrReplaceTempView("quire_documents")
+    return s.sql("""SELECT d.doc_id, t.line_no, t.section_no, t.line FROM quire_documents d,
+LATERAL split_sections(concat('Summary', char(10), d.text, char(10), ' SKILLS', char(10), d.lang)) t""")

@@ -3,7 +3,8 @@
 Each view is one SQL text valid in Spark and DuckDB.  ``spark_view`` builds it
 in Spark; ``sql_with`` writes it as a CTE for the comparison SQL.  ``v_li`` and
 ``v_pairs`` need an order inside a key, so on Spark they are built with
-``ordered_scan`` instead of the plain window of their SQL text.
+``ordered_scan`` instead of the plain window of their SQL text, and ``v_docs``
+repeats rows with ``explode``.
 """
 
 from __future__ import annotations
@@ -195,6 +196,11 @@ def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
         return _li(spark, sf)
     if name == "v_pairs":
         return _pairs(spark, sf)
+    if name == "v_docs":
+        e = table(spark, sf, "events").filter("event_type <> 'error' AND event_id % 11 <> 0")
+        e = e.withColumn("n", F.explode(F.when(F.col("event_id") % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+        company = F.concat(F.lit("Company "), (F.col("user_id") % 40).cast("string"))
+        return e.select((F.col("event_id") * 10 + F.col("n")).alias("doc_id"), F.col("event_id").alias("run_id"), "user_id", company.alias("company_name"))
     if name == "v_resume_lines":
         key = (spark.sparkContext.applicationId, sf, name)
         if key not in _MEMO:

@@ -196,6 +196,12 @@ def top_values(df: DataFrame, col: str, k: int) -> DataFrame:
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), col).limit(k)
 
 
+def top_candidates(df: DataFrame, weights: Mapping[str, float], key: str, k: int) -> DataFrame:
+    """Head of a work list by weighted sum (four exact decimals per weight), ties by key."""
+    total = reduce(lambda a, b: a + b, [F.coalesce(F.col(c).cast("long") * _units(w), F.lit(0)) for c, w in weights.items()])
+    return df.withColumn("weight", total / 10000).orderBy(F.col("weight").desc(), key).limit(k)
+
+
 def examples_per_group(df: DataFrame, group: str, order: str, block: Column, k: int = 8) -> DataFrame:
     """First k rows of each group, ranked in blocks so that no group is sorted as a whole."""
     return ordered_scan(df, [group], [order], [block], [rank_in("nth")]).filter(F.col("nth") <= k)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import lexicons as L
 from quire.functions import text as t
-from quire.plans import cut, lag1, last_seen, last_seen_before, ordered_scan, rank_in, running_sum
+from quire.plans import cut, lag1, last_seen, ordered_scan, rank_in, running_min, running_sum
 from quire.plans.matching import cell_edges, greedy_match, rank_pairs
 
 # Fixed values.
@@ -178,7 +178,7 @@ def align_sections(src: DataFrame, out: DataFrame, doc: str = "doc_id", idx: str
 
     Pass 1 equal heading, pass 2 equal type, pass 3 skills against skill-like
     titles.  In pass 1 an ``other`` section may not take a slot of a generated
-    type; headings where that binds on both sides are walked greedily.
+    type.
     """
     a = cut(src.select(doc, F.col(idx).alias("si"), F.lower("heading").alias("h"), F.col("section_type").alias("st")))
     b = cut(out.select(doc, F.col(idx).alias("oi"), F.lower("heading").alias("h"), F.col("section_type").alias("ot")))
@@ -192,9 +192,8 @@ def align_sections(src: DataFrame, out: DataFrame, doc: str = "doc_id", idx: str
     a1 = a1.join(kind, [doc, "h"]).filter(~(F.col("st").isin(*GENERATED_TYPES) & F.col("ot_other") & ~F.col("ot_rest")))
     b1 = b1.join(kind, [doc, "h"]).filter(~((F.col("ot") == "other") & F.col("g") & ~F.col("ng")))
     p1 = rank_pairs(a1, b1, [doc, "h"], "si", "oi").select(doc, "si", "oi")
-    ma, mb = a.join(mixed, [doc, "h"]), b.join(mixed, [doc, "h"])
-    edges = ma.join(mb, [doc, "h"]).filter(~((F.col("ot") == "other") & gen)).select(doc, "si", "oi")
-    p1 = cut(p1.unionByName(greedy_match(edges, [doc], "si", "oi", [F.col("oi"), F.col("si")])).withColumn("pass", F.lit(1)))
+    guarded = _guarded_pairs(a.join(mixed, [doc, "h"]), b.join(mixed, [doc, "h"]), [doc, "h"])
+    p1 = cut(p1.unionByName(guarded.select(doc, "si", "oi")).withColumn("pass", F.lit(1)))
     a2, b2 = _rest(a, p1, doc, "si"), _rest(b, p1, doc, "oi")
     p2 = rank_pairs(
         a2.filter("st <> 'other'").withColumn("k", F.col("st")), b2.filter("ot <> 'other'").withColumn("k", F.col("ot")),
@@ -207,6 +206,27 @@ def align_sections(src: DataFrame, out: DataFrame, doc: str = "doc_id", idx: str
     return p1.unionByName(p2).unionByName(p3)
 
 
+def _guarded_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """First-come pairs of one heading when ``other`` outputs may not take generated sources.
+
+    In walking order every output takes the first source it may.  So the g-th
+    generated source, at merged position m(g), goes to the first output not of
+    type other that stands at step m(g) or later and is still free.  Counted in
+    those outputs this is slot g + max over j <= g of (slots before m(j)) - j,
+    a running maximum; the other outputs share the remaining sources in order.
+    """
+    gen, rest = F.col("st").isin(*GENERATED_TYPES), F.col("ot") != "other"
+    src = cut(ordered_scan(a, keys, ["si"], [F.floor(F.col("si") / 1024)], [rank_in("m"), running_sum("g", gen.cast("long"))]))
+    out = cut(ordered_scan(b, keys, ["oi"], [F.floor(F.col("oi") / 1024)], [rank_in("k"), running_sum("r", rest.cast("long"))]))
+    before = out.select(*keys, F.col("k").alias("m"), (F.col("r") - rest.cast("long")).alias("f"))
+    g = src.filter(gen).join(before, [*keys, "m"], "left").withColumn("lead", F.col("g") - 1 - F.coalesce("f", F.lit(1 << 40)))
+    g = ordered_scan(g, keys, ["si"], [F.floor(F.col("si") / 1024)], [running_min("least", "lead")])
+    slots = g.select(*keys, "si", (F.col("g") - F.col("least")).alias("r"))
+    first = cut(slots.join(out.filter(rest).select(*keys, "oi", "r"), [*keys, "r"]).select(*keys, "si", "oi"))
+    left = out.join(first.select(*keys, "oi"), [*keys, "oi"], "left_anti")
+    return first.unionByName(rank_pairs(src.filter(~gen), left, keys, "si", "oi").select(*keys, "si", "oi"))
+
+
 def _rest(df: DataFrame, pairs: DataFrame, doc: str, i: str) -> DataFrame:
     return df.join(pairs.select(doc, i), [doc, i], "left_anti")
 

@@ -323,9 +323,10 @@ def injection_score(target: DataFrame, rendered: DataFrame, template: DataFrame,
 
     sec = [doc, "section"]
     tv = cut(vocab(target.filter("section IS NOT NULL"), sec))
-    rv = cut(vocab(rendered.filter("section IS NOT NULL"), sec))
+    rt = cut(vocab(rendered, sec))
+    rv = rt.filter("section IS NOT NULL")
     ov = vocab(template.filter("section IS NOT NULL"), sec)
-    full = cut(vocab(rendered, [doc]))
+    full = cut(rt.select(doc, "w").distinct())
     mark = lambda df, name: df.withColumn(name, F.lit(1))
     in_full = mark(full, "f")
     whole = tv.select(doc, "w").distinct().join(in_full, [doc, "w"], "left").groupBy(doc).agg(F.count(F.lit(1)).alias("words"), F.count("f").alias("found"))

@@ -9,6 +9,7 @@ from quire.plans.joins import fits_broadcast, lookup_join, rule_table
 from quire.plans.lineage import cut
 from quire.plans.quantile import grouped_median
 from quire.plans.scan import (
+    hot_keys,
     lag1,
     last_seen,
     last_seen_before,
@@ -21,7 +22,7 @@ from quire.plans.scan import (
 )
 
 __all__ = [
-    "cut", "fits_broadcast", "grouped_median", "lag1", "last_seen", "last_seen_before",
+    "cut", "fits_broadcast", "grouped_median", "hot_keys", "lag1", "last_seen", "last_seen_before",
     "lead1", "lookup_join", "next_seen_after", "ordered_scan", "rank_in", "rule_table",
     "running_min", "running_sum",
 ]

@@ -1,8 +1,12 @@
 """Ordered scans inside a key that survive hot keys.
 
-A plain ``Window.partitionBy(key)`` sends the whole key to one task.  Here the
-key is divided into *blocks*: runs of the order column (``line_no div 4096``,
-``date_trunc('hour', ts)``).  Each block is summarised by a normal aggregate
+A plain ``Window.partitionBy(key)`` sends the whole key to one task.  That is
+the cheapest plan while every key is small, so the rows per key are counted
+first (a map-side combined count of the key columns only) and keys up to
+``HOT_ROWS`` rows are scanned that way.
+
+A larger key is divided into *blocks*: runs of the order column (``line_no div
+4096``, ``date_trunc('hour', ts)``).  Each block is summarised by a normal aggregate
 (so with map-side combine), the few block summaries of a key are scanned in
 order to give every block its carry-in, and the rows are then scanned inside
 their block only.  Rows are shuffled once, on (key, block); the part that sees a
@@ -20,6 +24,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.plans.lineage import cut
+
+HOT_ROWS = 65_536  # rows of a key that one task may sort
+HOT_KEYS = 100_000  # hot keys that may be broadcast
+
 
 @dataclass(frozen=True)
 class Scan:
@@ -28,8 +37,9 @@ class Scan:
     out: str
     summary: Callable[[Column], Column]  # order struct -> aggregate of a block
     carry: Callable[[Column, object, object], Column]  # summary, forward, backward window
-    inside: Callable[[object, object], Column]  # forward, backward window in a block
+    inside: Callable[[object, object], Column]  # forward, backward window
     merge: Callable[[Column, Column], Column]  # inside, carry
+    alone: Callable[[Column], Column] = lambda i: i  # inside, when nothing is carried
 
 
 def _col(c: str | Column) -> Column:
@@ -124,6 +134,7 @@ def lag1(out: str, col: str | Column) -> Scan:
         lambda s, fw, bw: F.lag(s, 1).over(fw),
         lambda fw, bw: F.lag(c, 1).over(fw),
         lambda i, k: F.coalesce(i, k)["v"],
+        lambda i: i["v"],
     )
 
 
@@ -136,9 +147,17 @@ def lead1(out: str, col: str | Column) -> Scan:
         lambda s, fw, bw: F.lead(s, 1).over(fw),
         lambda fw, bw: F.lead(c, 1).over(fw),
         lambda i, k: F.coalesce(i, k)["v"],
+        lambda i: i["v"],
     )
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame | None:
+    """Keys with more than ``rows`` rows, written once; None when there are none."""
+    limit = HOT_ROWS if rows is None else rows
+    found = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).select(*keys))
+    return None if found.isEmpty() else found
+
+
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -150,6 +169,38 @@ def ordered_scan(
 
     ``keys`` must be non-null; ``order`` must be total inside a key.
     """
+    if not keys:
+        return _blocked(df, keys, order, block, scans)
+    hot = hot_keys(df, keys)
+    if hot is None:
+        return _whole(df, keys, order, scans)
+    if hot.limit(HOT_KEYS + 1).count() > HOT_KEYS:
+        return _blocked(df, keys, order, block, scans)
+    few = F.broadcast(hot)
+    return _whole(df.join(few, list(keys), "left_anti"), keys, order, scans).unionByName(
+        _blocked(df.join(few, list(keys), "left_semi"), keys, order, block, scans)
+    )
+
+
+def _whole(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], scans: Sequence[Scan]) -> DataFrame:
+    """Scan of keys known to be small: one shuffle on the key."""
+    cols = [_col(c) for c in order]
+    fw = Window.partitionBy(*keys).orderBy(*cols)
+    bw = Window.partitionBy(*keys).orderBy(*[c.desc() for c in cols])
+    outs = {s.out for s in scans}
+    return df.select("*", *[s.inside(fw, bw).alias(f"__i{i}") for i, s in enumerate(scans)]).select(
+        *[F.col(c) for c in df.columns if c not in outs], *[s.alone(F.col(f"__i{i}")).alias(s.out) for i, s in enumerate(scans)]
+    )
+
+
+def _blocked(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str | Column],
+    block: Sequence[str | Column],
+    scans: Sequence[Scan],
+) -> DataFrame:
+    """Scan by blocks with carried summaries."""
     order_cols = [_col(c) for c in order]
     at = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order_cols)])
     blocks = [f"__b{i}" for i in range(len(block))]
