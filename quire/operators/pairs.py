@@ -301,15 +301,18 @@ def _by_dates(a: DataFrame, b: DataFrame, doc: str) -> DataFrame:
 
 
 def _ratio():
-    def ratio(a: str, b: str) -> float:
+    def against(right: str):
         from difflib import SequenceMatcher
 
-        m = SequenceMatcher(None, a, b)
-        if m.real_quick_ratio() < 0.45 or m.quick_ratio() < 0.45:
-            return 0.0
-        return m.ratio()
+        m = SequenceMatcher(None, "", right)
 
-    return ratio
+        def ratio(left: str) -> float:
+            m.set_seq1(left)
+            return m.ratio() if m.real_quick_ratio() >= 0.45 and m.quick_ratio() >= 0.45 else 0.0
+
+        return ratio
+
+    return against
 
 
 def diff_bullets(src: DataFrame, out: DataFrame, group: Sequence[str], idx: str = "idx", text: str = "text") -> DataFrame:
@@ -513,13 +516,18 @@ def container_reuse(texts: DataFrame, lines: DataFrame, doc: str, tid: str, lid:
 
 
 def _reuse(threshold: float):
-    def hit(a: str, b: str) -> float:
+    def against(right: str):
         from difflib import SequenceMatcher
 
-        if a in b or b in a:
-            return 1.0
-        m = SequenceMatcher(None, a, b)
-        ok = m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold
-        return 1.0 if ok else 0.0
+        m = SequenceMatcher(None, "", right)
+
+        def hit(left: str) -> float:
+            if left in right or right in left:
+                return 1.0
+            m.set_seq1(left)
+            ok = m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold
+            return 1.0 if ok else 0.0
+
+        return hit
 
-    return hit
+    return against

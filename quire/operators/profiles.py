@@ -11,24 +11,36 @@ from quire.functions import lexicons as L
 from quire.functions import text as t
 
 
-def sanitize(c: Column) -> Column:
-    """One value without boundary quotes, escaped quotes and trailing commas; inner quotes stay."""
+def _unescaped(c: Column) -> Column:
+    """Trailing commas and escaped boundary quotes off."""
     comma = lambda x: t.strip(F.regexp_replace(x, r",$", ""))
-    s = comma(t.strip(c))
-    s = F.regexp_replace(s, r'^(?:\\"\s*)+', "")
-    s = comma(t.strip(F.regexp_replace(s, r'(?:\s*\\")+$', "")))
-    quotes = F.regexp_count(s, F.lit('"'))
-    s = (
-        F.when(s.rlike('(?s)^".*"$'), t.strip(F.regexp_replace(s, '(?s)^"(.*)"$', "$1")))
-        .when(s.startswith('"') & (quotes == 1), t.strip(F.substr(s, F.lit(2))))
-        .when(s.endswith('"') & (quotes == 1), t.strip(F.regexp_replace(s, '"$', ""))).otherwise(s)
+    s = F.regexp_replace(comma(t.strip(c)), r'^(?:\\"\s*)+', "")
+    return comma(t.strip(F.regexp_replace(s, r'(?:\s*\\")+$', "")))
+
+
+def _unquoted(s: Column) -> Column:
+    """Boundary quotes off, inner quotes kept, then a trailing comma."""
+    one = F.regexp_count(s, F.lit('"')) == 1
+    cut = (
+        F.when(s.rlike('(?s)^".*"$'), F.regexp_replace(s, '(?s)^"(.*)"$', "$1"))
+        .when(one & s.startswith('"'), F.substr(s, F.lit(2))).when(one & s.endswith('"'), F.regexp_replace(s, '"$', "")).otherwise(s)
     )
-    return comma(s)
+    return t.strip(F.regexp_replace(t.strip(cut), r",$", ""))
+
+
+def sanitize(c: Column) -> Column:
+    """One value without boundary quotes, escaped quotes and trailing commas; inner quotes stay."""
+    return F.get(sanitize_list(F.array(c), keep_empty=True), F.lit(0))
 
 
-def sanitize_list(arr: Column) -> Column:
-    """Sanitised items, empty ones dropped."""
-    return F.filter(F.transform(arr, sanitize), lambda x: x != "")
+def sanitize_list(arr: Column, keep_empty: bool = False) -> Column:
+    """Sanitised items, empty ones dropped.
+
+    Each step is a pass of its own, so that its input is bound once instead of
+    being repeated in the expression.
+    """
+    out = F.transform(F.transform(arr, _unescaped), _unquoted)
+    return out if keep_empty else F.filter(out, lambda x: x != "")
 
 
 def readable(token: Column) -> Column:
@@ -43,13 +55,13 @@ def readable(token: Column) -> Column:
 
 
 def normalise_list(arr: Column) -> Column:
-    """Combined items split, tokens made readable, duplicates (any case) dropped."""
+    """Combined items split and tokens made readable; :func:`normalize_profiles` drops repeats."""
     def expand(x: Column) -> Column:
         parts = F.filter(F.split(x, r"\s+"), lambda p: p != "")
         many = F.size(F.filter(parts, lambda p: p.contains("_"))) >= 2
         return F.when(x.contains(" ") & many, parts).otherwise(F.array(x))
 
-    return t.distinct_ci(F.transform(F.flatten(F.transform(arr, expand)), lambda x: readable(t.strip(x))))
+    return F.transform(F.transform(F.flatten(F.transform(arr, expand)), t.strip), readable)
 
 
 def migrate_profiles(df: DataFrame) -> DataFrame:
@@ -85,20 +97,22 @@ def normalize_profiles(df: DataFrame, lists: Sequence[str]) -> DataFrame:
 
     A dotted name addresses a list inside a struct column.
     """
+    # Three projections per list: items, readable items, distinct items.
     out = df
     changed = F.lit(False)
-    for name in lists:
-        new = normalise_list(sanitize_list(F.col(name)))
-        changed = changed | ~new.eqNullSafe(F.col(name))
+    for i, name in enumerate(lists):
+        out = out.withColumn(f"__l{i}", sanitize_list(F.col(name)))
+    for i in range(len(lists)):
+        out = out.withColumn(f"__l{i}", normalise_list(F.col(f"__l{i}")))
+    for i, name in enumerate(lists):
+        out = out.withColumn(f"__l{i}", t.distinct_ci(F.col(f"__l{i}")))
+        changed = changed | ~F.col(f"__l{i}").eqNullSafe(F.col(name))
     out = out.withColumn("changed", changed)
-    for name in lists:
-        new = normalise_list(sanitize_list(F.col(name)))
-        if "." in name:
-            top, field = name.split(".", 1)
-            out = out.withColumn(top, F.col(top).withField(field, new))
-        else:
-            out = out.withColumn(name, new)
-    return out
+    for i, name in enumerate(lists):
+        top, _, field = name.partition(".")
+        new = F.col(f"__l{i}")
+        out = out.withColumn(top, F.col(top).withField(field, new) if field else new)
+    return out.drop(*[f"__l{i}" for i in range(len(lists))])
 
 
 def backfill_report(normalised: DataFrame, flag: str = "changed") -> DataFrame:
