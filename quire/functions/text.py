@@ -128,7 +128,7 @@ def compact_summary(c: Column, n: int = 3) -> Column:
 
 
 def non_blank_lines(c: Column) -> Column:
-    return F.filter(F.split(c, "\n"), lambda x: strip(x) != "")
+    return F.filter(F.split(c, "\n"), lambda x: x.rlike(r"[^\s\x{a0}]"))
 
 
 def first_at(flags: Column) -> Column:
