@@ -118,3 +118,9 @@ def test_f1_is_symmetric_in_its_product(spark):
     b = {r.pair_id: r.f1 for r in p.token_f1(df, src="out_text", out="src_text").collect()}
     assert a == b == {1: pytest.approx(0.5), 2: 0.0}
     assert p.token_overlap(df.withColumn("g", F.lit("")), "pair_id", "src_text", "g", "out_text", 1).filter("pair_id = 1").first().surviving == 2
+
+
+def test_sequence_ratio(spark):
+    rows = [(1, "Built the API", "built an api"), (2, "", "x"), (3, "same", "SAME")]
+    got = {r.k: r.ratio for r in p.sequence_similarity(spark.createDataFrame(rows, "k int, a string, b string"), "k", "a", "b").collect()}
+    assert got == {k: SequenceMatcher(None, a.lower(), b.lower()).ratio() for k, a, b in rows}
