@@ -47,20 +47,14 @@ def noisy_or(z: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(-np.logaddexp(0, z), starts)
 
 
-def telling(feats: np.ndarray, docs: np.ndarray, y: np.ndarray, least: int = 4, sigmas: float = 3.0) -> np.ndarray:
+def telling(seen: np.ndarray, toxic: np.ndarray, rate: float, least: int = 4, sigmas: float = 3.0) -> np.ndarray:
     """Marks features found in ``least`` documents and more often in toxic ones than chance explains."""
-    pairs = np.unique(docs.astype(np.int64) << BITS | feats)
-    seen = np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS)
-    toxic = np.bincount((pairs & ((1 << BITS) - 1))[y[pairs >> BITS] == 1], minlength=1 << BITS)
-    rate = y.mean()
     return (seen >= least) & (toxic - seen * rate >= sigmas * np.sqrt(np.maximum(seen * rate * (1 - rate), 1e-9)))
 
 
 def fit(feats: np.ndarray, sent_len: np.ndarray, doc_len: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 100, rate: float = 0.25, decay: float = 1e-5) -> ToxicityModel:
-    """Weights by Adam on the noisy-or likelihood. ``sent_len``: features of each sentence, ``doc_len``: sentences of each document, none of them 0."""
+    """Weights by Adam on the noisy-or likelihood. ``sent_len``: features of each sentence, ``doc_len``: sentences of each document, at least 1."""
     sent = np.repeat(np.arange(len(sent_len)), sent_len)
-    keep = telling(feats, np.repeat(np.arange(len(doc_len)), doc_len)[sent], y)[feats]
-    feats, sent = feats[keep], sent[keep]
     w, b = np.zeros(1 << BITS), -5.0
     doc_at = np.r_[0, np.cumsum(doc_len)[:-1]]
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -97,13 +91,37 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     picked = [known.where(F.col("y") == c).orderBy(F.xxhash64("id"), "id").limit(max_rows) for c in (0, 1)]
     sample = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(picked[0].union(picked[1])), "id")
 
+    def presence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros((2, 1 << BITS), np.int32)
+        for batch in batches:
+            for y, t in zip(batch["y"], batch["t"], strict=True):
+                seen[y, list({f for w in set(t.split()) for f in features(w)})] += 1
+        at = np.flatnonzero(seen.sum(0))
+        yield pd.DataFrame({"f": at, "clean": seen[0, at], "toxic": seen[1, at]})
+
+    counted = sample.mapInPandas(presence, "f int, clean int, toxic int").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rate = n.get(1, 0) / max(sum(n.values()), 1)
+    # At most one row for each of the hashed features.
+    found = counted.where("clean + toxic >= 4").toPandas()
+    keep = set(found["f"][telling((found["clean"] + found["toxic"]).to_numpy(), found["toxic"].to_numpy(), rate)].tolist())
+
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, list[int]] = {}
         for batch in batches:
             out = []
             for y, t in zip(batch["y"], batch["t"], strict=True):
-                sents = [f for s in SENTENCE.findall(t) if (f := [x for w in s.split() for x in features(w)])]
-                if sents:
-                    out.append((y, [len(s) for s in sents], [x for s in sents for x in s]))
+                lens, feats = [], []
+                for words in map(str.split, SENTENCE.findall(t)):
+                    if words:
+                        for w in words:
+                            if w not in known:
+                                known[w] = [f for f in features(w) if f in keep]
+                        got = [f for w in words for f in known[w]]
+                        lens.append(len(got))
+                        feats += got
+                if lens:
+                    out.append((y, lens, feats))
             yield pd.DataFrame(out, columns=["y", "lens", "feats"])
 
     rows = sample.mapInPandas(bags, "y int, lens array<int>, feats array<int>").toPandas()
@@ -111,7 +129,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     if set(y.tolist()) != {0, 1}:
         return empty
     weight = np.where(y == 1, share[1] / (y == 1).sum(), share[0] / (y == 0).sum()) / (share[0] + share[1])
-    return fit(np.concatenate(rows["feats"].to_list()), np.concatenate(rows["lens"].to_list()), rows["lens"].map(len).to_numpy(), y, weight)
+    return fit(np.concatenate(rows["feats"].to_list()).astype(np.int64), np.concatenate(rows["lens"].to_list()), rows["lens"].map(len).to_numpy(), y, weight)
 
 
 SCORES = "score double, sentences array<struct<start: int, length: int, score: double>>"
