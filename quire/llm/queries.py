@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import exact_dedup, quality_model, quality_rules, toxicity
+from quire.llm import exact_dedup, packing, quality_model, quality_rules, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """The file of a public tokenizer installed with Python, on the driver and on executors alike."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf, "documents").select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = _table(spark, sf, "documents"), _table(spark, sf, "labels")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -37,7 +48,7 @@ def op10_quality_model(spark: SparkSession, sf: str) -> DataFrame:
     return quality_model.score_quality(docs, quality_model.train_quality(docs)).select("doc_id", "quality_model.*")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_exact_dedup, op7_quality_rules, op10_quality_model)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op4_exact_dedup, op7_quality_rules, op10_quality_model)}
 
 SQL = {
     "op4_exact_dedup": """
