@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import exact_dedup, packing, quality_model, quality_rules, toxicity
+from quire.llm import exact_dedup, ngram_join, packing, quality_model, quality_rules, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op4_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.similar_components(_table(spark, sf, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text", "lang")
     return quality_rules.quality_rules(docs).select("doc_id", "rules.*")
@@ -48,7 +52,7 @@ def op10_quality_model(spark: SparkSession, sf: str) -> DataFrame:
     return quality_model.score_quality(docs, quality_model.train_quality(docs)).select("doc_id", "quality_model.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op4_exact_dedup, op7_quality_rules, op10_quality_model)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op4_exact_dedup, op5_ngram_join, op7_quality_rules, op10_quality_model)}
 
 SQL = {
     "op4_exact_dedup": """
