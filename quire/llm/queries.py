@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import exact_dedup, ngram_join, packing, quality_model, quality_rules, toxicity
+from quire.llm import exact_dedup, ngram_join, packing, quality_model, quality_rules, toxicity, warc
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -34,6 +34,13 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf: str) -> DataFrame:
+    records = warc.round_trip(_table(spark, sf, "pages"), with_payload=False)
+    return records.select(
+        F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to")
+    )
+
+
 def op4_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf, "documents"))
 
@@ -52,9 +59,22 @@ def op10_quality_model(spark: SparkSession, sf: str) -> DataFrame:
     return quality_model.score_quality(docs, quality_model.train_quality(docs)).select("doc_id", "quality_model.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op4_exact_dedup, op5_ngram_join, op7_quality_rules, op10_quality_model)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_warc, op4_exact_dedup, op5_ngram_join, op7_quality_rules, op10_quality_model)}
 
 SQL = {
+    "op3_warc": """
+        with t as (
+          select page_id, encode(coalesce(html, '')) as body from pages
+        ), d as (
+          select page_id, octet_length(body) as payload_bytes, upper(sha1(body)) as h, min(page_id) over (partition by body) as first from t
+        )
+        select page_id, payload_bytes,
+               array_to_string(list_transform(range(8), k -> list_aggregate(list_transform([15, 10, 5, 0], s ->
+                 substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((cast('0x' || substr(h, 5 * k + 1, 5) as bigint) >> s) & 31) + 1, 1)), 'string_agg', '')), '') as payload_digest,
+               case when page_id = first then 'response' else 'revisit' end as record_type,
+               case when page_id = first then null else first end as refers_to
+        from d
+    """,
     "op4_exact_dedup": """
         with t as (
           select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from documents
