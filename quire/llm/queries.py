@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import exact_dedup, ngram_join, packing, quality_model, quality_rules, toxicity, warc
+from quire.llm import exact_dedup, html_text, ngram_join, packing, quality_model, quality_rules, sentence_pieces, toxicity, warc
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -49,17 +49,31 @@ def op5_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.similar_components(_table(spark, sf, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    pages = html_text.page_text(_table(spark, sf, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text", "lang")
     return quality_rules.quality_rules(docs).select("doc_id", "rules.*")
 
 
+def op9_sentence_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    docs = _table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    coded = sentence_pieces.decode(sentence_pieces.encode(docs, model), model)
+    return coded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), (F.col("text") == F.col("decoded")).alias("round_trip")
+    )
+
+
 def op10_quality_model(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     return quality_model.score_quality(docs, quality_model.train_quality(docs)).select("doc_id", "quality_model.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_warc, op4_exact_dedup, op5_ngram_join, op7_quality_rules, op10_quality_model)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_warc, op4_exact_dedup, op5_ngram_join, op6_html_text, op7_quality_rules, op9_sentence_pieces, op10_quality_model)}
 
 SQL = {
     "op3_warc": """
