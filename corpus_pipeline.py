@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import exact_dedup, quality_model, quality_rules
+from quire.llm import exact_dedup, ngram_join, packing, quality_model, quality_rules
 from quire.llm.common import written
+from quire.llm.queries import tokenizer_path
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +24,17 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_copies(docs)
 
 
-STAGES = [("quality rules", rules), ("quality classifier", classifier), ("exact dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
+    return ngram_join.drop_near_copies(docs, k=5, similar=80)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 4096 tokens: one row for each piece of a document."""
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [("quality rules", rules), ("quality classifier", classifier), ("exact dedup", exact), ("n-gram Jaccard join", near), ("best-fit packing", pack)]
 
 #: The stages are statistical or iterative; tests compare them with brute force.
 ORACLE_SQL = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import exact_dedup, html_text, ngram_join, packing, quality_model, quality_rules, sentence_pieces, toxicity, warc
+from quire.llm import exact_dedup, html_text, language_id, ngram_join, packing, quality_model, quality_rules, sentence_pieces, toxicity, warc
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -59,6 +59,11 @@ def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.quality_rules(docs).select("doc_id", "rules.*")
 
 
+def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    model = language_id.train_text_model(_table(spark, sf, "documents"))
+    return language_id.page_languages(_table(spark, sf, "pages"), model)
+
+
 def op9_sentence_pieces(spark: SparkSession, sf: str) -> DataFrame:
     model = tokenizer_path("piece_bpe_32k.model")
     docs = _table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -73,7 +78,7 @@ def op10_quality_model(spark: SparkSession, sf: str) -> DataFrame:
     return quality_model.score_quality(docs, quality_model.train_quality(docs)).select("doc_id", "quality_model.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_warc, op4_exact_dedup, op5_ngram_join, op6_html_text, op7_quality_rules, op9_sentence_pieces, op10_quality_model)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_warc, op4_exact_dedup, op5_ngram_join, op6_html_text, op7_quality_rules, op8_language_id, op9_sentence_pieces, op10_quality_model)}
 
 SQL = {
     "op3_warc": """
