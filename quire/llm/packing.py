@@ -17,10 +17,11 @@ rank is one broadcast join over all of them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,28 +34,41 @@ OPENED_AT_ONCE = 4  # new sequences open in portions of one in so many of those
 L = "long"
 
 
-def document_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, and the ids as little-endian bytes.
+def document_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, and with ``with_ids`` the ids as little-endian bytes.
 
     A document's ids are its tokens and then ``END_ID``; only documents longer
     than ``capacity`` are cut.  Null counts as empty, which still has its end id.
     """
-    holder: list[WordTokenizer] = []
+    out = "doc_id {}, piece int, start long, length long, ids_crc32 long".format(dict(docs.dtypes)[doc_id]) + ", ids binary" * with_ids
+    end = np.array([END_ID], "<u4").tobytes()
 
-    @F.pandas_udf("array<struct<start: long, length: long, ids_crc32: long, ids: binary>>")
-    def cut(texts: pd.Series) -> pd.Series:
-        if not holder:
-            holder.append(WordTokenizer(tokenizer))
-        end = np.array([END_ID], "<u4").tobytes()
-        out = []
-        for t in texts:
-            ids = holder[0].encode(t) + end
-            parts = [ids[i : i + 4 * capacity] for i in range(0, len(ids), 4 * capacity)]
-            out.append([{"start": k * capacity, "length": len(p) // 4, "ids_crc32": crc32(p), "ids": p} for k, p in enumerate(parts)])
-        return pd.Series(out)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _tokenizer(tokenizer)
+        for batch in batches:
+            at, rows = [], []
+            for k, t in enumerate(batch.column(1).to_pylist()):
+                ids = coder.encode(t) + end
+                for i in range(0, len(ids), 4 * capacity):
+                    part = ids[i : i + 4 * capacity]
+                    at.append(k)
+                    rows.append((i // (4 * capacity), i // 4, len(part) // 4, crc32(part), *((part,) if with_ids else ())))
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)] if rows else [pa.array([], t) for t in kinds[: 4 + with_ids]]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns) + 1]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names)
 
-    parts = docs.select(F.col(doc_id).alias("doc_id"), cut(F.coalesce(F.col(text), F.lit(""))).alias("parts"))
-    return parts.select("doc_id", F.posexplode("parts").alias("piece", "p")).select("doc_id", "piece", "p.*")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(cut, out)
+
+
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def _tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer a worker, kept from task to task with the words it has met."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
 
 
 def _sweep(docs: dict[int, list[int]], gaps: dict[int, list[list[int]]], small: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -162,6 +176,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, do
 
     Rows are packed one by one, so repeated rows and null ids are packed like others.
     """
-    pieces = document_pieces(docs, tokenizer, capacity, doc_id, text)
-    pieces = written(pieces if with_ids else pieces.drop("ids"), "pieces")
+    pieces = written(document_pieces(docs, tokenizer, capacity, doc_id, text, with_ids), "pieces")
     return pack(pieces, capacity, order=("ids_crc32", "doc_id", "piece"))

@@ -13,8 +13,9 @@ import re
 
 import numpy as np
 
-CACHE = 600_000  # words a worker remembers before it starts anew
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+CACHE = 500_000  # words a worker remembers before it starts anew
+MARKS = frozenset(".,;:!?")
+WORD = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)|([^\n]+))$", re.M)
 
 
 class WordTokenizer:
@@ -36,35 +37,36 @@ class WordTokenizer:
 
     def _learn_stems(self, stems: list[str]) -> None:
         ids = self._encode(" ".join(stems))
-        cuts = np.flatnonzero(self.ends[ids]) + 1
+        cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
         if len(cuts) == len(stems):
-            parts = np.split(ids, cuts[:-1])
+            raw = ids.tobytes()
+            self.stems.update(zip(stems, (raw[i:j] for i, j in zip([0, *cuts], cuts, strict=False)), strict=True))
         else:  # a tokenizer of another build
-            parts = [self._encode(s) for s in stems]
-        self.stems.update(zip(stems, (p.tobytes() for p in parts), strict=True))
+            self.stems.update((s, self._encode(s).tobytes()) for s in stems)
 
     def _learn(self, words: set[bytes]) -> None:
-        plain, other = [], []
-        for w in words:
-            m = PLAIN.fullmatch(s := w.decode())
-            if m:
-                plain.append((w, m[1].lower(), m[2]))
-            else:
-                other.append((w, s))
-        if new := list({p for _, stem, mark in plain for p in (stem,) if p not in self.stems}):
-            self._learn_stems(new)
-        for mark in {m for _, _, m in plain if m and m not in self.stems}:
-            self.stems[mark] = self._encode(mark).tobytes()
-        for w, stem, mark in plain:
-            self.words[w] = self.stems[stem] + (self.stems[mark] if mark else b"")
-        for w, s in other:
-            self.words[w] = self._encode(s).tobytes()
+        if len(self.stems) > CACHE:
+            self.stems = {}
+        order = list(words)
+        found = WORD.findall(b"\n".join(order).decode())
+        stems = {stem.lower() for stem, _, _ in found} | {mark for _, mark, _ in found}
+        stems.discard("")
+        known = self.stems
+        if new := [s for s in stems if s not in known]:
+            self._learn_stems([s for s in new if s not in MARKS])
+            for mark in MARKS.intersection(new):
+                known[mark] = self._encode(mark).tobytes()
+        others = [(w, other) for w, (stem, _, other) in zip(order, found, strict=True) if not stem]
+        known[""] = b""
+        self.words.update((w, known[stem.lower()] + known[mark]) for w, (stem, mark, _) in zip(order, found, strict=True) if stem)
+        coded = self.tokenizer.encode_batch_fast([other for _, other in others], add_special_tokens=False)
+        self.words.update((w, np.array(c.ids, "<u4").tobytes()) for (w, _), c in zip(others, coded, strict=True))
 
     def encode(self, text: str) -> bytes:
         words = text.encode().split()
         if new := set(words).difference(self.words):
             if len(self.words) > CACHE:
-                self.words, self.stems = {}, {}
+                self.words = {}
                 new = set(words)
             self._learn(new)
         return b"".join(map(self.words.__getitem__, words))
