@@ -77,7 +77,7 @@ def _(s, sf):
 
 
 @q("a6_suite_report", sql_with(
-    """SELECT coalesce(template_class, '(all)') AS template_class, coalesce(severity, '(all)') AS severity, count(*) AS total,
+    """SELECT CASE WHEN grouping(template_class) = 1 THEN '(all)' ELSE template_class END AS template_class, CASE WHEN grouping(severity) = 1 THEN '(all)' ELSE severity END AS severity, count(*) AS total,
 count(*) FILTER (NOT is_error AND score >= 0.70) AS passed, count(*) FILTER (NOT is_error AND score < 0.70) AS failed, count(*) FILTER (is_error) AS errors,
 round(coalesce(CAST(sum(CAST(score AS DECIMAL(18,6))) FILTER (NOT is_error) AS DOUBLE) / nullif(count(*) FILTER (NOT is_error), 0), 0), 6) AS average_score
 FROM v_results GROUP BY GROUPING SETS ((), (template_class), (severity))""", "v_results"))

@@ -32,8 +32,18 @@ def fresh_folder(s) -> str:
     return f"{ensure_checkpoint_dir(s)}/run-{uuid.uuid4().hex}"
 
 
-def feed(s, df, at, cuts, base):
-    """Write ``df`` as time-ordered parquet files and read them back as a stream."""
+def replay(s, slices, base, job):
+    """Append one slice after the other to a folder and run ``job`` on the stream after each.
+
+    Every run starts from the checkpoint of the one before it, as after a restart.
+    """
+    for part in slices:
+        part.write.mode("append").parquet(f"{base}/in")
+        job(s.readStream.schema(part.schema).parquet(f"{base}/in"))
+
+
+def in_time(df, at, cuts):
+    """``df`` in slices of time."""
     edges = [None, *cuts, None]
     for lo, hi in zip(edges, edges[1:]):
         part = df
@@ -41,42 +51,42 @@ def feed(s, df, at, cuts, base):
             part = part.filter(F.col(at) >= F.lit(lo).cast("timestamp"))
         if hi:
             part = part.filter(F.col(at) < F.lit(hi).cast("timestamp"))
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
-    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        yield part
 
 
-@q("s1_read_url_list", sql_with("""SELECT url, CAST(n AS BIGINT) AS line_no FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) AS n, url FROM v_urls) WHERE page_id % 11 <> 0 AND page_id % 13 <> 0""", "v_urls"))
+# Lists of a thousand lines a file, so that the number of files grows with the table.
+@q("s1_read_url_list", sql_with("""SELECT url, CAST(n AS BIGINT) AS line_no FROM (SELECT page_id, row_number() OVER (PARTITION BY page_id // 1000 ORDER BY page_id) AS n, url FROM v_urls) WHERE page_id % 11 <> 0 AND page_id % 13 <> 0""", "v_urls"))
 def _(s, sf):
     base = fresh_folder(s)
     line = F.when(F.col("page_id") % 11 == 0, F.concat(F.lit("# "), "url")).when(F.col("page_id") % 13 == 0, "   ").otherwise(F.concat(F.lit("  "), "url", F.lit(" ")))
-    view(s, sf, "v_urls").orderBy("page_id").coalesce(1).select(line.alias("value")).write.text(base)
+    lists = view(s, sf, "v_urls").select("page_id", line.alias("value"), F.floor(F.col("page_id") / 1000).alias("list"))
+    lists.repartition("list").sortWithinPartitions("list", "page_id").select("value", "list").write.partitionBy("list").text(base)
     return io.read_url_list(s, base)
 
 
-def log_folder(s, sf):
-    """Log files by day written from the events, errors with two traceback lines."""
-    base = fresh_folder(s)
-    ev = view(s, sf, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+def log_lines(s, sf):
+    """Log lines of the events with their day and hour, errors with two traceback lines."""
+    ev = view(s, sf, "events")
     body = F.when(F.col("event_type") == "signup", F.concat(F.lit("Generation run started run_id="), "event_id")).when(
         F.col("event_type") == "purchase", F.concat(F.lit("Generation run finished run_id="), "event_id", F.lit(" status=succeeded user_id="), "user_id")).when(
         F.col("event_type") == "error", F.concat(F.lit("Generation run finished run_id="), "event_id", F.lit(" status=failed error=x\nTraceback (most recent call last):\n  at line 3"))).otherwise(
         F.concat(F.lit("page "), "event_type"))
     level = F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO")
     line = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(" ["), level, F.lit("] app."), F.col("user_id") % 3, F.lit(": "), body)
-    rows = ev.select("day", "ts", "event_id", line.alias("value")).repartition("day").sortWithinPartitions("day", "ts", "event_id")
-    rows.select("value", "day").write.partitionBy("day").text(f"{base}/raw")
-    fs = s.sparkContext._jvm.org.apache.hadoop.fs
-    path = fs.Path(f"{base}/raw")
-    h = path.getFileSystem(s.sparkContext._jsc.hadoopConfiguration())
-    h.mkdirs(fs.Path(f"{base}/logs"))
-    for d in h.listStatus(path):  # one file per day, as the log handler writes them
-        n = d.getPath().getName()
-        if n.startswith("day="):
-            for st in h.listStatus(d.getPath()):
-                h.rename(st.getPath(), fs.Path(f"{base}/logs/app.log.{n[4:]}"))
-    return f"{base}/logs"
+    return ev.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.date_format("ts", "HH").alias("hour"), "ts", "event_id", line.alias("value"))
+
+
+def write_logs(lines, folder):
+    """A folder for each day and hour; their files are written side by side."""
+    lines.repartition("day", "hour").sortWithinPartitions("day", "hour", "ts", "event_id").select("value", "day", "hour").write.mode("append").partitionBy("day", "hour").text(folder)
+    return folder
 
 
+def log_folder(s, sf):
+    return write_logs(log_lines(s, sf), f"{fresh_folder(s)}/logs")
+
+
+_CUTS = ["2024-01-10", "2024-01-20"]
 _LOGS = """SELECT ts, CASE event_type WHEN 'error' THEN 'ERROR' ELSE 'INFO' END AS level, concat('app.', user_id % 3) AS logger, event_type FROM events"""
 
 
@@ -94,9 +104,9 @@ def _(s, sf):
 
 @q("t1_stream_log_counts", f"""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS "start", level, logger, count(*) AS records FROM ({_LOGS}) GROUP BY ALL""")
 def _(s, sf):
-    folder = log_folder(s, sf)
     base = fresh_folder(s)
-    jobs.stream_log_counts(s.readStream.text(folder), base, watermark="400 days")
+    for part in in_time(log_lines(s, sf), "ts", _CUTS):
+        jobs.stream_log_counts(s.readStream.text(write_logs(part, f"{base}/logs")), base)
     return jobs.newest(s, f"{base}/counts").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "level", "logger", "records")
 
 
@@ -169,7 +179,6 @@ def _(s, sf):
     return s.read.schema("version string, template_class string, total bigint, passed bigint").json(base)
 
 
-_CUTS = ["2024-01-10", "2024-01-20"]
 _RUN_CUTS = ["2024-02-01", "2024-03-10"]
 
 
@@ -177,15 +186,23 @@ _RUN_CUTS = ["2024-02-01", "2024-03-10"]
 def _(s, sf):
     base = fresh_folder(s)
     ev = view(s, sf, "v_sub_events").filter("type = 'checkout.session.completed'").withColumn("ts", F.col("ts").cast("timestamp"))
-    jobs.stream_dedup(feed(s, ev, "ts", _CUTS, base), base, "checkout_session_id", ["ts", "event_id"], ["event_id", "customer_id"])
-    return jobs.newest(s, f"{base}/first")
+    replay(s, in_time(ev, "ts", _CUTS), base, lambda st: jobs.stream_dedup(st, base, "checkout_session_id", ["ts", "event_id"], ["event_id", "customer_id"]))
+    return jobs.appended(s, f"{base}/first")
+
+
+@q("t2_dedup_within", sql_with("""SELECT DISTINCT checkout_session_id FROM v_sub_events WHERE type = 'checkout.session.completed'""", "v_sub_events"))
+def _(s, sf):
+    base = fresh_folder(s)
+    ev = view(s, sf, "v_sub_events").filter("type = 'checkout.session.completed'").withColumn("ts", F.col("ts").cast("timestamp"))
+    replay(s, in_time(ev, "ts", _CUTS), base, lambda st: jobs.stream_dedup_within(st, base, "checkout_session_id", "ts", "400 days"))
+    return s.read.parquet(f"{base}/within").select("checkout_session_id")
 
 
 @q("t3_stream_quota", USAGE_SQL["w1_allocate_quota"])
 def _(s, sf):
     base = fresh_folder(s)
     runs = view(s, sf, "v_runs").filter("status = 'succeeded'").select("run_id", "user_id", F.col("started_at").cast("timestamp").alias("started_at"))
-    jobs.stream_quota(feed(s, runs, "started_at", _RUN_CUTS, base), base, view(s, sf, "v_billing"))
+    replay(s, in_time(runs, "started_at", _RUN_CUTS), base, lambda st: jobs.stream_quota(st, base, view(s, sf, "v_billing")))
     return s.read.parquet(f"{base}/placed").select("run_id", "user_id", "month", "nth", "bucket")
 
 
@@ -193,7 +210,7 @@ def _(s, sf):
 def _(s, sf):
     base = fresh_folder(s)
     led = view(s, sf, "v_ledger").withColumn("ts", F.col("ts").cast("timestamp"))
-    jobs.stream_ledger(feed(s, led, "ts", _CUTS, base), base)
+    replay(s, in_time(led, "ts", _CUTS), base, lambda st: jobs.stream_ledger(st, base))
     return s.read.parquet(f"{base}/ledger").select(
         "event_id", "user_id", "kind", "balance", F.when(F.col("kind") != "use", "n/a").when(F.col("accepted"), "accepted").otherwise("rejected").alias("verdict"))
 
@@ -202,7 +219,7 @@ def _(s, sf):
 def _(s, sf):
     base = fresh_folder(s)
     ev = view(s, sf, "v_sub_events").withColumn("ts", F.col("ts").cast("timestamp"))
-    jobs.stream_subscription(feed(s, ev, "ts", _CUTS, base), base)
+    replay(s, in_time(ev, "ts", _CUTS), base, lambda st: jobs.stream_subscription(st, base))
     return jobs.subscription_table(jobs.newest(s, f"{base}/state"))
 
 
@@ -210,7 +227,7 @@ def _(s, sf):
 def _(s, sf):
     base = fresh_folder(s)
     runs = view(s, sf, "v_runs").filter("status = 'succeeded'").select("run_id", "user_id", F.col("started_at").cast("timestamp").alias("started_at"))
-    jobs.stream_monthly_usage(feed(s, runs, "started_at", _RUN_CUTS, base), base)
+    replay(s, in_time(runs, "started_at", _RUN_CUTS), base, lambda st: jobs.stream_monthly_usage(st, base))
     return jobs.newest(s, f"{base}/usage")
 
 
@@ -219,8 +236,6 @@ def _(s, sf):
     base = fresh_folder(s)
     d = view(s, sf, "documents").select("doc_id", e.cache_key(F.col("source"), F.col("text")).alias("cache_key"))
     new = d.filter("doc_id % 2 = 1")
-    for i in range(3):
-        new.filter(F.col("doc_id") % 3 == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    stream = s.readStream.schema(new.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    jobs.stream_new_pages(stream, base, d.filter("doc_id % 2 = 0"), order="doc_id")
-    return jobs.newest(s, f"{base}/new").select("doc_id", "cache_key")
+    slices = (new.filter(F.col("doc_id") % 3 == i) for i in range(3))
+    replay(s, slices, base, lambda st: jobs.stream_new_pages(st, base, d.filter("doc_id % 2 = 0"), order="doc_id"))
+    return jobs.appended(s, f"{base}/new").select("doc_id", "cache_key")

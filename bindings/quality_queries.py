@@ -158,7 +158,8 @@ def _(s, sf):
     return _status(s, sf)
 
 
-@q("f32_merge_repaired", sql_with("SELECT doc_id, section_id, ord, block_id, semantic_type FROM blk WHERE NOT (doc_id % 4 <> 0 AND (doc_id, section_id) IN (SELECT doc_id, section_id FROM err) AND (doc_id, section_id) IN (SELECT doc_id, section_id FROM fixed)) UNION ALL SELECT doc_id, section_id, ord, block_id, semantic_type FROM fixed WHERE doc_id % 4 <> 0 AND (doc_id, section_id) IN (SELECT doc_id, section_id FROM err)", "v_li", extra=_ALL))
+@q("f32_merge_repaired", sql_with("""SELECT doc_id, section_id, ord, block_id, semantic_type FROM blk LEFT JOIN (SELECT DISTINCT doc_id, section_id, true AS bad FROM err) e USING (doc_id, section_id) LEFT JOIN (SELECT DISTINCT doc_id, section_id, true AS mended FROM fixed) f USING (doc_id, section_id)
+WHERE NOT (doc_id % 4 <> 0 AND coalesce(bad, false) AND coalesce(mended, false)) UNION ALL SELECT doc_id, section_id, ord, block_id, semantic_type FROM fixed SEMI JOIN err USING (doc_id, section_id) WHERE doc_id % 4 <> 0""", "v_li", extra=_ALL))
 def _(s, sf):
     sec, blk = cls(s, sf)
     fixed = k.autocorrect_blocks(sec, blk)[1].filter("doc_id % 4 <> 0")
@@ -188,7 +189,7 @@ D = "SELECT DISTINCT doc_id, doc_id % 9 = 0 AS label_column_fixed, doc_id % 4 =
 
 def parser_docs(s, sf):
     view(s, sf, "v_paras").createOrReplaceTempView("quire_v_paras")
-    p = s.sql(P.replace("FROM v_paras", "FROM quire_v_paras")).filter("NOT (section_id = 's2' AND ord % 600 > 130)")
+    p = s.sql(P.replace("FROM v_paras", "FROM quire_v_paras"))
     p.createOrReplaceTempView("quire_p")
     return (s.sql(D.replace("FROM p", "FROM quire_p")), s.sql(S.replace("FROM v_paras", "FROM quire_v_paras")), p, s.sql(M.replace("FROM p", "FROM quire_p")))
 
@@ -200,7 +201,7 @@ _TOK = r"string_split_regex(trim(text), '\s+')"
 _SKL = (f"(len({_TOK}) >= 4 AND length(trim(text)) >= 20 AND NOT regexp_matches(trim(text), '{k.DATE}') AND NOT {_CON} AND regexp_extract(lower(trim(text)), '^([a-z0-9_]*)', 1) NOT IN {inl(k.DETECTOR_VERBS)}"
         f" AND NOT (len({_TOK}) >= 8 AND regexp_matches(trim(text), '[.!?]$')) AND NOT (" + " OR ".join(f"contains(lower(trim(text)), '{c}')" for c in k.CONNECTORS + k.INSTITUTION_WORDS) + ")"
         rf" AND NOT (len({_TOK}) <= 4 AND NOT regexp_matches(text, '[,;]') AND len(list_filter({_TOK}, lambda w: regexp_matches(w, '^\p{{Lu}}'))) = len({_TOK})) AND (len(regexp_extract_all(text, '[,;]')) >= 2 OR (len({_TOK}) >= 6 AND NOT regexp_matches(trim(text), '[.!?]$'))))")
-_DET = rf"""p AS (SELECT * FROM ({P}) WHERE NOT (section_id = 's2' AND ord % 600 > 130)), sc AS (SELECT *, section_id = 's0' AS is_exp FROM ({S})), mem AS ({M}), d AS ({D}), ps AS (SELECT p.*, is_exp, raw_title, sc.semantic_type FROM p JOIN sc USING (doc_id, section_id)),
+_DET = rf"""p AS (SELECT * FROM ({P})), sc AS (SELECT *, section_id = 's0' AS is_exp FROM ({S})), mem AS ({M}), d AS ({D}), ps AS (SELECT p.*, is_exp, raw_title, sc.semantic_type FROM p JOIN sc USING (doc_id, section_id)),
 ro AS (SELECT doc_id, section_id, role_id, count(*) FILTER (kind = 'header') AS h, count(*) FILTER (kind = 'bullet') AS b FROM mem GROUP BY ALL),
 ins AS (SELECT m.doc_id, m.section_id, m.role_id, count(*) AS n FROM mem m JOIN ps USING (doc_id, section_id, para_id) WHERE kind = 'bullet' AND is_exp AND parser_semantic = 'role_meta' GROUP BY ALL),
 orp AS (SELECT * FROM ps WHERE is_exp AND parser_semantic = 'paragraph' AND (doc_id, section_id, para_id) NOT IN (SELECT doc_id, section_id, para_id FROM mem)),

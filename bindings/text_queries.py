@@ -335,7 +335,7 @@ _NAMES = "list_concat(string_split(p_name, ' '), [upper(p_name[1]) || p_name[2:]
 @q("u5_distinct_ci", f"""SELECT p_partkey, array_to_string(list_filter(a, lambda v, i: list_position(list_transform(a, lambda z: lower(z)), lower(v)) = i), '|') AS items FROM (SELECT p_partkey, {_NAMES} AS a FROM part)""")
 def _(s, sf):
     arr = F.concat(F.split("p_name", " "), F.array(
-        F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 1000)), "p_brand", "p_type", F.upper("p_type"), F.split("p_name", " ")[0]))
+        F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substring(p_name, 2)")), "p_brand", "p_type", F.upper("p_type"), F.split("p_name", " ")[0]))
     return view(s, sf, "part").select("p_partkey", F.array_join(t.distinct_ci(arr), "|").alias("items"))
 
 
@@ -343,8 +343,8 @@ _TITLES = """SELECT doc_id, line_no, CASE WHEN line_no % 10 = 2 AND line_no > 10
 
 
 @q("w10_merge_title_lines", sql_with(r"""
-SELECT t.doc_id, t.line_no, CASE WHEN t.m THEN t.ps || ' | ' || trim(t.line) ELSE t.line END AS line, t.m AS merged FROM mk t
-WHERE NOT EXISTS (SELECT 1 FROM mk e WHERE e.m AND e.doc_id = t.doc_id AND e.pat = t.line_no)""", "v_resume_lines", extra=f"""tt AS ({_TITLES}),
+SELECT t.doc_id, CASE WHEN t.m THEN t.pat ELSE t.line_no END AS line_no, CASE WHEN t.m THEN t.ps || ' | ' || trim(t.line) ELSE t.line END AS line, t.m AS merged FROM mk t
+LEFT JOIN (SELECT doc_id, pat AS eaten FROM mk WHERE m) e ON e.doc_id = t.doc_id AND e.eaten = t.line_no WHERE e.eaten IS NULL""", "v_resume_lines", extra=f"""tt AS ({_TITLES}),
 fl AS (SELECT *, trim(line) AS s FROM tt), cand AS (SELECT *, s <> '' AND NOT contains(s, '|') AND NOT starts_with(s, '- ') AND s <> upper(s) AND lower(string_split(s, ' ')[1]) NOT IN {inlist(L.TITLE_MERGE_STOP_WORDS)} AND length(s) <= 60 AND NOT regexp_matches(s, '[.!?,:;]$') AS ti,
  s <> '' AND contains(s, '|') AND regexp_matches(s, '(^|[^0-9A-Za-z_])(19|20)[0-9][0-9]($|[^0-9A-Za-z_])') AS tg FROM fl),
 pv AS (SELECT doc_id, line_no, lag(ti) OVER w AS pti, lag(s) OVER w AS ps, lag(line_no) OVER w AS pat FROM cand WHERE s <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),

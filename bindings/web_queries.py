@@ -48,7 +48,7 @@ def _(s, sf):
         F.when(F.col("page_id") % 6 == 0, "<!-- AuthWall -->").when(F.col("page_id") % 7 == 0, "<!-- Just A Moment -->").otherwise(""), "html"))
     p = p.withColumns({
         "job_title": F.when(F.col("page_id") % 4 == 0, "Unknown").otherwise("Role"),
-        "description": F.substring("html", 4001, 1000000)})
+        "description": F.expr("substring(html, 4001)")})
     return w.page_quality(w.page_flags(p), ["site"])
 
 

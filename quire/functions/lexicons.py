@@ -118,7 +118,7 @@ SPACE_VARIANTS = "\u00a0\u202f\u2009\u2007"
 
 # Patterns.
 WORD = r"[\p{L}\p{N}_]+"
-YEAR_WORD = r"^(19|20)[0-9]{2}$"
+YEAR_IN_TEXT = r"(?<![\p{L}\p{N}_])(?:19|20)[0-9]{2}(?![\p{L}\p{N}_])"
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 LETTER_DATE = rf"(?i)\b(?:{MONTHS})\s+[0-9]{{1,2}}(?:[a-z]{{1,2}})?,?\s*[0-9]{{4}}\b"
 MONTH_SHORT = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)(?:[a-z]*)\.?"

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from quire.functions import lexicons as L
 
 
+BLANKS = " \t\n\x0b\f\r\u00a0"
+
+
 def strip(c: Column) -> Column:
     """Both ends without white space of any kind."""
-    return F.regexp_replace(c, r"^[\s\x{a0}]+|[\s\x{a0}]+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def blank(c: Column) -> Column:
@@ -26,11 +29,11 @@ def words(c: Column) -> Column:
 
 def years(c: Column) -> Column:
     """Four-digit years standing as whole words, as integers."""
-    return F.transform(F.filter(words(c), lambda w: w.rlike(L.YEAR_WORD)), lambda w: w.cast("int"))
+    return F.transform(F.regexp_extract_all(c, F.lit(L.YEAR_IN_TEXT), 0), lambda w: w.cast("int"))
 
 
 def has_year(c: Column) -> Column:
-    return F.exists(words(c), lambda w: w.rlike(L.YEAR_WORD))
+    return c.rlike(L.YEAR_IN_TEXT)
 
 
 def any_of(c: Column, needles: Iterable[str]) -> Column:
@@ -77,9 +80,9 @@ def alias_key(c: Column) -> Column:
 def unspaced(c: Column) -> Column:
     """Letter-spaced headings joined up; anything else lower-cased."""
     s = strip(c)
-    one = r"[^\s\x{a0}]"
-    spaced = s.rlike(rf"^{one}(?:[ \t]+{one})*(?:[ \t]*\x{{a0}}[ \t\x{{a0}}]*{one}(?:[ \t]+{one})*)*$")
-    marked = F.regexp_replace(s, r"[ \t]*\x{a0}[ \t\x{a0}]*", "\u0001")
+    signs = F.split(s, r"[ \t\x{a0}]+")
+    spaced = (s != "") & F.forall(signs, lambda w: (F.length(w) == 1) & ~w.rlike(r"\s"))
+    marked = F.regexp_replace(F.translate(s, "\t", " "), r"(?<! ) *\x{a0}[ \x{a0}]*", "\u0001")
     joined = F.replace(F.regexp_replace(marked, r"[ \t]+", ""), F.lit("\u0001"), F.lit(" "))
     return F.lower(F.when(spaced, joined).otherwise(c))
 
@@ -87,7 +90,7 @@ def unspaced(c: Column) -> Column:
 def canonical_text(c: Column) -> Column:
     """Unix line ends, no trailing blanks, one final newline."""
     c = F.regexp_replace(c, r"\r\n?", "\n")
-    c = F.regexp_replace(c, r"[ \t\x0B\f\x{a0}]+\n", "\n")
+    c = F.regexp_replace(c, r"(?<![ \t\x0B\f\x{a0}])[ \t\x0B\f\x{a0}]++\n", "\n")
     return F.concat(strip(c), F.lit("\n"))
 
 
@@ -104,7 +107,7 @@ def slug(c: Column) -> Column:
 def file_safe(c: Column) -> Column:
     """Runs of other characters as one underscore, none at the ends."""
     s = F.regexp_replace(c, "[^A-Za-z0-9_-]", "_")
-    return F.regexp_replace(F.regexp_replace(s, "^_+|_+$", ""), "_+", "_")
+    return F.regexp_replace(F.btrim(s, F.lit("_")), "_+", "_")
 
 
 def strip_code_fence(c: Column) -> Column:
@@ -168,8 +171,11 @@ def summary_snippet(c: Column) -> Column:
 
 def distinct_ci(arr: Column) -> Column:
     """Case-insensitive distinct, first spelling kept, order kept."""
-    low = F.transform(arr, F.lower)
-    return F.filter(arr, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    keyed = F.array_sort(F.transform(arr, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x"))))
+    # Beside every element the one before it, so that no element looks into the whole list.
+    before = F.slice(F.concat(F.array(F.lit(None).cast("string")), F.transform(keyed, lambda e: e["k"])), 1, F.size(keyed))
+    marked = F.zip_with(keyed, before, lambda e, b: F.struct(e["i"].alias("i"), e["x"].alias("x"), (e["k"].isNotNull() & ~e["k"].eqNullSafe(b)).alias("first")))
+    return F.transform(F.array_sort(F.filter(marked, lambda e: e["first"])), lambda e: e["x"])
 
 
 def contains_marker(c: Column) -> Column:

@@ -113,7 +113,10 @@ def issue_frequency(results: DataFrame, issues: str = "issues") -> DataFrame:
 
 
 def suite_report(results: DataFrame, group_cols: Sequence[str] = ("template_class", "severity")) -> DataFrame:
-    """Counts and mean score overall and per dimension in one pass; errors are out of the means."""
+    """Counts and mean score overall and per dimension in one pass; errors are out of the means.
+
+    ``(all)`` marks totals; a null dimension value stays null.
+    """
     sets = [[]] + [[g] for g in group_cols]
     ok = ~F.col("is_error")
     agg = results.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(g) for g in group_cols]).agg(
@@ -123,10 +126,10 @@ def suite_report(results: DataFrame, group_cols: Sequence[str] = ("template_clas
         F.count_if(F.col("is_error")).alias("errors"),
         F.sum(F.when(ok, F.col("score").cast("decimal(18,6)"))).alias("s"),
         F.count_if(ok).alias("n"),
-        F.grouping_id().alias("gid"),
+        *[F.grouping(g).alias(f"__g{i}") for i, g in enumerate(group_cols)],
     )
     return agg.select(
-        *[F.coalesce(g, F.lit("(all)")).alias(g) for g in group_cols],
+        *[F.when(F.col(f"__g{i}") == 1, "(all)").otherwise(F.col(g)).alias(g) for i, g in enumerate(group_cols)],
         "total", "passed", "failed", "errors",
         F.round(F.coalesce(F.col("s").cast("double") / F.nullif("n", F.lit(0)), F.lit(0.0)), 6).alias("average_score"),
     )
@@ -138,7 +141,10 @@ def class_frequency(results: DataFrame, classes: str = "failure_classes") -> Dat
 
 
 def grade_aggregate(grades: DataFrame, keys: Sequence[str], score: str = "score") -> DataFrame:
-    """Counts, mean, exact median, min and max per key; ``fail`` counts hard fails too."""
+    """Counts, mean, exact median, min and max per key; ``fail`` counts hard fails too.
+
+    Without keys there is one row, of zeros when there are no grades.
+    """
     stats = grades.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("sample_count"),
         F.count_if(F.col("status") == "pass").alias("pass_count"),
@@ -148,6 +154,10 @@ def grade_aggregate(grades: DataFrame, keys: Sequence[str], score: str = "score"
         F.round(F.sum(F.col(score).cast("decimal(18,6)")).cast("double") / F.count(F.lit(1)), 6).alias("average_score"),
         F.min(score).alias("min_score"), F.max(score).alias("max_score"),
     )
+    if not keys:
+        med = grouped_median(grades.withColumn("__all", F.lit(1)), ["__all"], score, "median_score").drop("__all")
+        numbers = ["average_score", "min_score", "max_score", "median_score"]
+        return stats.join(F.broadcast(med), how="left").withColumn("median_score", F.round("median_score", 6)).fillna(0.0, numbers)  # one row each
     med = grouped_median(grades, keys, score, "median_score")
     return stats.join(med, list(keys), "left").withColumn("median_score", F.round("median_score", 6))
 

@@ -455,6 +455,23 @@ def section_diff(src: DataFrame, out: DataFrame, doc: str = "doc_id", order: str
     ).filter("differing > 0")
 
 
+EXPERIENCE_HEADS = ("experience", "professional experience")
+
+
+def _experience_lines(lines: DataFrame, doc: str, order: str, line: str) -> DataFrame:
+    """Lines of the experience section: it closes at the first other heading after an experience heading
+    and starts at the last experience heading before that."""
+    low = F.lower(t.strip(F.col(line)))
+    d = lines.withColumn("__head", F.when(low.isin(*DIFF_HEADERS), low))
+    mine = F.col("__head").isin(*EXPERIENCE_HEADS)
+    heads = cut(d.filter(F.col("__head").isNotNull()).select(doc, F.col(order).alias("__at"), mine.alias("__mine")))
+    first = heads.filter("__mine").groupBy(doc).agg(F.min("__at").alias("__first"))
+    stop = heads.filter("NOT __mine").join(first, doc).filter("__at > __first").groupBy(doc).agg(F.min("__at").alias("__stop"))
+    start = heads.filter("__mine").join(stop, doc, "left").filter("__stop IS NULL OR __at < __stop").groupBy(doc, "__stop").agg(F.max("__at").alias("__start"))
+    inside = (F.col(order) > F.col("__start")) & (F.col("__stop").isNull() | (F.col(order) < F.col("__stop"))) & F.col("__head").isNull()
+    return d.join(start, doc).filter(inside).drop("__start", "__stop")
+
+
 def experience_bullets(lines: DataFrame, dashed: bool, doc: str = "doc_id", order: str = "line_no", line: str = "line",
                        block: int = 4096) -> DataFrame:
     """(doc, role, idx, text): bullets of each role in the experience section.
@@ -462,11 +479,10 @@ def experience_bullets(lines: DataFrame, dashed: bool, doc: str = "doc_id", orde
     With ``dashed`` only dash or dot lines are bullets; otherwise every line but
     a date line is.
     """
-    d = section_lines(lines, doc, order, line, block)
+    d = _experience_lines(lines, doc, order, line)
     s = t.strip(F.col(line))
-    exp = F.col("__sec").isin("experience", "professional experience") & F.col("__head").isNull()
     head = s.contains("|") & ~s.startswith("-") & ~s.startswith("•")
-    d = d.filter(exp & (s != "")).select(doc, order, s.alias("__s"), head.alias("__r"))
+    d = d.filter(s != "").select(doc, order, s.alias("__s"), head.alias("__r"))
     d = ordered_scan(d, [doc], [order], [F.floor(F.col(order) / block)], [running_sum("role", F.col("__r").cast("long"))])
     date = t.has_year(F.col("__s")) & ~F.col("__s").contains("|") & (F.length("__s") < 60)
     is_bullet = F.col("__s").rlike("^[-•] ") if dashed else ~date
@@ -481,9 +497,8 @@ def experience_diff(src: DataFrame, out: DataFrame, doc: str = "doc_id", order:
 
     def head(df: DataFrame) -> DataFrame:
         s = t.strip(F.col(line))
-        d = section_lines(df, doc, order, line)
-        role = F.col("__sec").isin("experience", "professional experience") & F.col("__head").isNull() & s.contains("|") & ~s.rlike("^[-•]")
-        return d.filter(role).groupBy(doc).agg(F.count(F.lit(1)).alias("roles"))
+        d = _experience_lines(df, doc, order, line)
+        return d.filter(s.contains("|") & ~s.rlike("^[-•]")).groupBy(doc).agg(F.count(F.lit(1)).alias("roles"))
 
     both = cut(head(src).join(head(out).withColumnRenamed("roles", "r2"), doc).select(doc, F.least("roles", "r2").alias("roles")))
     cap = lambda df: df.join(both, doc).filter("role <= roles").drop("roles")

@@ -252,7 +252,7 @@ def classification_rules(sections: DataFrame, blocks: DataFrame) -> DataFrame:
         .filter("value <> required").select("doc_id", "section_id", "code", F.lit("").alias("block_id"))
     )
     base = sections.select("doc_id", "section_id", "semantic_type")
-    invalid = base.filter(~F.col("semantic_type").isin(*VALID_TYPES)).select(
+    invalid = base.filter(~F.coalesce(F.col("semantic_type").isin(*VALID_TYPES), F.lit(False))).select(
         "doc_id", "section_id", F.lit("SEC_INVALID_SEMANTIC_TYPE").alias("code"), F.lit("").alias("block_id"))
     no_id = base.filter(F.coalesce("section_id", F.lit("")) == "").select(
         "doc_id", "section_id", F.lit("SEC_MISSING_SECTION_ID").alias("code"), F.lit("").alias("block_id"))
@@ -266,7 +266,7 @@ def classification_rules(sections: DataFrame, blocks: DataFrame) -> DataFrame:
     need = F.coalesce("need", "own")
     codes = F.array_compact(F.array(
         F.when(F.col("known").isNull(), F.col("type_code")),
-        F.when(need.isNotNull() & (F.col("rewrite_policy") != need), F.col("policy_code")),
+        F.when(need.isNotNull() & ~F.col("rewrite_policy").eqNullSafe(need), F.col("policy_code")),
         F.when(F.col("new_code").isNotNull() & F.coalesce("is_new", F.lit(True)), F.col("new_code")),
     ))
     bad_block = b.select("doc_id", "section_id", F.explode(codes).alias("code"), "block_id")
@@ -317,7 +317,7 @@ def downgrade_invalid(sections: DataFrame, blocks: DataFrame, errors: DataFrame)
         first, ["doc_id", "section_id"], ["__at", "para_id"], ["__at.a", "__at.b", "__at.c", F.floor(F.col("__at.d") / 1024)], [rank_in("n")])
     new = ranked.select(
         "doc_id", "section_id", F.lit("").alias("role_id"), F.lit("block").alias("grp"), F.col("n").alias("ord"),
-        F.coalesce(F.nullif("block_id", F.lit("")), F.concat(F.lit("blk_"), F.lpad(F.col("n").cast("string"), 3, "0"))).alias("block_id"),
+        F.coalesce(F.nullif("block_id", F.lit("")), F.concat(F.lit("blk_"), F.when(F.col("n") < 1000, F.lpad(F.col("n").cast("string"), 3, "0")).otherwise(F.col("n").cast("string")))).alias("block_id"),
         "para_id", F.lit("other_paragraph").alias("semantic_type"), F.lit("preserve").alias("rewrite_policy"), F.lit(False).alias("is_new"),
     )
     kept = blocks.join(bad, ["doc_id", "section_id"], "left_anti").select(*new.columns)

@@ -139,7 +139,7 @@ def section_features(lines: DataFrame, keys: Sequence[str], line: str = "line")
     """Counts and densities of a section's lines; distinct keywords as bit sets, so all parts merge."""
     c = F.col(line)
     n = F.length(c)
-    years = F.size(F.filter(t.words(c), lambda w: w.rlike(L.YEAR_WORD)))
+    years = F.regexp_count(c, F.lit(L.YEAR_IN_TEXT))
     marks = F.regexp_count(c, F.lit("[|–—]")) + F.size(F.filter(t.words(c), lambda w: w == "at"))
     d = lines.select(*keys, n.alias("n"), c.rlike(r"^\s*[-•·▪▸]\s").alias("b"), years.alias("y"), marks.alias("m"),
                      F.regexp_count(c, F.lit(",")).alias("c"), F.regexp_count(c, F.lit(";")).alias("sc"),

@@ -340,7 +340,7 @@ def duplicate_pages(pages: DataFrame, doc: str, page: str, text: str) -> DataFra
 
 def merge_title_lines(lines: DataFrame, doc: str = "doc_id", order: str = "line_no", line: str = "line",
                       block: int = 4096) -> DataFrame:
-    """A short title followed by a ``company | year`` line becomes one line."""
+    """A short title followed by a ``company | year`` line becomes one line, at the title's place."""
     s = t.strip(F.col(line))
     first_word = F.lower(F.split(s, r"\s+")[0])
     title = (
@@ -358,5 +358,6 @@ def merge_title_lines(lines: DataFrame, doc: str = "doc_id", order: str = "line_
     eaten = d.filter("__m").select(doc, F.col("__prev.at").alias(order), F.lit(True).alias("__eaten"))
     text = F.when(F.col("__m"), F.concat(F.col("__prev.s"), F.lit(" | "), F.col("__s"))).otherwise(F.col(line))
     return d.join(eaten, [doc, order], "left").filter("__eaten IS NULL").select(
-        *[c for c in lines.columns if c != line], text.alias(line), F.col("__m").alias("merged")
+        *[F.when(F.col("__m"), F.col("__prev.at")).otherwise(F.col(order)).alias(c) if c == order else F.col(c) for c in lines.columns if c != line],
+        text.alias(line), F.col("__m").alias("merged"),
     )

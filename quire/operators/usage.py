@@ -290,6 +290,7 @@ def compliance(users: DataFrame, docs: DataFrame, accepted: DataFrame, user: str
     """Whether each user holds the current terms and privacy documents.
 
     ``accepted`` has (user, doc_type, document_id), one row per user and type.
+    Without a current document of a type nobody complies.
     """
     current = {
         t: current_document(docs.filter(F.col("doc_type") == t)).select(
@@ -303,9 +304,9 @@ def compliance(users: DataFrame, docs: DataFrame, accepted: DataFrame, user: str
     )
     one = users.join(held, user, "left").withColumn("__one", F.lit(1))
     for c in current.values():
-        one = one.join(F.broadcast(c.withColumn("__one", F.lit(1))), "__one")
+        one = one.join(F.broadcast(c.withColumn("__one", F.lit(1))), "__one", "left")  # one row at most
     ok = {
-        t: F.coalesce(F.col(f"held_{t}") == F.col(f"{t}_id"), F.lit(False)) | ~F.col(f"{t}_req")
+        t: F.coalesce(F.col(f"held_{t}") == F.col(f"{t}_id"), F.lit(False)) | F.coalesce(~F.col(f"{t}_req"), F.lit(False))
         for t in ("terms", "privacy")
     }
     return one.select(

@@ -5,7 +5,7 @@ Every operator that needs an order inside a key goes through
 balanced when one key holds a large share of the rows.
 """
 
-from quire.plans.joins import fits_broadcast, lookup_join, rule_table
+from quire.plans.joins import lookup_join, rule_table
 from quire.plans.lineage import cut
 from quire.plans.quantile import grouped_median
 from quire.plans.scan import (
@@ -22,7 +22,7 @@ from quire.plans.scan import (
 )
 
 __all__ = [
-    "cut", "fits_broadcast", "grouped_median", "hot_keys", "lag1", "last_seen", "last_seen_before",
+    "cut", "grouped_median", "hot_keys", "lag1", "last_seen", "last_seen_before",
     "lead1", "lookup_join", "next_seen_after", "ordered_scan", "rank_in", "rule_table",
     "running_min", "running_sum",
 ]

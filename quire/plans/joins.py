@@ -7,39 +7,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-
-
 def rule_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A table made of constants; its size is fixed by the code, so it may be broadcast."""
     return F.broadcast(spark.createDataFrame(list(rows), schema))
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` holds at most ``max_rows`` rows (reads no more than that)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def lookup_join(
     fact: DataFrame,
     dim: DataFrame,
     on: Sequence[str],
     how: str = "left",
     spread: Column | None = None,
-    salts: int = 16,
-    max_rows: int = BROADCAST_ROWS,
+    salts: int = 0,
 ) -> DataFrame:
-    """Join ``fact`` to ``dim`` (unique on ``on``), balanced for hot fact keys.
+    """Join ``fact`` to ``dim`` (unique on ``on``), keeping the fact side whole.
 
-    ``dim`` is broadcast after its size was checked.  Beyond the bound the fact
-    side is salted with a hash of ``spread`` (a per-row id) and each ``dim`` row
-    is repeated once per salt, so a key holding a third of the rows is divided
-    over ``salts`` tasks.
+    Adaptive execution broadcasts ``dim`` when its measured bytes allow it and
+    divides a hot key's partition otherwise.  Without adaptive execution give
+    ``salts``: the fact side is then salted with a hash of ``spread`` (a
+    per-row id) and each ``dim`` row repeated once per salt.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join keeps the fact side whole; got how={how!r}")
-    if fits_broadcast(dim, max_rows):
-        return fact.join(F.broadcast(dim), list(on), how)
+    if not salts:
+        return fact.join(dim, list(on), how)
     by = spread if spread is not None else F.struct(*fact.columns)
     left = fact.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     right = dim.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -167,7 +167,7 @@ def ordered_scan(
 ) -> DataFrame:
     """Add one column per scan, computed over ``keys`` in ``order``.
 
-    ``keys`` must be non-null; ``order`` must be total inside a key.
+    ``order`` must be total inside a key; null is a key like any other.
     """
     if not keys:
         return _blocked(df, keys, order, block, scans)
@@ -176,9 +176,11 @@ def ordered_scan(
         return _whole(df, keys, order, scans)
     if hot.limit(HOT_KEYS + 1).count() > HOT_KEYS:
         return _blocked(df, keys, order, block, scans)
-    few = F.broadcast(hot)
-    return _whole(df.join(few, list(keys), "left_anti"), keys, order, scans).unionByName(
-        _blocked(df.join(few, list(keys), "left_semi"), keys, order, block, scans)
+    # A struct of the keys is never null itself, so rows with null keys find their hot key too.
+    few = F.broadcast(hot.select(F.struct(*keys).alias("__hot")))
+    is_hot = F.struct(*keys) == F.col("__hot")
+    return _whole(df.join(few, is_hot, "left_anti"), keys, order, scans).unionByName(
+        _blocked(df.join(few, is_hot, "left_semi"), keys, order, block, scans)
     )
 
 
@@ -205,20 +207,22 @@ def _blocked(
     at = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order_cols)])
     blocks = [f"__b{i}" for i in range(len(block))]
     rows = df.withColumns({b: _col(c) for b, c in zip(blocks, block)})
+    # One struct of keys and block: equal also where a part is null, and one partitioning for the join and the windows.
+    rows = rows.withColumns({"__k": F.struct(F.lit(0).alias("all"), *keys), "__kb": F.struct(F.lit(0).alias("all"), *keys, *blocks)})
 
-    sums = rows.groupBy(*keys, *blocks).agg(
+    sums = rows.groupBy("__k", "__kb", *blocks).agg(
         *[s.summary(at).alias(f"__s{i}") for i, s in enumerate(scans)]
     )
-    bf = Window.partitionBy(*keys).orderBy(*blocks)
-    bb = Window.partitionBy(*keys).orderBy(*[F.col(b).desc() for b in blocks])
+    bf = Window.partitionBy("__k").orderBy(*blocks)
+    bb = Window.partitionBy("__k").orderBy(*[F.col(b).desc() for b in blocks])
     carried = sums.select(
-        *keys, *blocks,
+        "__kb",
         *[s.carry(F.col(f"__s{i}"), bf, bb).alias(f"__c{i}") for i, s in enumerate(scans)],
     )
 
-    wf = Window.partitionBy(*keys, *blocks).orderBy(*order_cols)
-    wb = Window.partitionBy(*keys, *blocks).orderBy(*[c.desc() for c in order_cols])
-    joined = rows.join(carried, [*keys, *blocks], "left")
+    wf = Window.partitionBy("__kb").orderBy(*order_cols)
+    wb = Window.partitionBy("__kb").orderBy(*[c.desc() for c in order_cols])
+    joined = rows.join(carried, "__kb", "left")
     inner = joined.select(
         "*", *[s.inside(wf, wb).alias(f"__i{i}") for i, s in enumerate(scans)]
     )

@@ -17,10 +17,15 @@ LOG_LINE = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}) \[([A-Z]+)\] ([^:]+): (.*)$"
 
 
 def _numbered(lines: DataFrame) -> DataFrame:
-    """Text lines with file and line number; a file is numbered in the blocks it was read in."""
-    d = lines.select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("__k"))
+    """Text lines with the path of their file and the line number there.
+
+    A large file is read in several parts, which are ordered by where they start; inside a
+    part lines keep the order in which it was read.
+    """
+    d = lines.select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__k"))
     d = cut(d)
-    return ordered_scan(d, ["file"], ["__k"], [F.shiftright("__k", 33), F.floor((F.col("__k") % (1 << 33)) / 65536)], [rank_in("line_no")]).drop("__k")
+    return ordered_scan(d, ["file"], ["__b", "__k"], ["__b", F.floor((F.col("__k") % (1 << 33)) / 65536)], [rank_in("line_no")]).drop("__k", "__b")
 
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
@@ -38,23 +43,25 @@ def _days(start: str, end: str) -> tuple[str, str]:
 def read_log_lines(spark: SparkSession, folder: str, start: str, end: str, today: str | None = None) -> DataFrame:
     """Every log line of the days in range with the record it belongs to.
 
-    Files are chosen by name before they are opened; a line that does not have
-    the record layout continues the record before it.
+    A day's lines are in ``app.log.<day>``, in ``app.log.<day>.<n>`` or in any files below ``day=<day>``; the current
+    day's in ``app.log``.  Files are chosen by path before they are opened; a line that does not have
+    the record layout continues the record before it in its file.
     """
     lo, hi = _days(start, end)
     today = today or dt.date.today().isoformat()
-    name = F.col("_metadata.file_name")
-    day = F.when(name == "app.log", F.lit(today)).otherwise(F.regexp_extract(name, r"^app\.log\.(\d{4}-\d{2}-\d{2})$", 1))
-    d = _numbered(spark.read.text(folder).filter(day.between(lo, hi)))
+
+    def day(path):
+        return F.when(path.rlike("/app\\.log$"), F.lit(today)).otherwise(F.regexp_extract(path, r"(?:/app\.log\.|/day=)(\d{4}-\d{2}-\d{2})(?:\.\d+$|/|$)", 1))
+
+    d = _numbered(spark.read.text(folder).filter(day(F.col("_metadata.file_path")).between(lo, hi)))
     get = lambda i: F.regexp_extract("value", LOG_LINE, i)
     d = d.withColumn("is_record", F.col("value").rlike(LOG_LINE)).withColumn(
         "__h", F.when(F.col("is_record"), F.struct(get(1).alias("ts"), get(2).alias("level"), get(3).alias("logger"), get(4).alias("message"))))
     d = ordered_scan(d, ["file"], ["line_no"], [F.floor(F.col("line_no") / 65536)], [
         running_sum("record", F.col("is_record").cast("long")), last_seen("head", "__h")])
-    file_day = F.when(F.col("file") == "app.log", F.lit(today)).otherwise(F.right("file", F.lit(10)))
     return d.select(
         F.to_timestamp("head.ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), "head.level", "head.logger", "head.message",
-        F.to_date(file_day).alias("file_date"), "file", "record", "line_no", "is_record", "value",
+        F.to_date(day(F.col("file"))).alias("file_date"), "file", "record", "line_no", "is_record", "value",
     )
 
 
@@ -134,3 +141,15 @@ def latest_version(spark: SparkSession, base: str, upto: int) -> DataFrame | Non
     found = [int(s.getPath().getName()[2:]) for s in fs.listStatus(path) if s.getPath().getName().startswith("v=")]
     done = [v for v in found if v <= upto and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{base}/v={v:010d}/_SUCCESS"))]
     return spark.read.parquet(f"{base}/v={max(done):010d}") if done else None
+
+
+def earlier_batches(spark: SparkSession, base: str, before: int | None = None) -> DataFrame | None:
+    """Rows of the whole batches under ``base`` (``batch=<n>`` folders), those before batch ``before`` only."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    done = [n for n in sorted(names) if n.startswith("batch=") and (before is None or int(n[6:]) < before) and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{base}/{n}/_SUCCESS"))]
+    return spark.read.parquet(*[f"{base}/{n}" for n in done]) if done else None

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import usage as u
 from quire.plans import cut, lookup_join
-from quire.sources.io import LOG_LINE, latest_version, upsert_folder
+from quire.sources.io import LOG_LINE, earlier_batches, latest_version, upsert_folder
 
 
 def _run(stream: DataFrame, base: str, each: Callable[[DataFrame, int], None], mode: str = "append"):
@@ -37,6 +37,11 @@ def newest(spark: SparkSession, base: str) -> DataFrame:
     return latest_version(spark, base, 1 << 40)
 
 
+def appended(spark: SparkSession, base: str) -> DataFrame:
+    """All rows that a job has appended to a table."""
+    return earlier_batches(spark, base)
+
+
 def log_counts(lines: DataFrame, watermark: str = "1 day", size: str = "1 hour") -> DataFrame:
     """Tumbling counts of (level, logger) from a stream of log lines."""
     get = lambda i: F.regexp_extract("value", LOG_LINE, i)
@@ -65,16 +70,28 @@ def dedup_within(events: DataFrame, key: str, at: str, watermark: str) -> DataFr
     return events.withWatermark(at, watermark).dropDuplicatesWithinWatermark([key])
 
 
+def stream_dedup_within(events: DataFrame, base: str, key: str, at: str, watermark: str) -> None:
+    """:func:`dedup_within` as a job that appends to a table."""
+    q = (
+        dedup_within(events, key, at, watermark).writeStream.outputMode("append").option("checkpointLocation", f"{base}/_checkpoint")
+        .trigger(availableNow=True).format("parquet").start(f"{base}/within")
+    )
+    q.awaitTermination()
+
+
 def stream_dedup(events: DataFrame, base: str, key: str, order: list[str], keep: list[str]) -> None:
-    """First delivery per key, for ever: keys already in the table never enter again."""
+    """First delivery per key, for ever: keys already in the table never enter again.
+
+    Each batch appends its new keys only; a repeated batch rewrites its own part.
+    """
     spark = events.sparkSession
 
     def each(batch: DataFrame, epoch: int) -> None:
-        seen = latest_version(spark, f"{base}/first", epoch - 1)
+        seen = earlier_batches(spark, f"{base}/first", epoch)
         first = u.first_delivery(batch, key, order, keep).drop("deliveries")
         if seen is not None:
-            first = seen.unionByName(first.join(seen.select(key), key, "left_anti"))
-        first.write.mode("overwrite").parquet(f"{base}/first/v={epoch:010d}")
+            first = first.join(seen.select(key), key, "left_anti")
+        first.write.mode("overwrite").parquet(f"{base}/first/batch={epoch:010d}")
 
     _run(events, base, each)
 
@@ -199,16 +216,16 @@ def stream_monthly_usage(runs: DataFrame, base: str, user: str = "user_id", at:
 
 
 def stream_new_pages(pages: DataFrame, base: str, cache: DataFrame, key: str = "cache_key", order: str = "page_id") -> None:
-    """Pages whose key is neither in the cache nor came earlier, written per batch."""
+    """Pages whose key is neither in the cache nor came earlier, appended batch by batch."""
     spark = pages.sparkSession
 
     def each(batch: DataFrame, epoch: int) -> None:
         cols = [c for c in batch.columns if c != key]
         first = batch.groupBy(key).agg(F.min_by(F.struct(*cols), order).alias("r")).select(key, "r.*")
         fresh = first.join(cache.select(key).distinct(), key, "left_anti")
-        seen = latest_version(spark, f"{base}/new", epoch - 1)
+        seen = earlier_batches(spark, f"{base}/new", epoch)
         if seen is not None:
-            fresh = seen.unionByName(fresh.join(seen.select(key), key, "left_anti"))
-        fresh.write.mode("overwrite").parquet(f"{base}/new/v={epoch:010d}")
+            fresh = fresh.join(seen.select(key), key, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{base}/new/batch={epoch:010d}")
 
     _run(pages, base, each)

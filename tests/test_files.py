@@ -93,7 +93,7 @@ def test_stream_resumes_without_repeats(spark, tmp_path):
         rows(ids).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(rows([0]).schema).parquet(src)
         jobs.stream_dedup(stream, base, "sid", ["ts", "event_id"], ["event_id"])
-    assert sorted((r.sid, r.event_id) for r in jobs.newest(spark, f"{base}/first").collect()) == [("s0", 0), ("s1", 1), ("s2", 2)]
+    assert sorted((r.sid, r.event_id) for r in jobs.appended(spark, f"{base}/first").collect()) == [("s0", 0), ("s1", 1), ("s2", 2)]
 
 
 def test_quota_stream_marks_late_rows(spark, tmp_path):
