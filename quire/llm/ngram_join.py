@@ -4,7 +4,7 @@
 Documents with the same set are one class; only classes are compared.
 
 *Order.* Prefix filtering needs one order of shingles for all sets.  Shingles found many
-times over (counted in every task over all documents) come last, so index lists
+times over (counted in every task over all documents) come last, the most frequent ones at the very end, so index lists
 hold rare shingles; the order never changes a result.
 
 *Index lists and block skipping.* A set is listed under the shingles of its
@@ -19,7 +19,8 @@ whole.  Then only pairs with different answers so far are compared.  A group of
 copies thus costs about n comparisons, not n squared, and no link between
 components is lost.
 
-Candidates are verified on the words themselves, not on hashes.
+Candidates are first held against bit sketches, which pass every pair that
+reaches the threshold, and then verified on the words themselves, not on hashes.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from quire.llm.common import components, written
 
 WORDS_PER_SHINGLE, SIMILAR, OF = 3, 90, 100
 CACHE = 600_000
-CHUNK = 2_000_000  # shingles counted together in a task
+CHUNK = 4_000_000  # shingles counted together in a task
 MAX_FREQUENT = 500_000  # longest list of frequent shingles; only the order depends on it, not the result
 
 
@@ -69,15 +70,15 @@ def shingles(text: str, k: int = WORDS_PER_SHINGLE) -> set:
     return set(zip(*(words[j:] for j in range(k)), strict=False)) if len(words) >= k else {tuple(words)} if words else set()
 
 
-def frequent_shingles(texts: DataFrame, k: int, least: int = 16) -> np.ndarray:
-    """Hashes found ``least`` times or more, as far as tasks met them repeatedly; sorted, at most ``MAX_FREQUENT``."""
+def frequent_shingles(texts: DataFrame, k: int, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes found ``least`` times or more, as far as tasks met them repeatedly, sorted, and their counts; at most ``MAX_FREQUENT``."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, held, size = _Hashes(), [], 0
 
         def flush() -> pd.DataFrame:
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            many = n >= 3
+            many = n >= 2
             held.clear()
             return pd.DataFrame({"h": h[many].view(np.int64), "n": n[many]})
 
@@ -92,8 +93,40 @@ def frequent_shingles(texts: DataFrame, k: int, least: int = 16) -> np.ndarray:
             yield flush()
 
     top = texts.select("t").mapInPandas(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    rows = top.orderBy(F.col("n").desc(), "h").limit(MAX_FREQUENT).select("h").toPandas()
-    return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
+    rows = top.orderBy(F.col("n").desc(), "h").limit(MAX_FREQUENT).toPandas()
+    h, n = rows["h"].to_numpy(np.int64).view(np.uint64), np.minimum(rows["n"].to_numpy(np.int64), 1 << 31).astype(np.uint32)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix(h: np.ndarray, length: int, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first ``length`` of a set's hashes: rare ones by hash, then frequent ones by their count."""
+    known, counts = frequent
+    if not len(known) or not len(h):
+        return h[:length]
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    often = known[at] == h
+    rare = h[~often]
+    if len(rare) >= length:
+        return rare[:length]
+    late, n = h[often], counts[at[often]]
+    return np.concatenate([rare, late[np.lexsort((late, n))]])[:length]
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """Parities of a set's hashes in as many bins as half its size needs. Two sets differ in at least as many hashes as their sketches in bins."""
+    bins = 1 << max(7, (len(h) // 2).bit_length())
+    return np.packbits((np.bincount((h & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1).astype(np.uint8)).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bins in which two sketches differ; the larger one is folded to the size of the smaller."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _block(n):
@@ -101,8 +134,44 @@ def _block(n):
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(10 / 9))).cast("int")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, similar: int, of: int) -> DataFrame:
-    """The pairs (x, y) of classes whose representatives' shingle sets reach the threshold."""
+def _possible(pairs: DataFrame, classes: DataFrame, similar: int, of: int) -> DataFrame:
+    """Pairs (x, y) whose sketches allow the threshold; no pair that reaches it is left out."""
+
+    @F.pandas_udf("boolean")
+    def may(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
+        return pd.Series([(similar + of) * differing(s, t) <= (of - similar) * (n + m) for s, t, n, m in zip(a, b, na, nb, strict=True)], dtype=bool)
+
+    left, right = (classes.select(F.col("s").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"k{c}")) for c in "xy")
+    return written(pairs.join(left, "x").join(right, "y").where(may("kx", "ky", "nx", "ny")).select("x", "y"), "possible")
+
+
+MARKS = 1 << 24
+
+
+def _texts_of(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(s, t): the text of one document of each class in ``pairs``.
+
+    Documents are passed over by a bitmap of the wanted texts' hashes, of fixed size, before any text moves; copies are told apart by their id.
+    """
+    named = pairs.select(F.col("x").alias("s")).union(pairs.select(F.col("y").alias("s"))).distinct()
+    wanted = written(named.join(classes.select("s", "rep", "text.t1", "text.t2"), "s"), "wanted")
+    mark = F.pmod("t1", F.lit(MARKS))
+    words = wanted.groupBy(F.floor(mark / 64).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(t1, {MARKS}) % 64 as int))")).alias("v")).toPandas()
+    bitmap = np.zeros(MARKS // 64, np.uint64)
+    bitmap[words["w"]] = words["v"].to_numpy(np.int64).view(np.uint64)
+
+    @F.pandas_udf("boolean")
+    def marked(at: pd.Series) -> pd.Series:
+        m = at.to_numpy(np.int64)
+        return pd.Series((bitmap[m >> 6] >> (m & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    some = texts.where(marked(mark))
+    found = some.join(wanted, ["t1", "t2"]).where(F.col("rep").isNull() | (F.col("doc_id") == F.col("rep"))).select("s", "t")
+    return written(found.dropDuplicates(["s"]), "texts")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, similar: int, of: int) -> DataFrame:
+    """The pairs (a, b) of classes whose representatives' shingle sets reach the threshold."""
 
     @F.pandas_udf("boolean")
     def reach(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -115,8 +184,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, similar: int, of: int)
             out.append(of * inter >= similar * (len(other) + len(sets) - inter))
         return pd.Series(out, dtype=bool)
 
-    both = pairs.join(texts.select(F.col("s").alias("x"), F.col("t").alias("tx")), "x").join(texts.select(F.col("s").alias("y"), F.col("t").alias("ty")), "y")
-    return both.where(reach("tx", "ty")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    pairs = _possible(pairs, classes, similar, of)
+    one = _texts_of(pairs, classes, texts)
+    both = pairs.join(one.select(F.col("s").alias("x"), F.col("t").alias("tx")), "x").join(one.select(F.col("s").alias("y"), F.col("t").alias("ty")), "y")
+    return written(both.where(reach("tx", "ty")).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
 
 
 def _unanswered(live: DataFrame, links: DataFrame, tested: DataFrame, similar: int, of: int) -> DataFrame:
@@ -153,26 +224,21 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     frequent = frequent_shingles(texts, k)
     hashes = _Hashes()
 
-    @F.pandas_udf("n int, fp binary, prefix array<long>")
+    @F.pandas_udf("n int, fp binary, sketch binary, prefix array<long>")
     def described(ts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in ts:
             h = shingle_hashes(t, hashes, k)
             n = len(h)
-            length = n + similar * n // -of + 1 if n else 0
-            if n and len(frequent):
-                often = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h
-                first = np.concatenate([h[~often][:length], h[often]])[:length]
-            else:
-                first = h[:length]
-            rows.append((n, xxhash.xxh3_128_digest(h.tobytes()), first.view(np.int64)))
-        return pd.DataFrame(rows, columns=["n", "fp", "prefix"])
-
-    key = [F.xxhash64("t").alias("t1"), F.xxhash64(F.lit(1), "t").alias("t2")]
-    sets = written(texts.select("doc_id", *key, described("t").alias("d")).select("doc_id", "t1", "t2", "d.*"), "sets")
+            first = prefix(h, n + similar * n // -of + 1 if n else 0, frequent)
+            rows.append((n, xxhash.xxh3_128_digest(h.tobytes()), sketch(h), first.view(np.int64)))
+        return pd.DataFrame(rows, columns=["n", "fp", "sketch", "prefix"])
+
+    texts = texts.select("doc_id", "t", F.xxhash64("t").alias("t1"), F.xxhash64(F.lit(1), "t").alias("t2"))
+    sets = written(texts.select("doc_id", "t1", "t2", described("t").alias("d")).select("doc_id", "t1", "t2", "d.*"), "sets")
     classes = written(
         sets.where("n > 0").groupBy("fp", "n").agg(
-            F.min("doc_id").alias("rep"), F.min(F.struct("t1", "t2")).alias("text"), F.first("prefix").alias("prefix")
+            F.min("doc_id").alias("rep"), F.min(F.struct("t1", "t2")).alias("text"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")
         ).withColumn("s", F.monotonically_increasing_id()), "classes"
     )
 
@@ -185,14 +251,8 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     near = written(live.where((F.col("s") != F.col("ls")) & (of * F.col("ln") >= similar * F.col("n"))).select(F.col("s").alias("x"), F.col("ls").alias("y")).distinct(), "pairs")
 
-    # Texts of the classes in some list; copies are told apart by their id, so one of them moves.
-    wanted = live.select("s").distinct().join(classes.select("s", "rep", "text.t1", "text.t2"), "s")
-    candidates = written(
-        texts.select("doc_id", "t", *key).join(wanted, ["t1", "t2"]).where(F.col("rep").isNull() | (F.col("doc_id") == F.col("rep"))).select("s", "t"), "texts"
-    )
-    one = candidates.dropDuplicates(["s"])
-    links = written(_verified(near, one, k, similar, of), "links")
-    more = written(_verified(_unanswered(live, links, near, similar, of), one, k, similar, of), "links")
+    links = _verified(near, classes, texts, k, similar, of)
+    more = _verified(_unanswered(live, links, near, similar, of), classes, texts, k, similar, of)
     comp = components(links.union(more), "components").withColumnRenamed("node", "s")
     named = classes.select("s", "fp", "rep").join(comp, "s", "left").withColumn("component", F.coalesce("component", "s"))
     low = named.groupBy("component").agg(F.min("rep").alias("component_id"))
