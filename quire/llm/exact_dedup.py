@@ -86,9 +86,10 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bi
 
 def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs`` for each group of equal texts, with all its columns; rows repeated whole leave one."""
-    kept = exact_groups(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept_sha")).distinct()
+    kept = exact_groups(docs, doc_id, text).where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept_sha"))
+    kept = written(kept.agg(F.count(F.lit(1)).alias("__rows")), "kept")
     marked = docs.withColumn("__sha", F.sha2(lower_ascii(F.col(text)), 256))
-    return (
-        marked.join(kept, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept_sha")), "left_semi")
-        .dropDuplicates([doc_id, "__sha"]).drop("__sha")
-    )
+    one = marked.join(kept, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept_sha")), "left_semi")
+    if not kept.where("__rows > 1").isEmpty():  # else the rows are different already
+        one = one.dropDuplicates([doc_id, "__sha"])
+    return one.drop("__sha")
