@@ -88,7 +88,7 @@ SQL = {
           select page_id, octet_length(body) as payload_bytes, upper(sha1(body)) as h, min(page_id) over (partition by body) as first from t
         )
         select page_id, payload_bytes,
-               array_to_string(list_transform(range(8), k -> list_aggregate(list_transform([15, 10, 5, 0], s ->
+               array_to_string(list_transform(range(8), lambda k: list_aggregate(list_transform([15, 10, 5, 0], lambda s:
                  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((cast('0x' || substr(h, 5 * k + 1, 5) as bigint) >> s) & 31) + 1, 1)), 'string_agg', '')), '') as payload_digest,
                case when page_id = first then 'response' else 'revisit' end as record_type,
                case when page_id = first then null else first end as refers_to
