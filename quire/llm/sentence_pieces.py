@@ -8,7 +8,7 @@ it is committed and forgotten.  Memory is therefore bounded for any text.
 
 A space is written as U+2581 and joined to the word after it.  No piece of such a
 vocabulary holds U+2581 after another sign, so all paths converge before each word, and a worker may
-remember the ids of the words it has met.  Characters outside the vocabulary become byte pieces.
+remember the ids of the words it has met; a short word is charted whole.  Characters outside the vocabulary become byte pieces.
 
 The supplied model ranks its pieces by merges; a piece's log-probability follows from its rank by Zipf's law, so that
 frequent and long pieces win.  A text's ids therefore differ from those of merging pair by pair, and decode to the same text.
@@ -25,8 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE = 600_000
+CACHE = 400_000
 LITERAL = "\ud800"  # stands for a U+2581 of the text itself; no decoded text holds it
+LETTER_MARK = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ][.,;:!?]")
+ENDING = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?]+)", re.S)
+SHORT = 64  # characters that are charted whole, being fewer than a window may grow to
 SEGMENT = re.compile(r" +[^ \n]*|\n[^ \n]*")
 
 
@@ -39,6 +42,8 @@ class Vocabulary:
         self.beginnings = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
         #: Paths converge before every word unless a piece has a space after another sign.
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in pieces) and not any("\n" in p for p in pieces)
+        #: Paths converge between a letter and a mark unless a piece holds such a pair.
+        self.by_mark = not any(LETTER_MARK.search(p) for p in pieces)
         self.words: dict[str, bytes] = {}
         table = {i: p.replace(SPACE, " ").encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
         self.table = [table.get(i, b"") for i in range(max(table) + 1)]
@@ -107,18 +112,59 @@ class Vocabulary:
             first[j] = j if back[j] == end else first.get(back[j], done)
         return end
 
+    def chart(self, text: str) -> list[int]:
+        """Ids of a short text's best segmentation, the same as :meth:`stream` commits, from one forward pass over the whole of it."""
+        n, pieces, beginnings = len(text), self.pieces, self.beginnings
+        score: list[float | None] = [0.0] + [None] * n
+        back: list[tuple[int, tuple[int, ...]]] = [(0, ())] * (n + 1)
+        for i in range(n):
+            here = score[i]
+            for j in range(i + 1, min(i + self.longest, n) + 1):
+                part = text[i:j]
+                if part not in beginnings:
+                    break
+                hit = pieces.get(part)
+                if hit is not None and (score[j] is None or here + hit[1] > score[j]):
+                    score[j], back[j] = here + hit[1], (i, (hit[0],))
+            ch = text[i]
+            if ch not in pieces:
+                raw = (SPACE if ch == LITERAL else ch).encode()
+                by_bytes = here + self.byte_score * len(raw)
+                if score[i + 1] is None or by_bytes > score[i + 1]:
+                    score[i + 1], back[i + 1] = by_bytes, (i, tuple(self.byte_ids[b] for b in raw))
+        path, at = [], n
+        while at:
+            at, ids = back[at]
+            path.append(ids)
+        return [i for ids in reversed(path) for i in ids]
+
     def _segment(self, text: str) -> bytes:
-        out: list[int] = []
-        self.stream(text.replace(SPACE, LITERAL).replace(" ", SPACE), out)
+        signs = text.replace(SPACE, LITERAL).replace(" ", SPACE)
+        if len(signs) <= SHORT:
+            out = self.chart(signs)
+        else:
+            out = []
+            self.stream(signs, out)
         return np.array(out, "<u4").tobytes()
 
     def _word(self, key: str) -> bytes:
         """Ids of a segment; the key of one that begins with a space leaves that out."""
         if len(self.words) >= CACHE:
             self.words.clear()
-        value = self.words[key] = self._segment(key if key[:1] == "\n" else " " + key)
+        if self.by_mark and (m := ENDING.fullmatch(key)):
+            value = (self.words.get(m[1]) or self._word(m[1])) + self._mark(m[2])
+        else:
+            value = self._segment(key if key[:1] == "\n" else " " + key)
+        self.words[key] = value
         return value
 
+    def _mark(self, marks: str) -> bytes:
+        """Ids of marks after a letter; kept under a key that no word has."""
+        key = LITERAL + marks
+        if key not in self.words:
+            self.words[key] = self._segment(marks)
+        return self.words[key]
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes; a text is read as if a space stood before it, an empty one has none."""
         if not text:

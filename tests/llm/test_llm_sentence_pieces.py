@@ -9,7 +9,7 @@ from quire.llm import sentence_pieces
 from quire.llm.sentence_pieces import LITERAL, SPACE, Vocabulary
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
-TEXTS = ["", " ", "hello  world", "  a b ", " \n\tx\n\ny \n", f"a{SPACE}b {SPACE}{SPACE}", "é…①𝄞", "a\0b", "one two\nthree", "\n", "a\n b", "ends ", "日本語 テキスト", "x" * 3000]
+TEXTS = ["", " ", "hello  world", "  a b ", " \n\tx\n\ny \n", f"a{SPACE}b {SPACE}{SPACE}", "é…①𝄞", "a\0b", "one two\nthree", "\n", "a\n b", "ends ", "end. Next, e.g. this!?\nNo.", "日本語 テキスト", "x" * 3000]
 
 
 def chart(v, text):
@@ -36,13 +36,13 @@ def test_stream_finds_the_best_score_in_a_bounded_window():
         text = "".join(rng.choice(words) for _ in range(rng.randint(1, 12)))
         ids = []
         v.stream(iter(text), ids)
-        assert abs(score_of(v, ids) - chart(v, text)) < 1e-6
+        assert abs(score_of(v, ids) - chart(v, text)) < 1e-6 and v.chart(text) == ids
     small = Vocabulary({"a": (1, -3.0), "aa": (2, -4.0), "aaa": (3, -5.5), "b": (4, -1.0), "ab": (5, -9.0)}, list(range(10, 266)), -20.0)
     for _ in range(300):
         text = "".join(rng.choice("aab?") for _ in range(rng.randint(0, 40)))
         ids = []
         small.stream(text, ids)
-        assert abs(score_of(small, ids) - chart(small, text)) < 1e-9
+        assert abs(score_of(small, ids) - chart(small, text)) < 1e-9 and small.chart(text) == ids
         assert "".join(small.table[i].decode() for i in ids) == text
     ids = []
     assert v.stream("internationalisation" * 2000, ids) < 400 and len(ids) >= 2000
