@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 
 def ensure_checkpoint_dir(spark) -> str:
-    """The shared folder the cluster names, or a private one when none is set."""
+    """The shared folder the cluster names; a private one only in local mode, where it may be unset."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -18,6 +18,8 @@ def ensure_checkpoint_dir(spark) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="run-quire-")
     sc.setCheckpointDir(made)
     return made

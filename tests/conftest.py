@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -13,7 +14,7 @@ def spark():
     s = (
         SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "6g").getOrCreate()
+        .config("spark.driver.memory", "6g").config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="quire-tests-")).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
