@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import components, written
 
 WORDS_PER_SHINGLE, SIMILAR, OF = 3, 90, 100
-CACHE = 600_000
+CACHE = 300_000
 CHUNK = 4_000_000  # shingles counted together in a task
 MAX_FREQUENT = 500_000  # longest list of frequent shingles; only the order depends on it, not the result
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quire.llm.quality_rules import BLANKS, CLASSES, SYMBOLS, histograms
 
 BITS = 16
-CACHE = 600_000
+CACHE = 300_000
 BAD, GOOD, NONE = 0, 1, 2
 STOPS = tuple(x.encode() for x in ".!?…\"»”")
 MARKS = tuple(bytes([b]) for b in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")

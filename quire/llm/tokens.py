@@ -13,7 +13,7 @@ import re
 
 import numpy as np
 
-CACHE = 500_000  # words a worker remembers before it starts anew
+CACHE = 250_000  # words a worker remembers before it starts anew
 MARKS = frozenset(".,;:!?")
 WORD = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)|([^\n]+))$", re.M)
 

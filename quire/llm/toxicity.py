@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 SENTENCE = re.compile(r"[^.!?\n]+")
 EDGES = ".,;:!?()[]{}\"'«»„“”‚‘’*#$%&|<>-_/\\"
 BITS = 18
-CACHE = 600_000  # words a worker remembers before it starts anew
+CACHE = 300_000  # words a worker remembers before it starts anew
 
 
 def features(word: str) -> tuple[int, ...]:
