@@ -196,7 +196,8 @@ def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids") ->
             holder.append(Vocabulary.load(model))
         return pd.Series([None if t is None else holder[0].encode(t) for t in texts], dtype=object)
 
-    return docs.withColumn(out, run(F.col(text)))
+    # Marked so that Spark computes the ids once, however many columns are made of them.
+    return docs.withColumn(out, run.asNondeterministic()(F.col(text)))
 
 
 def decode(docs: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
