@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE = 400_000
+CACHE = 200_000
 LITERAL = "\ud800"  # stands for a U+2581 of the text itself; no decoded text holds it
 LETTER_MARK = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ][.,;:!?]")
 ENDING = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?]+)", re.S)
@@ -183,18 +183,25 @@ class Vocabulary:
         return text[1:] if text[:1] == " " else text
 
 
+_vocabularies: dict[str, Vocabulary] = {}
+
+
+def _vocabulary(path: str) -> Vocabulary:
+    """One vocabulary a worker, for encoding and decoding and from task to task."""
+    if path not in _vocabularies:
+        _vocabularies[path] = Vocabulary.load(path)
+    return _vocabularies[path]
+
+
 def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with the ids of every whole text in ``out``, as little-endian unsigned 32-bit bytes.
 
     Null stays null and empty has no ids; other columns pass unread, and one named like ``out`` is replaced.
     """
-    holder: list[Vocabulary] = []
-
     @F.pandas_udf("binary")
     def run(texts: pd.Series) -> pd.Series:
-        if not holder:
-            holder.append(Vocabulary.load(model))
-        return pd.Series([None if t is None else holder[0].encode(t) for t in texts], dtype=object)
+        pieces = _vocabulary(model)
+        return pd.Series([None if t is None else pieces.encode(t) for t in texts], dtype=object)
 
     # Marked so that Spark computes the ids once, however many columns are made of them.
     return docs.withColumn(out, run.asNondeterministic()(F.col(text)))
@@ -202,12 +209,9 @@ def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids") ->
 
 def decode(docs: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``docs`` with the text of ``ids`` in ``out``; null stays null."""
-    holder: list[Vocabulary] = []
-
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
-        if not holder:
-            holder.append(Vocabulary.load(model))
-        return pd.Series([None if v is None else holder[0].decode(v) for v in values], dtype=object)
+        pieces = _vocabulary(model)
+        return pd.Series([None if v is None else pieces.decode(v) for v in values], dtype=object)
 
     return docs.withColumn(out, run(F.col(ids)))
