@@ -154,7 +154,7 @@ def _texts_of(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
     Documents are passed over by a bitmap of the wanted texts' hashes, of fixed size, before any text moves; copies are told apart by their id.
     """
     named = pairs.select(F.col("x").alias("s")).union(pairs.select(F.col("y").alias("s"))).distinct()
-    wanted = written(named.join(classes.select("s", "rep", "text.t1", "text.t2"), "s"), "wanted")
+    wanted = written(named.join(classes.select("s", "rep", "one.t1", "one.t2"), "s"), "wanted")
     mark = F.pmod("t1", F.lit(MARKS))
     words = wanted.groupBy(F.floor(mark / 64).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(t1, {MARKS}) % 64 as int))")).alias("v")).toPandas()
     bitmap = np.zeros(MARKS // 64, np.uint64)
@@ -236,10 +236,11 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     texts = texts.select("doc_id", "t", F.xxhash64("t").alias("t1"), F.xxhash64(F.lit(1), "t").alias("t2"))
     sets = written(texts.select("doc_id", "t1", "t2", described("t").alias("d")).select("doc_id", "t1", "t2", "d.*"), "sets")
+    # A class is shown by one row: the smallest id, nulls last, with the hashes of that row's own text.
     classes = written(
         sets.where("n > 0").groupBy("fp", "n").agg(
-            F.min("doc_id").alias("rep"), F.min(F.struct("t1", "t2")).alias("text"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")
-        ).withColumn("s", F.monotonically_increasing_id()), "classes"
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("one"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")
+        ).withColumn("rep", F.col("one.doc_id")).withColumn("s", F.monotonically_increasing_id()), "classes"
     )
 
     # Index lists: entries of shingles that at least two classes list, with the list's leader.

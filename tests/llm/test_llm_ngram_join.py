@@ -64,6 +64,25 @@ def test_components_equal_all_pairs(spark, monkeypatch, seed, similar, least):
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows, similar)
 
 
+def variants(seed):
+    """Near copies in classes of several raw texts: case, white space and repeated passages, some without ids."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(30):
+        base = [f"w{rng.randrange(400)}" for _ in range(40)]
+        for w in (base, base[:-1] + ["last"]):
+            texts = [" ".join(w), "  ".join(w), " ".join(w).upper(), " ".join(w + w + w[:2]), " ".join(w + w[:2])]
+            rows += [(None if rng.random() < 0.3 else rng.randrange(10**6), t) for t in rng.sample(texts, rng.randint(1, 4))]
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_classes_of_several_texts_keep_their_links(spark, seed):
+    rows = variants(seed)
+    got = ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), similar=80)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 80)
+
+
 def test_one_of_each_component_stays(spark):
     rows = [r for r in corpus(3) if r[0] is not None]
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, component_id string")
