@@ -27,7 +27,8 @@ from quire.llm.common import written
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 HINTS = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-HIDDEN = re.compile(r"""\b(?:hidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'=/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
+NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 WORD = re.compile(r"[a-z]+")
 
 # Elements by their part in HTML.
@@ -53,6 +54,23 @@ ROOTS = frozenset(("html", "body", "article", "main"))
 MIN_PAGES, CONSTANT = 8, 0.9
 
 
+def named(attributes: str) -> dict[str, str]:
+    """A tag's attributes by name; of a repeated name the first counts."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attributes):
+        if m[1]:
+            found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def hidden(attributes: str) -> bool:
+    """Whether attributes of these names, not words in their values, hide the element."""
+    found = named(attributes)
+    return (
+        found.get("hidden", "false").strip().lower() != "false" or found.get("aria-hidden", "").strip().lower() == "true" or bool(NOT_SHOWN.search(found.get("style", "")))
+    )
+
+
 class Page:
     """Block elements of a page in order (tag, label, parent, dropped), and its text blocks (node, chunks)."""
 
@@ -118,8 +136,8 @@ class Page:
                     lost = not CHROME.isdisjoint(words) or (not inside and not CHROME_OUTSIDE.isdisjoint(words))
                 elif not lost and tag == "article":
                     lost = not frozenset(("comment", "comments", "reply")).isdisjoint(WORD.findall(hint))
-            if not lost and ("dd" in attributes or "none" in attributes):
-                lost = bool(HIDDEN.search(attributes))
+            if not lost and attributes and any(x in attributes.lower() for x in ("hidden", "none")):
+                lost = hidden(attributes)
             if tag in BLOCK:
                 chunks = None
                 tags.append(tag)

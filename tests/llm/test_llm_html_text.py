@@ -31,6 +31,14 @@ def test_odd_markup():
     assert extract("<div>" * 20_000 + "deep") == "deep"
 
 
+def test_hidden_is_an_attribute_not_a_word():
+    for a in ('class="overflow-hidden"', "class=hidden-print", 'style="overflow:hidden"', 'title="hidden gems"', 'title="a hidden b"', "hidden=false", 'data-hidden="x"', "title='display:none'"):
+        for tag in ("p", "div", "article", "main", "body"):
+            assert extract(f"<{tag} {a}>kept</{tag}>") == "kept", (tag, a)
+    for a in ("hidden", "HIDDEN", 'hidden=""', "class=x hidden", 'hidden="until-found"', "aria-hidden=true", 'aria-hidden="true"', "style='color:red; DISPLAY: None'", "style=display:none"):
+        assert extract(f"<div {a}>lost</div><p>z</p>") == "z", a
+
+
 def brute(a, b):
     """Most nodes that two trees can share by order and labels."""
     def kids(t):
