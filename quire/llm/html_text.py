@@ -49,6 +49,14 @@ CHROME = frozenset(
     "comment comments commentlist reply replies respond disqus discussion widget login search searchbox toolbar pagination pager skip complementary contentinfo".split()
 )
 CHROME_OUTSIDE = frozenset(("header", "masthead"))
+COMMENTS = frozenset("comment comments commentlist reply replies respond disqus".split())
+# Words that may stand beside one of those in a compound name (ad-slot, share-buttons, site-footer); any other word makes it a name of its own.
+BESIDE = frozenset(
+    "site page main global top bottom left right primary secondary outer inner box bar bars list area wrap wrapper container block section group row col column slot unit "
+    "zone link links button buttons btn form icon icons item items posts articles stories media div body thread panel count".split()
+)
+BESIDE_FIRST = frozenset("post article entry story blog".split())  # article-footer, but not share-post
+OPENS_TEXT = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd figure figcaption blockquote pre table".split())  # with inline elements: their ids are free text
 ROOTS = frozenset(("html", "body", "article", "main"))
 
 MIN_PAGES, CONSTANT = 8, 0.9
@@ -71,6 +79,43 @@ def hidden(attributes: str) -> bool:
     )
 
 
+def _names(token: str, words: frozenset[str]) -> bool:
+    """Whether a whole name is one of ``words`` or a compound of some and ``BESIDE`` only; numbers are passed over."""
+    parts = WORD.findall(token)
+    rest = parts[1:] if len(parts) > 1 and parts[0] in BESIDE_FIRST and words is not CHROME_OUTSIDE else parts
+    return not words.isdisjoint(rest) and all(x in words or x in CHROME or x in BESIDE for x in rest)
+
+
+def _advert(token: str) -> bool:
+    """Compounds that no heading gives: ad-slot-1, cookie-notice, right-sidebar."""
+    parts = WORD.findall(token)
+    return len(parts) > 1 and (parts[0] in ("ad", "ads", "advert", "adverts", "cookie", "cookies") or parts[-1] == "sidebar") and _names(token, CHROME)
+
+
+def chrome(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether class, role, id or label name what is not the article.
+
+    Classes and roles count by whole names.  Ids and labels may be made from heading text: they never count on headings,
+    paragraphs and inline elements, and inside an article only as comments or as compounds that no heading gives.
+    """
+    found = named(attributes)
+    for token in f"{found.get('class', '')} {found.get('role', '')}".lower().split():
+        if _names(token, CHROME) or (not inside and _names(token, CHROME_OUTSIDE)):
+            return True
+    if tag not in BLOCK or tag in OPENS_TEXT:
+        return False
+    for token in (found.get("id", "").lower(), found.get("aria-label", "").lower()):
+        if token and (_names(token, COMMENTS) or _advert(token) if inside else _names(token, CHROME) or _names(token, CHROME_OUTSIDE)):
+            return True
+    return False
+
+
+def comment(attributes: str) -> bool:
+    """Whether an article's class or id names a comment."""
+    found = named(attributes)
+    return any(_names(x, COMMENTS) for x in [*found.get("class", "").lower().split(), found.get("id", "").lower()])
+
+
 class Page:
     """Block elements of a page in order (tag, label, parent, dropped), and its text blocks (node, chunks)."""
 
@@ -131,11 +176,10 @@ class Page:
             lost = drop or tag in DROPPED or (tag in DROPPED_OUTSIDE and not inside)
             if "=" in attributes:
                 hint = " ".join(HINTS.findall(attributes)).lower()
-                if not lost and tag not in ROOTS:
-                    words = WORD.findall(hint)
-                    lost = not CHROME.isdisjoint(words) or (not inside and not CHROME_OUTSIDE.isdisjoint(words))
-                elif not lost and tag == "article":
-                    lost = not frozenset(("comment", "comments", "reply")).isdisjoint(WORD.findall(hint))
+                if not lost and hint and tag not in ROOTS:
+                    lost = chrome(tag, attributes, inside)
+                elif not lost and hint and tag == "article":
+                    lost = comment(attributes)
             if not lost and attributes and any(x in attributes.lower() for x in ("hidden", "none")):
                 lost = hidden(attributes)
             if tag in BLOCK:

@@ -39,6 +39,25 @@ def test_hidden_is_an_attribute_not_a_word():
         assert extract(f"<div {a}>lost</div><p>z</p>") == "z", a
 
 
+def test_names_made_from_text_are_no_chrome():
+    for start in ('<h2 id="discussion">', '<h2 id="social-and-economic-impact">', '<p id="share-prices">', '<span id="search-1">', '<h2 id=alert>', '<h3 id="comments">', '<a id="menu">'):
+        end = f"</{start[1:].split()[0]}>"
+        assert extract(f"<article><p>a</p>{start}b{end}<p>c</p></article>").split() == ["a", "b", "c"], start
+        assert extract(f"<p>a</p>{start}b{end}<p>c</p>").split() == ["a", "b", "c"], start
+    for start in ('<section id="related-work">', '<section id="discussion">', '<div class="section" id="search">', '<section aria-label="Discussion">', '<div class="has-sidebar">', '<div class="content-sidebar-wrap">'):
+        end = f"</{start[1:].split()[0]}>"
+        assert extract(f"<main><p>a</p>{start}<p>b</p>{end}</main>") == "a\nb", start
+    assert extract('<article id="comment-on-the-budget">a</article>') == "a"
+
+
+def test_whole_names_and_known_compounds_are_chrome():
+    for a in ('class="x ad"', 'class="ad-slot-1"', "class=article-footer", 'class="share-buttons"', 'role="navigation"', 'class="related-posts"', 'class="nav__item"', 'id="comments"', 'id="ad-slot-1"', 'id="cookie-notice"', 'class="sidebar-right"', 'aria-label="Comments"'):
+        assert extract(f"<main><p>a</p><div {a}>lost</div></main>") == "a", a
+    for a in ('id="sidebar"', 'id="site-footer"', 'class="site-header"', 'id="search"', 'aria-label="Cookie consent"', 'id="related-articles"'):
+        assert extract(f"<div><p>a</p></div><div {a}>lost</div>") == "a", a
+    assert extract('<p>a</p><article id="div-comment-5" class="comment-body">lost</article><article id=comment-7>lost</article>') == "a"
+
+
 def brute(a, b):
     """Most nodes that two trees can share by order and labels."""
     def kids(t):
