@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -219,8 +220,12 @@ class Page:
         return inside
 
 
-def extract(markup: str, template: set[int] = frozenset()) -> str:
-    """The main text of a page; blocks of the nodes in ``template`` are left out."""
+def extract(markup: str, template: set[int] = frozenset(), slots: set[int] = frozenset()) -> str:
+    """The main text of a page; blocks of the nodes in ``template`` are left out.
+
+    The largest article is taken, with its sibling articles where the host's wrapper has them as ``slots``, if it holds most of the text left
+    under its main element or the page.  Else the main element is taken, or the page where the largest article is outside and larger.
+    """
     page = Page(markup)
     texts = [(n, t) for n, t in page.block_texts() if n not in template]
     size = [0] * len(page.tags)
@@ -228,25 +233,36 @@ def extract(markup: str, template: set[int] = frozenset()) -> str:
         size[n] += len(t)
     for k in range(len(size) - 1, 0, -1):
         size[page.parents[k]] += size[k]
-    for wanted in ("article", "main"):
-        roots = [k for k, t in enumerate(page.tags) if t == wanted and not page.dropped[k] and size[k]]
-        if roots:
-            inside = page.under({max(roots, key=lambda r: (size[r], -r))})
-            return "\n".join(t for n, t in texts if inside[n])
-    return "\n".join(t for _, t in texts)
+    articles, mains = ([k for k, t in enumerate(page.tags) if t == wanted and not page.dropped[k] and size[k]] for wanted in ("article", "main"))
+    largest = max(mains, key=lambda r: (size[r], -r), default=0)
+    root = {largest}
+    if articles:
+        best = max(articles, key=lambda r: (size[r], -r))
+        group = {best} | ({k for k in articles if k in slots and page.parents[k] == page.parents[best]} if best in slots else set())
+        held, around = sum(size[k] for k in group), page.parents[best]
+        while around > 0 and page.tags[around] != "main":
+            around = page.parents[around]
+        around = max(around, 0)
+        if 2 * held > size[around]:
+            root = group
+        elif around or size[largest] < held:
+            root = {around}
+    inside = page.under(root)
+    return "\n".join(t for n, t in texts if inside[n])
 
 
 SKELETON = "labels array<int>, parents array<int>, texts array<long>"
 
 
 def skeleton(markup: str) -> tuple[list[int], list[int], list[int]]:
-    """A page's tree in small: hashed labels, parents, and a hash of each node's own text (0: none)."""
+    """A page's tree in small: hashed labels (odd for an article that is not dropped), parents, and a hash of each node's own text (0: none)."""
     page = Page(markup)
     own: dict[int, list[str]] = {}
     for n, t in page.block_texts():
         own.setdefault(n, []).append(t)
     hashes = [xxhash.xxh3_64_intdigest("\n".join(own[k])) >> 1 or 1 if k in own else 0 for k in range(len(page.tags))]
-    return [xxhash.xxh32_intdigest(x) >> 1 for x in page.labels], page.parents, hashes
+    labels = [xxhash.xxh32_intdigest(x) >> 2 << 1 | (t == "article" and not d) for x, t, d in zip(page.labels, page.tags, page.dropped, strict=True)]
+    return labels, page.parents, hashes
 
 
 class _Tree:
@@ -329,7 +345,7 @@ def _host(url):
 
 
 def templates(trees: DataFrame) -> DataFrame:
-    """host, reference tree and its template nodes, for hosts with any; ``trees`` has one row (host, h1, h2, tree) a distinct page."""
+    """host, reference tree and its template nodes, for hosts of ``MIN_PAGES`` pages or more; ``trees`` has one row (host, h1, h2, tree) a distinct page."""
     # The reference is one page of the host, picked by its hash; partial aggregates hold one tree a host.
     refs = trees.groupBy("host").agg(F.min_by("tree", F.struct("h1", "h2")).alias("ref"), F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= MIN_PAGES)
     refs = written(refs, "references")
@@ -349,7 +365,7 @@ def templates(trees: DataFrame) -> DataFrame:
     nodes = counts.groupBy("host", "node").agg(F.sum("aligned").alias("aligned"), F.sum("same").alias("same"))
     constant = nodes.where((F.col("aligned") >= MIN_PAGES) & (F.col("same") >= CONSTANT * F.col("aligned")))
     found = constant.groupBy("host").agg(F.collect_set("node").alias("template"))  # nodes of one tree
-    return written(refs.join(found, "host").select("host", "ref", "template"), "templates")
+    return written(refs.join(found, "host", "left").select("host", "ref", F.coalesce("template", F.array().cast("array<int>")).alias("template")), "templates")
 
 
 def page_text(pages: DataFrame, url: str = "url", markup: str = "html", out: str = "main_text") -> DataFrame:
@@ -368,22 +384,26 @@ def page_text(pages: DataFrame, url: str = "url", markup: str = "html", out: str
     trees = written(pages.select(*keys, small(body).alias("tree")).dropDuplicates(["host", "h1", "h2"]), "trees")
     wrappers = templates(trees)
 
-    @F.pandas_udf("array<int>")
-    def template_nodes(tree: pd.DataFrame, ref: pd.DataFrame, template: pd.Series) -> pd.Series:
+    @F.pandas_udf("nodes array<int>, slots array<int>")
+    def aligned(tree: pd.DataFrame, ref: pd.DataFrame, template: pd.Series) -> pd.DataFrame:
+        """A page's template nodes, and its articles that the wrapper has too where there are several side by side."""
         rows = []
         for labels, parents, texts, rl, rp, rt, nodes in zip(tree["labels"], tree["parents"], tree["texts"], ref["labels"], ref["parents"], ref["texts"], template, strict=True):
             wanted = set(nodes.tolist())
             pairs = match((labels.tolist(), parents.tolist()), (rl.tolist(), rp.tolist()))
-            rows.append(sorted(i for i, j in pairs.items() if j in wanted and texts[i] == rt[j]))
-        return pd.Series(rows)
+            articles = [i for i in pairs if labels[i] & 1]
+            beside = Counter(parents[i] for i in articles)
+            rows.append((sorted(i for i, j in pairs.items() if j in wanted and texts[i] == rt[j]), sorted(i for i in articles if beside[parents[i]] > 1)))
+        return pd.DataFrame(rows, columns=["nodes", "slots"])
 
-    masks = trees.join(wrappers, "host").select("host", "h1", "h2", template_nodes("tree", "ref", "template").alias("nodes"))
-    masks = written(masks.where(F.size("nodes") > 0).toDF("__host", "__h1", "__h2", "__nodes"), "masks")
+    masks = trees.join(wrappers, "host").select("host", "h1", "h2", aligned("tree", "ref", "template").alias("a")).select("host", "h1", "h2", "a.*")
+    masks = written(masks.where((F.size("nodes") > 0) | (F.size("slots") > 0)).toDF("__host", "__h1", "__h2", "__nodes", "__slots"), "masks")
 
     @F.pandas_udf("string")
-    def texts(values: pd.Series, nodes: pd.Series) -> pd.Series:
-        return pd.Series([extract(v, frozenset() if n is None else set(n.tolist())) for v, n in zip(values, nodes, strict=True)], dtype=object)
+    def texts(values: pd.Series, nodes: pd.Series, slots: pd.Series) -> pd.Series:
+        some = (frozenset() if n is None else set(n.tolist()) for n in nodes), (frozenset() if n is None else set(n.tolist()) for n in slots)
+        return pd.Series([extract(v, n, a) for v, n, a in zip(values, *some, strict=True)], dtype=object)
 
     same = (keys[0] == F.col("__host")) & (keys[1] == F.col("__h1")) & (keys[2] == F.col("__h2"))
     rest = [c for c in pages.columns if c != out]
-    return pages.join(masks, same, "left").select(*[F.col(c) for c in rest], texts(body, "__nodes").alias(out))
+    return pages.join(masks, same, "left").select(*[F.col(c) for c in rest], texts(body, "__nodes", "__slots").alias(out))

@@ -58,6 +58,29 @@ def test_whole_names_and_known_compounds_are_chrome():
     assert extract('<p>a</p><article id="div-comment-5" class="comment-body">lost</article><article id=comment-7>lost</article>') == "a"
 
 
+def test_a_small_article_is_not_the_page():
+    assert extract('<main><div>a long story of many words</div><article class="teaser">two lines</article></main><p>x</p>') == "a long story of many words\ntwo lines"
+    assert extract("<div>a long story of many words</div><article>two lines</article>") == "a long story of many words\ntwo lines"
+    assert extract("<main><article>a story of many words</article><div>short</div></main><p>x</p>") == "a story of many words"
+    assert extract("<main>a story of many words</main><article>two lines</article>") == "a story of many words"
+    assert extract("<main>short</main><article>two lines</article><p>some more words</p>") == "short\ntwo lines\nsome more words"
+
+
+def test_sibling_articles_of_a_host_are_kept(spark):
+    rng = random.Random(3)
+
+    def part(k):
+        return " ".join(f"w{rng.randrange(999)}" for _ in range(rng.randint(4, 40))) + f" {k}"
+
+    rows, want = [], {}
+    for k in range(12):
+        a, b = part(k), part(k)
+        want[k] = f"{a}\n{b}"
+        rows.append((k, f"http://a.example/{k}", f"<body><p>Read our paper</p><div><article><p>{a}</p></article><article><p>{b}</p></article></div><p>{k}</p></body>"))
+    got = html_text.page_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.main_text for r in got} == want
+
+
 def brute(a, b):
     """Most nodes that two trees can share by order and labels."""
     def kids(t):
