@@ -32,6 +32,7 @@ EDGES = ".,;:!?()[]{}\"'«»„“”‚‘’*#$%&|<>-_/\\0123456789"
 MOST_TRIGRAMS, TEMPER = 100, 0.5  # neighbouring trigrams are no independent witnesses
 SUFFIX_WEIGHT, HOST_WEIGHT, DECLARED_WEIGHT = 20.0, 5.0, 5.0  # pages that the level above counts for
 MAX_LANGUAGES, MIN_ROWS = 64, 5
+OTHER = "other"  # all languages beyond these bounds
 
 
 def trigrams(word: str) -> list[int]:
@@ -79,16 +80,23 @@ class WordScores:
 def train_text_model(docs: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = 1000) -> TextModel:
     """Trigram model of the languages that at least ``MIN_ROWS`` documents are in, at most the ``MAX_LANGUAGES`` most frequent ones.
 
-    Null texts and languages teach nothing; without any language the model has one, 'und'.
+    All further languages together are one more, 'other'.
+    Null texts and languages teach nothing; without any language of ``MIN_ROWS`` documents the model has one, 'und'.
     """
     known = docs.select(F.lower(F.col(lang).cast("string")).alias("lang"), F.col(text).alias("t")).where("lang is not null and t is not null")
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_ROWS).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in sizes)
-    if not languages:
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    listed = counts.where((F.col("n") >= MIN_ROWS) & (F.col("lang") != OTHER)).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES).collect()
+    if not listed:
         return TextModel(["und"], np.zeros((1 << BITS, 1)))
+    sizes = {r["lang"]: r["n"] for r in listed}
+    rest = counts.agg(F.sum("n").alias("n")).first()["n"] - sum(sizes.values())
+    known = known.withColumn("lang", F.when(F.col("lang").isin(*sizes), F.col("lang")).otherwise(OTHER))
+    if rest:
+        sizes[OTHER] = rest
+    languages = sorted(sizes)
     part = F.lit(0)
-    for r in sizes:
-        part = F.when(F.col("lang") == r["lang"], int(min(1.0, max_rows / r["n"]) * 1_000_000) + 1).otherwise(part)
+    for code, n in sizes.items():
+        part = F.when(F.col("lang") == code, int(min(1.0, max_rows / n) * 1_000_000) + 1).otherwise(part)
     number = {x: k for k, x in enumerate(languages)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,7 +134,7 @@ def page_languages(pages: DataFrame, model: TextModel, page_id: str = "page_id",
 
     ``declared`` is the markup's language, 'other' when the model does not know it, 'none' without one.
     ``text_lang`` is what the text alone says and null for pages without letters; ``lang`` is the most probable
-    language given all evidence (the first in the alphabet where several are) and ``confidence`` its probability.  A page's own text does not
+    language given all evidence ('other' for those the model has only together; the first in the alphabet where several are) and ``confidence`` its probability.  A page's own text does not
     count in its host's prior.  Null markup is empty; null and odd addresses share the host ''.
     """
     languages = model.languages
@@ -142,7 +150,7 @@ def page_languages(pages: DataFrame, model: TextModel, page_id: str = "page_id",
     body = F.coalesce(F.col(markup), F.lit(""))
     host = F.lower(F.coalesce(F.try_parse_url(F.col(url), F.lit("HOST")), F.lit("")))
     code = F.lower(F.regexp_extract(body, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
-    declared = F.when(code == "", "none").when(code.isin(*languages), code).otherwise("other")
+    declared = F.when(code == "", "none").when(code.isin(*languages), code).otherwise(OTHER)
     seen = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), declared.alias("declared"), evidence(body).alias("logs"))
     seen = written(seen.withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("p", _softmax(F.col("logs"))), "evidence")
     flat = F.array_max("logs") == F.array_min("logs")
@@ -155,7 +163,7 @@ def page_languages(pages: DataFrame, model: TextModel, page_id: str = "page_id",
     whole = [x or 0.0 for x in voters.agg(_sums(n).alias("g")).first()["g"]]
     top = F.array(*[F.lit((x + 1.0) / (sum(whole) + n)) for x in whole])
     said = {r["declared"]: r["d"] for r in voters.groupBy("declared").agg(_sums(n).alias("d")).collect()}  # the languages and two more
-    marks = [*languages, "other", "none"]
+    marks = [*languages, *({OTHER} - set(languages)), "none"]
     likelihood = F.lit(None).cast("array<double>")
     for m in marks:
         row = [((said[m][k] if m in said else 0.0) + DECLARED_WEIGHT * (0.5 if m == languages[k] else 0.5 / (n + 1))) / (whole[k] + DECLARED_WEIGHT) for k in range(n)]

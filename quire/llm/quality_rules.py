@@ -3,9 +3,9 @@
 Every document is described by two histograms: classes of characters, and how
 often the common words of each language occur.  References are the mean
 histograms of all documents declared to be in a language, gathered in one
-grouped aggregation.  A document is rejected when its Jensen-Shannon distance
+grouped aggregation, for every language declared.  A document is rejected when its Jensen-Shannon distance
 to even its nearest reference is large; short texts are not judged by a
-histogram they cannot fill.
+histogram they cannot fill, nor documents by one that their language has no reference for.
 
 The counted rules (words, symbols, repeated lines, repeated five-word windows)
 are plain and exact.
@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Frequent function words, the languages that have a reference.
+# Frequent function words, the languages that have a reference of words.
 COMMON_WORDS = {
     "en": "the of and to in is was that for with on as by an be at from are this it not or have which",
     "fr": "de la le et les des en un une du dans que est pour qui au sur pas par plus avec il ce être",
@@ -48,6 +48,7 @@ _CLASS[list(SYMBOLS.encode())] = 7
 
 # Limits of the method's verdict.
 MIN_CHARS, MIN_WORDS = 200, 50
+MIN_DOCS = 20  # documents that make a reference of a language without common words
 CHAR_LIMIT, WORD_LIMIT = 0.28, 0.40
 
 
@@ -108,9 +109,16 @@ def base_fails(n_words: int, n_repeat_words: int) -> bool:
     return n_words < 10 or 100 * n_repeat_words > 20 * n_words
 
 
+def declared(lang: Column) -> Column:
+    """The language of a declared code without its region, null for a blank one."""
+    return F.nullif(F.lower(F.regexp_extract(F.trim(lang.cast("string")), "^[^-_]*", 0)), F.lit(""))
+
+
 def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Mean histograms of the documents of each known language; at most a hundred numbers a language reach the driver."""
+    """Mean histograms of the documents of each language of ``COMMON_WORDS``, and of each other one with ``MIN_DOCS`` or more; at most a hundred numbers a language reach the driver."""
     width = CLASSES + len(WORDS) + 1
+    texts = docs.select(declared(F.col(lang)).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
+    sizes = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= MIN_DOCS) | F.col("lang").isin(*LANGUAGES)).collect()
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
@@ -124,7 +132,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[
         for code, v in total.items():
             yield pd.DataFrame({"lang": code, "pos": range(width + 1), "v": v})
 
-    known = docs.select(F.lower(F.col(lang).cast("string")).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull())
+    known = texts.where(F.col("lang").isin(*[r["lang"] for r in sizes]))
     rows = known.mapInPandas(sums, "lang string, pos int, v double").groupBy("lang", "pos").agg(F.sum("v").alias("v")).collect()
     out: dict[str, np.ndarray] = {}
     for r in rows:
@@ -140,27 +148,29 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", out:
 
     Null text counts as empty and fails the base rules.  ``char_distance`` is
     null below ``MIN_CHARS`` characters and ``word_distance`` below ``MIN_WORDS``
-    words; a null distance rejects nothing.  Without any reference (no row in a
-    known language) the verdict is the base rules' alone.  Rows are judged one by
+    words, and where a language is declared that has no such reference; a null distance rejects nothing.  Without any reference
+    the verdict is the base rules' alone.  Rows are judged one by
     one, so repeated rows get equal results; other columns pass unread, and one
     named like ``out`` is replaced.
     """
     refs = references(docs, text, lang)
-    char_refs, word_refs = (np.array([r[k] for r in refs.values()]) for k in (0, 1))
+    char_refs = np.array([r[0] for r in refs.values()])
+    in_words = frozenset(refs) & frozenset(LANGUAGES)
+    word_refs = np.array([r[1] for code, r in refs.items() if code in in_words])
 
-    def judge(t: str) -> tuple:
+    def judge(t: str, code: str | None) -> tuple:
         raw = t.encode()
         words = raw.split()
         counts = Counter(words)
         base = base_counts(t, raw, words, counts)
         failed = base_fails(base[0], base[4])
         chars, common = histograms(raw, counts)
-        dc = float(js_distance(chars, char_refs).min()) if refs and len(t) >= MIN_CHARS else None
-        dw = float(js_distance(common, word_refs).min()) if refs and len(words) >= MIN_WORDS else None
+        dc = float(js_distance(chars, char_refs).min()) if refs and len(t) >= MIN_CHARS and (code is None or code in refs) else None
+        dw = float(js_distance(common, word_refs).min()) if in_words and len(words) >= MIN_WORDS and (code is None or code in in_words) else None
         return *base, failed, dc, dw, not failed and not (dc is not None and dc > CHAR_LIMIT) and not (dw is not None and dw > WORD_LIMIT)
 
     @F.pandas_udf(RULES)
-    def rules(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([judge(t) for t in texts], columns=[x.split()[0] for x in RULES.split(", ")])
+    def rules(texts: pd.Series, codes: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([judge(t, code) for t, code in zip(texts, codes, strict=True)], columns=[x.split()[0] for x in RULES.split(", ")])
 
-    return docs.withColumn(out, rules(F.coalesce(F.col(text), F.lit(""))))
+    return docs.withColumn(out, rules(F.coalesce(F.col(text), F.lit("")), declared(F.col(lang))))

@@ -93,6 +93,24 @@ def test_rules_without_reference_rows_and_empty_table(docs):
     assert quality_rules.quality_rules(docs.limit(0)).count() == 0
 
 
+def test_prose_of_every_declared_language_is_kept(spark):
+    rng = random.Random(6)
+
+    def text(words):
+        return " ".join(rng.choice(words.split()) for _ in range(80)) + "."
+
+    english = "the of and river stone bridge quiet to in with path field"
+    russian = "река камень мост тихий дорога поле лес и в на с по"
+    finnish = "joki kivi silta hiljainen polku ja on ei se kun mutta talo"
+    rows = [(k, text(w), c, "x") for k, (w, c) in enumerate([(english, "en"), (russian, "ru"), (finnish, "FI-fi")] * 30)]
+    rows += [(900, text(russian), "bg", "x"), (901, text(russian), "ru", "x"), (902, " ".join("#$%|" * 8 for _ in range(80)), "ru", "x"), (903, text("qx vz kj wq zx bn"), "en", "x")]
+    got = {r.doc_id: r.rules for r in quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "rules").collect()}
+    assert all(got[k].kept for k in range(90)) and got[901].kept
+    assert got[900].kept and got[900].char_distance is None and got[900].word_distance is None
+    assert got[902].char_distance > quality_rules.CHAR_LIMIT and not got[902].kept
+    assert got[903].word_distance > quality_rules.WORD_LIMIT and not got[903].kept
+
+
 def test_distance_is_zero_for_equal_and_one_for_disjoint():
     assert quality_rules.js_distance(np.array([0.5, 0.5]), np.array([[0.5, 0.5]]))[0] < 1e-7
     assert abs(quality_rules.js_distance(np.array([1.0, 0.0]), np.array([[0.0, 1.0]]))[0] - 1) < 1e-7
