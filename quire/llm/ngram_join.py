@@ -212,14 +212,8 @@ def _unanswered(live: DataFrame, links: DataFrame, tested: DataFrame, similar: i
     return written(probe.join(index, reachable).select("x", "y").distinct().join(tested, ["x", "y"], "left_anti"), "pairs")
 
 
-def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS_PER_SHINGLE, similar: int = SIMILAR, of: int = OF) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
-
-    Two documents link when ``of`` times their sets' intersection is at least ``similar`` times
-    the union (``similar`` at least half of ``of``); A-Z count as a-z.  ``component_id`` is the smallest id reachable by links,
-    itself included.  Null and blank texts have no shingles, link with nothing and keep their own id.
-    Null ids are passed over when the smallest is sought; rows repeated are rows of one class.  Further columns are not read.
-    """
+def _components(docs: DataFrame, doc_id: str, text: str, k: int, similar: int, of: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's id, hashes and set, and every class with its representative and component."""
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     frequent = frequent_shingles(texts, k)
     hashes = _Hashes()
@@ -255,7 +249,19 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     links = _verified(near, classes, texts, k, similar, of)
     more = _verified(_unanswered(live, links, near, similar, of), classes, texts, k, similar, of)
     comp = components(links.union(more), "components").withColumnRenamed("node", "s")
-    named = classes.select("s", "fp", "rep").join(comp, "s", "left").withColumn("component", F.coalesce("component", "s"))
+    named = classes.select("s", "fp", "rep", "one").join(comp, "s", "left").withColumn("component", F.coalesce("component", "s"))
+    return sets, named
+
+
+def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS_PER_SHINGLE, similar: int = SIMILAR, of: int = OF) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id.
+
+    Two documents link when ``of`` times their sets' intersection is at least ``similar`` times
+    the union (``similar`` at least half of ``of``); A-Z count as a-z.  ``component_id`` is the smallest id reachable by links,
+    itself included.  Null and blank texts have no shingles, link with nothing and keep their own id.
+    Null ids are passed over when the smallest is sought; rows repeated are rows of one class.  Further columns are not read.
+    """
+    sets, named = _components(docs, doc_id, text, k, similar, of)
     low = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     final = written(named.join(low, "component").select("fp", "component_id"), "final")
     # The table of classes is read from files, so adaptive execution can split a hot class in this join.
@@ -264,11 +270,27 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     )
 
 
-def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that stay, with all columns: of each component the one with the smallest id.
+def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS_PER_SHINGLE, similar: int = SIMILAR, of: int = OF) -> DataFrame:
+    """The rows of ``docs`` that stay, with all columns: one of each component, with the smallest id, and of several texts of that id the one of the smallest hash.
 
-    Rows without an id stay only where they link with nothing.
+    A row without an id stays only where its whole component has none; rows repeated whole leave one.  Null and blank texts all stay.
     """
-    comp = similar_components(docs, doc_id, text, **how)
-    kept = comp.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")
+    sets, named = _components(docs, doc_id, text, k, similar, of)
+    first = named.groupBy("component").agg(F.min("one").alias("one")).select("one.doc_id", "one.t1", "one.t2", F.lit(False).alias("__blank"))
+    blank = sets.where("n = 0").select("doc_id", "t1", "t2", F.lit(True)).distinct()
+    kept = written(first.union(blank).toDF("__id", "__k1", "__k2", "__blank"), "kept")
+    body = F.coalesce(F.col(text), F.lit(""))
+    marked = docs.withColumn("__t1", F.xxhash64(body)).withColumn("__t2", F.xxhash64(F.lit(1), body))
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__t1") == F.col("__k1")) & (F.col("__t2") == F.col("__k2"))
+
+    def rows(some: DataFrame) -> DataFrame:
+        return marked.join(some, same, "left_semi")
+
+    chosen = kept.where("not __blank")
+    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("t1") == F.col("__k1")) & (F.col("t2") == F.col("__k2"))
+    again = sets.join(chosen, match, "left_semi").groupBy("doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    if again.isEmpty():
+        one = rows(kept)
+    else:
+        one = rows(chosen).dropDuplicates([doc_id, "__t1", "__t2"]).union(rows(kept.where("__blank")))
+    return one.drop("__t1", "__t2")

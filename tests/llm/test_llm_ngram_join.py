@@ -92,6 +92,23 @@ def test_one_of_each_component_stays(spark):
     assert ngram_join.drop_near_copies(df.limit(0)).count() == 0
 
 
+def test_null_and_repeated_ids_leave_one_row_of_each_component(spark):
+    base = [[f"{c}{k}" for k in range(60)] for c in "abcdef"]
+    near = [" ".join(w[:-1] + ["last"]) for w in base]
+    whole = [" ".join(w) for w in base]
+    rows = [
+        (None, whole[0]), (None, near[0]), (None, whole[1]), (4, near[1]), (None, whole[2]), (5, whole[3]), (5, whole[4]), (3, near[4]),
+        (9, whole[5]), (9, whole[5]), (9, near[5]), (None, " "), (None, None), (9, ""), (9, ""),
+    ]
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, component_id string")
+    got = [(r.doc_id, r.text) for r in ngram_join.drop_near_copies(df).collect()]
+    assert sorted((t or "").strip() for _, t in got)[:4] == [""] * 4
+    named = [(d, t) for d, t in got if (t or "").strip()]
+    assert len(named) == 6 and sum(t in (whole[0], near[0]) and d is None for d, t in named) == 1
+    assert {(4, near[1]), (None, whole[2]), (5, whole[3]), (3, near[4])} <= set(named)
+    assert sum(d == 9 and t in (whole[5], near[5]) for d, t in named) == 1
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(k + 1, k) for k in range(60)] + [(200, 150), (150, 150)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
