@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import exact_dedup, html_text, language_id, ngram_join, packing, quality_model, quality_rules, sentence_pieces, toxicity, warc
+from quire.llm import (
+    exact_dedup, html_text, language_id, license_scan, ngram_join, packing, quality_model, quality_rules, resampling, sentence_pieces, toxicity, warc, whitening,
+)
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -78,7 +80,32 @@ def op10_quality_model(spark: SparkSession, sf: str) -> DataFrame:
     return quality_model.score_quality(docs, quality_model.train_quality(docs)).select("doc_id", "quality_model.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_warc, op4_exact_dedup, op5_ngram_join, op6_html_text, op7_quality_rules, op8_language_id, op9_sentence_pieces, op10_quality_model)}
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _table(spark, sf, "embeddings").select("vec_id", "embedding")
+    found = whitening.components_of(rows, whitening.fit_whitening(rows))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return license_scan.label_licences(license_scan.scan_licences(docs, license_scan.build_index(docs)))
+
+
+def op13_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    gains = resampling.bucket_gains(docs, _table(spark, sf, "benchmark"))
+    # The texts have no further use once they are scored, so they do not move with the draw.
+    scored = resampling.score_documents(docs, gains).select("doc_id", "resampling")
+    return resampling.draw(scored).select("doc_id", "resampling.n_features", "resampling.weight", "resampling.score", "rank")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_packing, op2_toxicity, op3_warc, op4_exact_dedup, op5_ngram_join, op6_html_text, op7_quality_rules, op8_language_id, op9_sentence_pieces,
+        op10_quality_model, op11_whitening, op12_license_scan, op13_resampling,
+    )
+}
 
 SQL = {
     "op3_warc": """
