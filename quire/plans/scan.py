@@ -46,6 +46,14 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _own(columns: Sequence[str]) -> str:
+    """A prefix that no column has, so names made here never stand for one of the caller's."""
+    p = "__"
+    while any(c.startswith(p) for c in columns):
+        p += "_"
+    return p
+
+
 def _upto(w):
     return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -154,7 +162,8 @@ def lead1(out: str, col: str | Column) -> Scan:
 def hot_keys(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame | None:
     """Keys with more than ``rows`` rows, written once; None when there are none."""
     limit = HOT_ROWS if rows is None else rows
-    found = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).select(*keys))
+    n = f"{_own(keys)}n"
+    found = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) > limit).select(*keys))
     return None if found.isEmpty() else found
 
 
@@ -177,8 +186,9 @@ def ordered_scan(
     if hot.limit(HOT_KEYS + 1).count() > HOT_KEYS:
         return _blocked(df, keys, order, block, scans)
     # A struct of the keys is never null itself, so rows with null keys find their hot key too.
-    few = F.broadcast(hot.select(F.struct(*keys).alias("__hot")))
-    is_hot = F.struct(*keys) == F.col("__hot")
+    name = f"{_own(df.columns)}hot"
+    few = F.broadcast(hot.select(F.struct(*keys).alias(name)))
+    is_hot = F.struct(*keys) == F.col(name)
     return _whole(df.join(few, is_hot, "left_anti"), keys, order, scans).unionByName(
         _blocked(df.join(few, is_hot, "left_semi"), keys, order, block, scans)
     )
@@ -190,8 +200,9 @@ def _whole(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], sc
     fw = Window.partitionBy(*keys).orderBy(*cols)
     bw = Window.partitionBy(*keys).orderBy(*[c.desc() for c in cols])
     outs = {s.out for s in scans}
-    return df.select("*", *[s.inside(fw, bw).alias(f"__i{i}") for i, s in enumerate(scans)]).select(
-        *[F.col(c) for c in df.columns if c not in outs], *[s.alone(F.col(f"__i{i}")).alias(s.out) for i, s in enumerate(scans)]
+    p = _own(df.columns)
+    return df.select("*", *[s.inside(fw, bw).alias(f"{p}i{i}") for i, s in enumerate(scans)]).select(
+        *[F.col(c) for c in df.columns if c not in outs], *[s.alone(F.col(f"{p}i{i}")).alias(s.out) for i, s in enumerate(scans)]
     )
 
 
@@ -205,28 +216,30 @@ def _blocked(
     """Scan by blocks with carried summaries."""
     order_cols = [_col(c) for c in order]
     at = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order_cols)])
-    blocks = [f"__b{i}" for i in range(len(block))]
+    p = _own(df.columns)
+    key, cell = f"{p}k", f"{p}kb"
+    blocks = [f"{p}b{i}" for i in range(len(block))]
     rows = df.withColumns({b: _col(c) for b, c in zip(blocks, block)})
     # One struct of keys and block: equal also where a part is null, and one partitioning for the join and the windows.
-    rows = rows.withColumns({"__k": F.struct(F.lit(0).alias("all"), *keys), "__kb": F.struct(F.lit(0).alias("all"), *keys, *blocks)})
+    rows = rows.withColumns({key: F.struct(F.lit(0).alias("all"), *keys), cell: F.struct(F.lit(0).alias("all"), *keys, *blocks)})
 
-    sums = rows.groupBy("__k", "__kb", *blocks).agg(
-        *[s.summary(at).alias(f"__s{i}") for i, s in enumerate(scans)]
+    sums = rows.groupBy(key, cell, *blocks).agg(
+        *[s.summary(at).alias(f"{p}s{i}") for i, s in enumerate(scans)]
     )
-    bf = Window.partitionBy("__k").orderBy(*blocks)
-    bb = Window.partitionBy("__k").orderBy(*[F.col(b).desc() for b in blocks])
+    bf = Window.partitionBy(key).orderBy(*blocks)
+    bb = Window.partitionBy(key).orderBy(*[F.col(b).desc() for b in blocks])
     carried = sums.select(
-        "__kb",
-        *[s.carry(F.col(f"__s{i}"), bf, bb).alias(f"__c{i}") for i, s in enumerate(scans)],
+        cell,
+        *[s.carry(F.col(f"{p}s{i}"), bf, bb).alias(f"{p}c{i}") for i, s in enumerate(scans)],
     )
 
-    wf = Window.partitionBy("__kb").orderBy(*order_cols)
-    wb = Window.partitionBy("__kb").orderBy(*[c.desc() for c in order_cols])
-    joined = rows.join(carried, "__kb", "left")
+    wf = Window.partitionBy(cell).orderBy(*order_cols)
+    wb = Window.partitionBy(cell).orderBy(*[c.desc() for c in order_cols])
+    joined = rows.join(carried, cell, "left")
     inner = joined.select(
-        "*", *[s.inside(wf, wb).alias(f"__i{i}") for i, s in enumerate(scans)]
+        "*", *[s.inside(wf, wb).alias(f"{p}i{i}") for i, s in enumerate(scans)]
     )
     return inner.select(
         *[F.col(c) for c in df.columns if c not in {s.out for s in scans}],
-        *[s.merge(F.col(f"__i{i}"), F.col(f"__c{i}")).alias(s.out) for i, s in enumerate(scans)],
+        *[s.merge(F.col(f"{p}i{i}"), F.col(f"{p}c{i}")).alias(s.out) for i, s in enumerate(scans)],
     )

@@ -16,6 +16,22 @@ def test_url_list_keeps_order_and_repeats(spark, tmp_path):
     assert got == [("http://a", 3), ("http://b", 4), ("http://a", 5)]
 
 
+def test_a_file_of_many_lines_is_numbered_in_order(spark, tmp_path):
+    (tmp_path / "long.txt").write_text("".join(f"u{k}\n" if k % 5 else "#\n" for k in range(1, 200_001)))
+    (tmp_path / "short.txt").write_text("a\nb\n")
+    got = io.read_url_list(spark, str(tmp_path))
+    assert got.where("url = concat('u', line_no)").count() == 160_000 and got.count() == 160_002
+
+
+def test_a_long_log_keeps_its_records_together(spark, tmp_path):
+    lines = "".join("2024-01-02T10:00:00 [INFO] a: m%d\n" % k if k % 3 == 0 else " more\n" for k in range(150_000))
+    (tmp_path / "app.log.2024-01-02").write_text(lines)
+    got = io.read_logs(spark, str(tmp_path), "2024-01-01", "2024-01-05")
+    assert got.count() == 50_000 and got.where("n_lines <> 3 or message <> concat('m', 3 * (record - 1))").count() == 0
+    counts = usage.log_counters(got).collect()
+    assert sum(r.records for r in counts) == 50_000
+
+
 def test_logs_glue_continuations_and_check_the_range(spark, tmp_path):
     (tmp_path / "app.log.2024-01-02").write_text("stray\n2024-01-02T10:00:00 [ERROR] a.b: boom: x\n  at 1\n2024-01-02T10:00:01 [INFO] a: fine\n")
     (tmp_path / "app.log.2024-01-09").write_text("2024-01-09T10:00:00 [INFO] a: late\n")
