@@ -11,8 +11,8 @@ from bindings.views import sql_with, view
 from quire.operators import evals as e
 from quire.operators import usage as u
 from quire.plans.lineage import ensure_checkpoint_dir
-from quire.sources import io
-from quire.streaming import jobs
+from quire.sources import buckets, io
+from quire.streaming import jobs, keyed
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -239,3 +239,40 @@ def _(s, sf):
     slices = (new.filter(F.col("doc_id") % 3 == i) for i in range(3))
     replay(s, slices, base, lambda st: jobs.stream_new_pages(st, base, d.filter("doc_id % 2 = 0"), order="doc_id"))
     return jobs.appended(s, f"{base}/new").select("doc_id", "cache_key")
+
+
+@q("t3_keyed_quota", USAGE_SQL["w1_allocate_quota"])
+def _(s, sf):
+    base = fresh_folder(s)
+    runs = view(s, sf, "v_runs").filter("status = 'succeeded'").select("run_id", "user_id", F.col("started_at").cast("timestamp").alias("started_at"))
+    replay(s, in_time(runs, "started_at", _RUN_CUTS), base, lambda st: keyed.keyed_quota(st, base, view(s, sf, "v_billing")))
+    return s.read.parquet(f"{base}/placed").select("run_id", "user_id", "month", "nth", "bucket")
+
+
+@q("t3_keyed_ledger", USAGE_SQL["w2_credit_ledger"])
+def _(s, sf):
+    base = fresh_folder(s)
+    led = view(s, sf, "v_ledger").withColumn("ts", F.col("ts").cast("timestamp"))
+    replay(s, in_time(led, "ts", _CUTS), base, lambda st: keyed.keyed_ledger(st, base))
+    return s.read.parquet(f"{base}/ledger").select(
+        "event_id", "user_id", "kind", "balance", F.when(F.col("kind") != "use", "n/a").when(F.col("accepted"), "accepted").otherwise("rejected").alias("verdict"))
+
+
+@q("t4_keyed_subscription", USAGE_SQL["w4_subscription_state"])
+def _(s, sf):
+    base = fresh_folder(s)
+    ev = view(s, sf, "v_sub_events").withColumn("ts", F.col("ts").cast("timestamp"))
+    replay(s, in_time(ev, "ts", _CUTS), base, lambda st: keyed.keyed_subscription(st, base))
+    return buckets.read_table(s, f"{base}/state").where("applied > 0").drop("applied", "late")
+
+
+# Orders as drafts of their customers in two versions; every fifth customer has no id, so null is a key.
+@q("s8_bucket_upsert", """SELECT k AS custkey, arg_max(o_orderkey, o_orderkey) AS orderkey, arg_max(o_orderpriority, o_orderkey) AS priority
+FROM (SELECT CASE WHEN o_custkey % 5 <> 0 THEN o_custkey END AS k, o_orderkey, o_orderpriority FROM orders) GROUP BY k""")
+def _(s, sf):
+    base = f"{fresh_folder(s)}/drafts"
+    o = view(s, sf, "orders").select(F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey")).alias("custkey"), F.col("o_orderkey").alias("orderkey"), F.col("o_orderpriority").alias("priority"))
+    middle = o.agg(F.expr("avg(orderkey)")).first()[0] or 0
+    buckets.upsert_table(s, base, o.where(F.col("orderkey") <= middle), ["custkey"], ["orderkey"], 1)
+    buckets.upsert_table(s, base, o.where(F.col("orderkey") > middle), ["custkey"], ["orderkey"], 2)
+    return buckets.read_table(s, base)

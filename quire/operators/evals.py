@@ -355,10 +355,12 @@ def fidelity_scores(m: DataFrame) -> DataFrame:
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Target with the last source row per key replacing or adding to it.
 
-    ``source`` may repeat keys; the latest by ``order`` wins.
+    ``source`` may repeat keys; the latest by ``order`` wins.  Null is a key like any other.
     """
     cols = target.columns
     last = source.groupBy(*keys).agg(
         F.max_by(F.struct(*[c for c in cols if c not in keys]), F.struct(*order)).alias("__r")
     ).select(*keys, "__r.*").select(*cols)
-    return target.join(last.select(*keys), list(keys), "left_anti").unionByName(last)
+    # A struct of the keys is never null itself, so null keys find each other.
+    replaced = last.select(F.struct(*keys).alias("__key"))
+    return target.join(replaced, F.struct(*keys) == F.col("__key"), "left_anti").unionByName(last)

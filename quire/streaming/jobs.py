@@ -4,7 +4,9 @@ Each job takes a streaming DataFrame and a folder in shared storage and starts
 an ``availableNow`` query there; on a replayed finite source it returns what its
 batch twin returns.  Where state would put all rows of a hot key into one task,
 the job merges each micro-batch into versioned state tables with the same
-block-wise operators as the batch code, instead of a per-key state function.
+block-wise operators as the batch code, instead of a per-key state function
+(:mod:`quire.streaming.keyed` has those).  State tables are in hash buckets: a batch reads and
+rewrites the buckets of its own keys only, and versions that no replay can need are dropped.
 
 Late data: events are ordered by event time inside a batch.  An event older than
 what was already applied for its key is applied when it arrives and marked
@@ -20,7 +22,10 @@ from pyspark.sql import functions as F
 
 from quire.operators import usage as u
 from quire.plans import cut, lookup_join
-from quire.sources.io import LOG_LINE, earlier_batches, latest_version, upsert_folder
+from quire.sources.buckets import SeenKeys, read_near, read_table, upsert_table, vacuum
+from quire.sources.io import LOG_LINE, earlier_batches
+
+VERSIONS = 3  # of a state table that are kept: a batch repeated after a failure needs the one before its own
 
 
 def _run(stream: DataFrame, base: str, each: Callable[[DataFrame, int], None], mode: str = "append"):
@@ -34,7 +39,13 @@ def _run(stream: DataFrame, base: str, each: Callable[[DataFrame, int], None], m
 
 def newest(spark: SparkSession, base: str) -> DataFrame:
     """The last written version of a job's table."""
-    return latest_version(spark, base, 1 << 40)
+    return read_table(spark, base)
+
+
+def _keep(spark: SparkSession, base: str, rows: DataFrame, keys: list[str], order: list[str], epoch: int) -> None:
+    """``rows`` as the newest values of their keys, and no more versions than a replay needs."""
+    upsert_table(spark, base, rows, keys, order, epoch)
+    vacuum(spark, base, VERSIONS)
 
 
 def appended(spark: SparkSession, base: str) -> DataFrame:
@@ -56,7 +67,7 @@ def stream_log_counts(lines: DataFrame, base: str, **kw) -> None:
 
     def each(batch: DataFrame, epoch: int) -> None:
         rows = batch.select(F.col("window.start").alias("start"), "level", "logger", "records", F.lit(epoch).alias("epoch"))
-        upsert_folder(spark, f"{base}/counts", rows, ["start", "level", "logger"], ["epoch"], epoch)
+        _keep(spark, f"{base}/counts", rows, ["start", "level", "logger"], ["epoch"], epoch)
 
     _run(log_counts(lines, **kw), base, each, "update")
 
@@ -82,20 +93,28 @@ def stream_dedup_within(events: DataFrame, base: str, key: str, at: str, waterma
 def stream_dedup(events: DataFrame, base: str, key: str, order: list[str], keep: list[str]) -> None:
     """First delivery per key, for ever: keys already in the table never enter again.
 
-    Each batch appends its new keys only; a repeated batch rewrites its own part.
+    Each batch appends its new keys only; a repeated batch rewrites its own part.  Keys of earlier batches are
+    looked up in an index (:class:`quire.sources.buckets.SeenKeys`), not read.  Null is a key like any other.
     """
     spark = events.sparkSession
+    seen = SeenKeys(spark, f"{base}/seen", key)
 
     def each(batch: DataFrame, epoch: int) -> None:
-        seen = earlier_batches(spark, f"{base}/first", epoch)
-        first = u.first_delivery(batch, key, order, keep).drop("deliveries")
-        if seen is not None:
-            first = first.join(seen.select(key), key, "left_anti")
-        first.write.mode("overwrite").parquet(f"{base}/first/batch={epoch:010d}")
+        first = cut(u.first_delivery(batch, key, order, keep).drop("deliveries"))
+        _append_unseen(seen, first, f"{base}/first", epoch)
 
     _run(events, base, each)
 
 
+def _append_unseen(seen: SeenKeys, first: DataFrame, base: str, epoch: int) -> None:
+    """Append the rows of keys not met before, then their keys to the index: a batch repeated in between finds the index as it was."""
+    spark, path = first.sparkSession, f"{base}/batch={epoch:010d}"
+    seen.unseen(first, epoch).write.mode("overwrite").parquet(path)
+    seen.add(spark.read.schema(first.schema).parquet(path), epoch)
+    for part in (seen.keys, seen.filters):
+        vacuum(spark, part, VERSIONS)
+
+
 def stream_quota(attempts: DataFrame, base: str, billing: DataFrame, user: str = "user_id", at: str = "started_at",
                  key: str = "run_id", block: str = "hour") -> None:
     """Quota placement of attempts with the used counts of earlier batches carried over.
@@ -106,8 +125,8 @@ def stream_quota(attempts: DataFrame, base: str, billing: DataFrame, user: str =
     spark = attempts.sparkSession
 
     def each(batch: DataFrame, epoch: int) -> None:
-        ranked = u.allocate_quota(batch, billing, user, at, key, block)
-        state = latest_version(spark, f"{base}/used", epoch - 1)
+        ranked = cut(u.allocate_quota(batch, billing, user, at, key, block))
+        state = read_near(spark, f"{base}/used", ranked, [user, "month"], epoch - 1)
         if state is None:
             state = spark.createDataFrame([], f"{user} bigint, month string, used bigint, last timestamp")
         j = lookup_join(ranked, state, [user, "month"], "left", spread=F.col(key)).withColumn("nth", F.col("nth") + F.coalesce("used", F.lit(0)))
@@ -117,8 +136,9 @@ def stream_quota(attempts: DataFrame, base: str, billing: DataFrame, user: str =
         ))
         out.drop("at").write.mode("overwrite").parquet(f"{base}/placed/batch={epoch:010d}")
         fresh = out.groupBy(user, "month").agg(F.count(F.lit(1)).alias("used"), F.max("at").alias("last"))
-        both = state.unionByName(fresh).groupBy(user, "month").agg(F.sum("used").alias("used"), F.max("last").alias("last"))
-        both.write.mode("overwrite").parquet(f"{base}/used/v={epoch:010d}")
+        both = state.join(fresh.select(user, "month"), [user, "month"], "left_semi").unionByName(fresh)
+        both = both.groupBy(user, "month").agg(F.sum("used").alias("used"), F.max("last").alias("last"))
+        _keep(spark, f"{base}/used", both, [user, "month"], ["used"], epoch)
 
     _run(attempts, base, each)
 
@@ -132,7 +152,7 @@ def stream_ledger(deltas: DataFrame, base: str, user: str = "user_id", block: st
 
     def each(batch: DataFrame, epoch: int) -> None:
         rows = batch.select(user, "ts", "event_id", F.col("delta").cast("long").alias("delta"), "kind")
-        state = latest_version(spark, f"{base}/balance", epoch - 1)
+        state = read_near(spark, f"{base}/balance", rows, [user], epoch - 1)
         if state is None:
             state = spark.createDataFrame([], f"{user} bigint, balance bigint, last timestamp")
         opening = state.join(rows.groupBy(user).agg(F.min("ts").alias("ts")), user).select(
@@ -140,8 +160,7 @@ def stream_ledger(deltas: DataFrame, base: str, user: str = "user_id", block: st
         out = cut(u.credit_ledger(rows.unionByName(opening), user, ["ts", "event_id"], "delta", "kind", [F.date_trunc(block, "ts")]))
         out.filter("kind <> 'opening'").write.mode("overwrite").parquet(f"{base}/ledger/batch={epoch:010d}")
         now = out.groupBy(user).agg(F.max_by("balance", F.struct("ts", "event_id")).alias("balance"), F.max("ts").alias("last"))
-        kept = state.join(now.select(user), user, "left_anti")
-        kept.unionByName(now).write.mode("overwrite").parquet(f"{base}/balance/v={epoch:010d}")
+        _keep(spark, f"{base}/balance", now, [user], ["last"], epoch)
 
     _run(deltas, base, each)
 
@@ -155,10 +174,11 @@ def stream_subscription(events: DataFrame, base: str, customer: str = "customer_
     spark = events.sparkSession
 
     def each(batch: DataFrame, epoch: int) -> None:
-        state = latest_version(spark, f"{base}/state", epoch - 1)
+        state = read_near(spark, f"{base}/state", batch, [customer], epoch - 1)
         fresh = cut(_subscription_parts(batch, state, customer))
-        merged = fresh if state is None else _merge_parts(state.unionByName(fresh), customer)
-        merged.write.mode("overwrite").parquet(f"{base}/state/v={epoch:010d}")
+        if state is not None:
+            fresh = _merge_parts(state.join(fresh.select(customer), customer, "left_semi").unionByName(fresh), customer)
+        _keep(spark, f"{base}/state", fresh, [customer], ["applied"], epoch)
 
     _run(events, base, each)
 
@@ -206,26 +226,25 @@ def stream_monthly_usage(runs: DataFrame, base: str, user: str = "user_id", at:
     spark = runs.sparkSession
 
     def each(batch: DataFrame, epoch: int) -> None:
-        fresh = u.monthly_usage(batch, user, at)
-        state = latest_version(spark, f"{base}/usage", epoch - 1)
+        keys = [user, "year", "month"]
+        fresh = cut(u.monthly_usage(batch, user, at))
+        state = read_near(spark, f"{base}/usage", fresh, keys, epoch - 1)
         if state is not None:
-            fresh = state.unionByName(fresh).groupBy(user, "year", "month").agg(F.sum("used").alias("used"))
-        fresh.write.mode("overwrite").parquet(f"{base}/usage/v={epoch:010d}")
+            fresh = state.join(fresh.select(*keys), keys, "left_semi").unionByName(fresh).groupBy(*keys).agg(F.sum("used").alias("used"))
+        _keep(spark, f"{base}/usage", fresh, keys, ["used"], epoch)
 
     _run(runs, base, each)
 
 
 def stream_new_pages(pages: DataFrame, base: str, cache: DataFrame, key: str = "cache_key", order: str = "page_id") -> None:
-    """Pages whose key is neither in the cache nor came earlier, appended batch by batch."""
+    """Pages whose key is neither in the cache nor came earlier, appended batch by batch; keys met before are looked up in an index."""
     spark = pages.sparkSession
+    seen = SeenKeys(spark, f"{base}/seen", key)
 
     def each(batch: DataFrame, epoch: int) -> None:
         cols = [c for c in batch.columns if c != key]
         first = batch.groupBy(key).agg(F.min_by(F.struct(*cols), order).alias("r")).select(key, "r.*")
-        fresh = first.join(cache.select(key).distinct(), key, "left_anti")
-        seen = earlier_batches(spark, f"{base}/new", epoch)
-        if seen is not None:
-            fresh = fresh.join(seen.select(key), key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{base}/new/batch={epoch:010d}")
+        fresh = cut(first.join(cache.select(key).distinct(), key, "left_anti"))
+        _append_unseen(seen, fresh, f"{base}/new", epoch)
 
     _run(pages, base, each)
