@@ -110,6 +110,18 @@ def _(s, sf):
     return k.classification_rules(*cls(s, sf))
 
 
+_HEADS = """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 11 <> 0 THEN concat('doc_', doc_id) END AS document_id,
+CASE WHEN lang <> 'es' THEN source END AS source_kind, CASE WHEN doc_id % 13 <> 0 THEN contains(text, '. ') END AS has_sections FROM documents"""
+
+
+@q("f29_document_codes", f"""SELECT doc_id, 'DOC_MISSING_DOCUMENT_ID' AS code FROM ({_HEADS}) WHERE coalesce(document_id, '') = ''
+UNION ALL SELECT doc_id, 'DOC_MISSING_SOURCE_KIND' FROM ({_HEADS}) WHERE coalesce(source_kind, '') = ''
+UNION ALL SELECT doc_id, 'DOC_MISSING_SECTIONS' FROM ({_HEADS}) WHERE NOT coalesce(has_sections, false)""")
+def _(s, sf):
+    view(s, sf, "documents").createOrReplaceTempView("quire_documents")
+    return k.missing_document_fields(s.sql(_HEADS.replace("FROM documents", "FROM quire_documents")))
+
+
 @q("k3_top_error_codes", sql_with("SELECT code, count(*) AS n FROM err GROUP BY 1 ORDER BY n DESC, code LIMIT 10", "v_li", extra=_CTE))
 def _(s, sf):
     return top_values(k.classification_rules(*cls(s, sf)), "code", 10)

@@ -237,12 +237,24 @@ def _(s, sf):
         j(F.col("experience_highlights")[1]["constraints_and_tradeoffs"]).alias("second_light"))
 
 
-@q("a30_backfill_report", "SELECT count(*) AS total, count(*) FILTER (contains(p_name, ' ') AND p_partkey % 2 = 0 OR p_partkey % 5 = 0) AS changed, count(*) FILTER (NOT (contains(p_name, ' ') AND p_partkey % 2 = 0 OR p_partkey % 5 = 0)) AS unchanged FROM part")
-def _(s, sf):
-    d = view(s, sf, "part").select("p_partkey", F.array(
+_CHANGED = "(contains(p_name, ' ') AND p_partkey % 2 = 0 OR p_partkey % 5 = 0)"
+
+
+def _part_profiles(s, sf):
+    d = view(s, sf, "part").select("p_partkey", F.when(F.col("p_size") % 3 > 0, F.col("p_size") % 3 == 1).alias("prompt_synched"), F.array(
         F.when(F.col("p_partkey") % 2 == 0, F.replace("p_name", F.lit(" "), F.lit("_"))).otherwise(F.col("p_name")),
         F.when(F.col("p_partkey") % 5 == 0, F.concat("p_type", F.lit(","))).otherwise(F.concat("p_type", F.lit(" x")))).alias("skills"))
-    return pr.backfill_report(pr.normalize_profiles(d, ["skills"]))
+    return pr.normalize_profiles(d, ["skills"])
+
+
+@q("a30_backfill_report", f"SELECT count(*) AS total, count(*) FILTER {_CHANGED.replace('(', '(WHERE ', 1)} AS changed, count(*) FILTER (WHERE NOT {_CHANGED}) AS unchanged FROM part")
+def _(s, sf):
+    return pr.backfill_report(_part_profiles(s, sf))
+
+
+@q("a30_mark_unsynched", f"SELECT p_partkey, CASE WHEN {_CHANGED} THEN false WHEN p_size % 3 > 0 THEN p_size % 3 = 1 END AS prompt_synched FROM part")
+def _(s, sf):
+    return pr.mark_unsynched(_part_profiles(s, sf)).select("p_partkey", "prompt_synched")
 
 
 _UD = f"CASE WHEN lower(trim(line)) IN {inlist(_KNOWN)} THEN 1 ELSE 0 END"

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import sys
+import unicodedata
 from collections.abc import Iterable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -94,9 +98,39 @@ def canonical_text(c: Column) -> Column:
     return F.concat(strip(c), F.lit("\n"))
 
 
+@cache
+def _ascii_forms() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose compatibility decomposition holds ASCII, by whether one or several ASCII characters are left of it."""
+    one, many = {}, {}
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1))):
+        if unicodedata.decomposition(c) and (kept := "".join(x for x in unicodedata.normalize("NFKD", c) if x < "\x80")):
+            (one if len(kept) == 1 else many)[c] = kept
+    return one, many
+
+
+def _class_of(chars) -> str:
+    """A pattern class of characters, as ranges."""
+    points, out = sorted(map(ord, chars)), []
+    for p in points:
+        if out and out[-1][1] == p - 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in out) + "]"
+
+
 def ascii_fold(c: Column) -> Column:
-    """Common Latin accents folded, other non-ASCII dropped."""
-    return F.regexp_replace(F.translate(c, L.ACCENTS_FROM, L.ACCENTS_TO), r"[^\x00-\x7F]", "")
+    """The ASCII characters of the compatibility decomposition; all others are dropped.
+
+    Characters that decompose to several (ligatures, fractions, circled numbers) are rare: a text is searched for
+    them once, and only those it has are replaced.
+    """
+    one, many = _ascii_forms()
+    forms = F.from_json(F.lit(json.dumps(many)), "map<string,string>")
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(f"({_class_of(many)})"), F.lit(1)))
+    wide = F.when(c.rlike(_class_of(many)), F.aggregate(found, c, lambda acc, x: F.replace(acc, x, F.element_at(forms, x)))).otherwise(c)
+    folded = F.translate(wide, "".join(one), "".join(one.values()))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(folded, r"[^\x00-\x7F]", "")).otherwise(c)
 
 
 def slug(c: Column) -> Column:

@@ -70,6 +70,14 @@ def test_an_empty_table_and_an_empty_first_source(spark, tmp_path):
     assert held(spark, str(tmp_path / "t")) == [(None, None, None, None)]
 
 
+def test_values_that_are_structs_and_narrower_types(spark, tmp_path):
+    base = str(tmp_path / "t")
+    one = spark.sql("SELECT 1 AS k, struct(1 AS a, 'x' AS b) AS v, 10L AS n")
+    b.upsert_table(spark, base, one, ["k"], ["n"], 1)
+    b.upsert_table(spark, base, one.selectExpr("k + 1 AS k", "v", "CAST(n AS INT) AS n"), ["k"], ["n"], 2)
+    assert held(spark, base) == [(1, (1, "x"), 10), (2, (1, "x"), 10)]
+
+
 def test_plain_upsert_replaces_null_keys(spark):
     old, new = rows(spark, [(None, 1, 1, "old"), ("a", None, 1, "old")]), rows(spark, [(None, 1, 2, "new"), ("a", None, 3, "new"), ("a", 1, 1, "add")])
     got = evals.upsert(old, new, ["k", "n"], ["v"])

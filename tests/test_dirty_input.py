@@ -127,3 +127,68 @@ def test_a_later_experience_section_does_not_count(spark):
     a, b = doc([*head, *tail, "Sold a thing"]), doc(["Experience", "Engineer | One", "- Built a thing", *tail, "- Bought quite another thing"])
     changed = [r for r in pairs.experience_diff(a, b).collect() if r.asDict().get("kind", r.asDict().get("status")) not in ("same", "unchanged", "matched")]
     assert changed == []
+
+
+def test_ascii_fold_equals_the_compatibility_decomposition(spark):
+    import sys
+    import unicodedata
+
+    from quire.functions import text as t
+
+    chars = [chr(c) for c in (*range(0xD800), *range(0xE000, sys.maxunicode + 1)) if unicodedata.category(chr(c)) != "Cn" or c < 128]
+    rows = [("".join(chars[i : i + 500]),) for i in range(0, len(chars), 500)] + [(c,) for c in "éﬁ½①ǅ한 ſK"] + [("",), (None,)]
+    df = spark.createDataFrame(rows, "s string")
+    for r in df.select("s", t.ascii_fold(F.col("s")).alias("f")).collect():
+        assert r.f == (None if r.s is None else unicodedata.normalize("NFKD", r.s).encode("ascii", "ignore").decode())
+
+
+def plain_posting(page):
+    """A plain walk in document order: objects before their members, down to the tenth level."""
+    names = {k: set(v) for k, v in web.PROP_NAMES.items()}
+
+    def held(obj, field):
+        return next((str(obj[k]) for k in web.PROP_NAMES[field] if k in names[field] and isinstance(obj.get(k), str) and obj[k]), None)
+
+    def walk(obj, depth, company, title):
+        if depth > web.PROP_DEPTH:
+            return None
+        if isinstance(obj, dict):
+            company, title = held(obj, "company") or company, held(obj, "job_title") or title
+            if (text := held(obj, "description")) and text.strip():
+                return company, title, text.strip()
+        for v in obj.values() if isinstance(obj, dict) else obj if isinstance(obj, list) else ():
+            if (found := walk(v, depth + 1, company, title)) is not None:
+                return found
+        return None
+
+    return walk(page.get("props", page), 0, None, None) or (None, None, "")
+
+
+def test_props_are_searched_in_document_order(spark):
+    import json
+    import random
+
+    rng = random.Random(12)
+
+    def node(depth):
+        kind = rng.random()
+        if depth > 11 or kind < 0.25:
+            return rng.choice([1, None, True, "text", "", '{"description":"no object"}', "[1]"])
+        if kind < 0.45:
+            return [node(depth + 1) for _ in range(rng.randint(0, 3))]
+        keys = rng.sample(["z", "a", "m", "title", "employer", "body", "q", "company"], rng.randint(1, 4))
+        return {k: (rng.choice([f"v{rng.random():.3f}", ""]) if k in ("title", "employer", "body", "company") else node(depth + 1)) for k in keys}
+
+    pages = [{"props": {"z": {"description": "first"}, "a": {"description": "second"}}}, {"a": [[{"body": "x"}]], "title": "T"}]
+    deep = {"description": "deep"}
+    for _ in range(10):
+        deep = {"k": deep}
+    pages += [{"props": deep}, {"props": {"k": deep}}]
+    while len(pages) < 60:
+        top = node(0)
+        if isinstance(top, dict):
+            pages.append(top if rng.random() < 0.5 else {"props": top})
+    df = spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(pages)], "id int, raw string")
+    got = {r.id: tuple(r.hit) for r in web.posting_in_props(df, "raw", "hit").collect()}
+    for i, p in enumerate(pages):
+        assert got[i] == plain_posting(p), (i, p)
