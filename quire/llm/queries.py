@@ -128,4 +128,39 @@ SQL = {
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(norm) as text_sha256
         from t window w as (partition by norm)
     """,
+    "op13_resampling": r"""
+        with t as (
+          select 'd' as side, row_number() over () as row_no, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low from documents
+          union all select 'b', row_number() over (), null, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from benchmark
+        ), w as (
+          select side, row_no, doc_id, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from t
+        ), f as (
+          select side, row_no, unnest(words || list_transform(range(1, len(words)), lambda k: words[k] || ' ' || words[k + 1])) as feature from w
+        ), h as (
+          select feature, hex(encode(feature)) as hex from (select distinct feature from f)
+        ), c as (
+          -- CRC-32 bit by bit: each byte comes before eight shifts
+          select feature, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(range(length(hex) // 2), lambda k:
+                   [cast('0x' || substr(hex, 2 * k + 1, 2) as bigint), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda x, y:
+                   case when y >= 0 then xor(x, y) when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)) % 10000 as bucket
+          from h
+        ), fb as (
+          select side, row_no, bucket from f join c using (feature)
+        ), n as (
+          select bucket, count(*) filter (side = 'd') as s, count(*) filter (side = 'b') as t from fb group by bucket
+        ), z as (
+          select coalesce(sum(s), 0)::double as ss, coalesce(sum(t), 0)::double as tt from n
+        ), g as (
+          select bucket, cast(floor(1000 * ln((t + 1)::double * (ss + 10000) / ((s + 1)::double * (tt + 10000)))) as bigint) as gain from n, z
+        ), m as (
+          select row_no, count(*) as n_features, cast(floor(sum(gain)::double / count(*)) as bigint) as weight from fb join g using (bucket) where side = 'd' group by row_no
+        ), r as (
+          select row_no, doc_id, len(words) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0)
+                 + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('7:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) + 0.5::double) / 4294967296::double))) as bigint) as score
+          from w left join m using (row_no) where side = 'd'
+        ), p as (
+          select row_no, row_number() over (order by score desc, doc_id nulls last, row_no) as place, count(*) over () as fit from r where n_words >= 20
+        )
+        select doc_id, n_features, weight, score, case when place <= fit * 25 // 100 then place end as rank from r left join p using (row_no)
+    """,
 }
