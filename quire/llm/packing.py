@@ -47,8 +47,8 @@ def document_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, d
         coder = _tokenizer(tokenizer)
         for batch in batches:
             at, rows = [], []
-            for k, t in enumerate(batch.column(1).to_pylist()):
-                ids = coder.encode(t) + end
+            for k, ids in enumerate(coder.encode_all(batch.column(1).to_pylist())):
+                ids += end
                 for i in range(0, len(ids), 4 * capacity):
                     part = ids[i : i + 4 * capacity]
                     at.append(k)

@@ -3,17 +3,24 @@
 The tokenizer used here drops white space and never merges across it, so a
 text's ids are its words' ids in a row; a worker keeps the ids of the words it
 has met.  Words that are plain letters with at most one mark are taken apart
-further, and letters new to the worker are encoded in one call.
+further; letters need no normalising but lower case and no splitting, so new ones go straight to
+the tokenizer's merges.  A tokenizer of another build, where that does not give what it gives for whole texts, is called for each.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 
 CACHE = 250_000  # words a worker remembers before it starts anew
+AT_ONCE = 1_000_000  # characters whose words are learned together
+# The byte alphabet of the merges: bytes that are no printable sign stand for the characters from 256 on, in order.
+_SIGNS = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SIGNS)}
 MARKS = frozenset(".,;:!?")
 WORD = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)|([^\n]+))$", re.M)
 
@@ -26,22 +33,26 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.plain: bool | None = None
         self.words: dict[bytes, bytes] = {}
         self.stems: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
+    def _merged(self, stems: list[str]) -> dict[str, bytes]:
+        """Ids of lower-case letters from the merges alone, in their byte alphabet."""
+        tokenize = self.tokenizer.model.tokenize
+        return {s: array("I", [t.id for t in tokenize(s if s.isascii() else s.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes() for s in stems}
+
     def _learn_stems(self, stems: list[str]) -> None:
-        ids = self._encode(" ".join(stems))
-        cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-        if len(cuts) == len(stems):
-            raw = ids.tobytes()
-            self.stems.update(zip(stems, (raw[i:j] for i, j in zip([0, *cuts], cuts, strict=False)), strict=True))
-        else:  # a tokenizer of another build
+        if self.plain is None:  # tried once: letters of all kinds, and the vocabulary's own words
+            sample = [w for t in self.tokenizer.get_vocab() if (w := t.removesuffix("</w>")).isalpha() and w.isascii() and w.islower()][::8]
+            sample += [chr(c) * n + t for c in range(0xDF, 0x100) if c != 0xF7 for n in (1, 2) for t in ("", "ab")]
+            self.plain = all(ids == self._encode(s).tobytes() for s, ids in self._merged(sample).items())
+        if self.plain:
+            self.stems.update(self._merged(stems))
+        else:
             self.stems.update((s, self._encode(s).tobytes()) for s in stems)
 
     def _learn(self, words: set[bytes]) -> None:
@@ -63,10 +74,26 @@ class WordTokenizer:
         self.words.update((w, np.array(c.ids, "<u4").tobytes()) for (w, _), c in zip(others, coded, strict=True))
 
     def encode(self, text: str) -> bytes:
-        words = text.encode().split()
-        if new := set(words).difference(self.words):
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of every text; the words of some ``AT_ONCE`` characters are learned together."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text.encode().split())
+            size += len(text)
+            if size >= AT_ONCE:
+                yield from self._coded(held)
+                held, size = [], 0
+        yield from self._coded(held)
+
+    def _coded(self, texts: list[list[bytes]]) -> Iterator[bytes]:
+        all_words = set().union(*texts)
+        if new := all_words.difference(self.words):
             if len(self.words) > CACHE:
                 self.words = {}
-                new = set(words)
+                new = all_words
             self._learn(new)
-        return b"".join(map(self.words.__getitem__, words))
+        known = self.words.__getitem__
+        for words in texts:
+            yield b"".join(map(known, words))
