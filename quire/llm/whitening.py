@@ -251,7 +251,7 @@ def whiten(df: DataFrame, model: Whitening, vector: str = "embedding", out: str
 
 def components_of(df: DataFrame, model: Whitening, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """One row for each usable vector and component: key, component, n, deviation, whitened, explained, identity_error."""
-    rows = whiten(df.select(F.col(key), F.col(vector).alias("__vector")), model, "__vector", "__w").where("__w is not null")
+    rows = whiten(df.select(F.col(key), F.col(vector).alias("__vector")), model, "__vector", "__w")  # posexplode leaves out what is null
     share = F.lit([float(v) for v in model.explained]).cast("array<double>")
     rows = rows.select(F.col(key), F.col("__w.deviation").alias("deviation"), F.posexplode("__w.whitened").alias("__at", "whitened"))
     return rows.select(
