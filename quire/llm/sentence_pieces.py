@@ -8,7 +8,7 @@ it is committed and forgotten.  Memory is therefore bounded for any text.
 
 A space is written as U+2581 and joined to the word after it.  No piece of such a
 vocabulary holds U+2581 after another sign, so all paths converge before each word, and a worker may
-remember the ids of the words it has met; a short word is charted whole.  Characters outside the vocabulary become byte pieces.
+remember the ids of the words it has met; short words are charted whole, many at a time, over arrays.  Characters outside the vocabulary become byte pieces.
 
 The supplied model ranks its pieces by merges; a piece's log-probability follows from its rank by Zipf's law, so that
 frequent and long pieces win.  A text's ids therefore differ from those of merging pair by pair, and decode to the same text.
@@ -17,6 +17,7 @@ frequent and long pieces win.  A text's ids therefore differ from those of mergi
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from math import log
 
 import numpy as np
@@ -29,7 +30,10 @@ CACHE = 200_000
 LITERAL = "\ud800"  # stands for a U+2581 of the text itself; no decoded text holds it
 LETTER_MARK = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ][.,;:!?]")
 ENDING = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?]+)", re.S)
+MARKS = ".,;:!?"
 SHORT = 64  # characters that are charted whole, being fewer than a window may grow to
+TOGETHER = 4096  # words that are charted together
+AT_ONCE = 1_000_000  # characters of texts whose new words are learned together
 SEGMENT = re.compile(r" +[^ \n]*|\n[^ \n]*")
 
 
@@ -45,6 +49,7 @@ class Vocabulary:
         #: Paths converge between a letter and a mark unless a piece holds such a pair.
         self.by_mark = not any(LETTER_MARK.search(p) for p in pieces)
         self.words: dict[str, bytes] = {}
+        self.keys: np.ndarray | None = None
         table = {i: p.replace(SPACE, " ").encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
         self.table = [table.get(i, b"") for i in range(max(table) + 1)]
 
@@ -138,45 +143,134 @@ class Vocabulary:
             path.append(ids)
         return [i for ids in reversed(path) for i in ids]
 
-    def _segment(self, text: str) -> bytes:
-        signs = text.replace(SPACE, LITERAL).replace(" ", SPACE)
-        if len(signs) <= SHORT:
-            out = self.chart(signs)
-        else:
-            out = []
-            self.stream(signs, out)
-        return np.array(out, "<u4").tobytes()
-
-    def _word(self, key: str) -> bytes:
-        """Ids of a segment; the key of one that begins with a space leaves that out."""
-        if len(self.words) >= CACHE:
-            self.words.clear()
-        if self.by_mark and (m := ENDING.fullmatch(key)):
-            value = (self.words.get(m[1]) or self._word(m[1])) + self._mark(m[2])
-        else:
-            value = self._segment(key if key[:1] == "\n" else " " + key)
-        self.words[key] = value
-        return value
-
-    def _mark(self, marks: str) -> bytes:
-        """Ids of marks after a letter; kept under a key that no word has."""
-        key = LITERAL + marks
-        if key not in self.words:
-            self.words[key] = self._segment(marks)
-        return self.words[key]
+    def _build_trie(self) -> None:
+        """Children by (node, character) as a sorted array of keys, and every node's piece."""
+        nodes: dict[int, int] = {}
+        held: dict[int, tuple[int, float]] = {}
+        for p, hit in self.pieces.items():
+            at = 0
+            for ch in p:
+                at = nodes.setdefault(at << 21 | ord(ch), len(nodes) + 1)
+            held[at] = hit
+        self.keys = np.array(sorted(nodes), np.int64)
+        self.child = np.array([nodes[k] for k in self.keys.tolist()], np.int64)
+        self.node_score, self.node_id = np.full(len(nodes) + 1, -np.inf), np.zeros(len(nodes) + 1, np.int64)
+        for at, (i, score) in held.items():
+            self.node_score[at], self.node_id[at] = score, i
+
+    def chart_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text as :meth:`chart` finds them, in one pass over all of them position by position."""
+        if self.keys is None:
+            self._build_trie()
+        size = np.array([len(t) for t in texts])
+        n, flat = int(size.max()), np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        signs = np.full((len(texts), n), -1, np.int64)
+        signs[np.arange(n) < size[:, None]] = flat
+        score = np.full((n + 1, len(texts)), -np.inf)
+        back, piece = np.zeros((n + 1, len(texts)), np.int64), np.zeros((n + 1, len(texts)), np.int64)
+        score[0] = 0.0
+        last = len(self.keys) - 1
+        for i in range(n):
+            rows = np.flatnonzero(size > i)
+            node, here = np.zeros(len(rows), np.int64), score[i]
+            for j in range(i + 1, min(i + self.longest, n) + 1):
+                key = node << 21 | signs[rows, j - 1]  # -1 after a text's end fits no key
+                at = np.minimum(np.searchsorted(self.keys, key), last)
+                on = self.keys[at] == key
+                rows, node = rows[on], self.child[at[on]]
+                if j == i + 1:
+                    alone = np.zeros(len(texts), bool)
+                    alone[rows[self.node_score[node] > -np.inf]] = True
+                if not len(rows):
+                    break
+                found = here[rows] + self.node_score[node]
+                better = found > score[j, rows]
+                up = rows[better]
+                score[j, up], back[j, up], piece[j, up] = found[better], i, self.node_id[node[better]]
+            for k in np.flatnonzero((size > i) & ~alone):  # bytes: -1 stands for those of the character
+                ch = texts[k][i]
+                by_bytes = here[k] + self.byte_score * len((SPACE if ch == LITERAL else ch).encode())
+                if by_bytes > score[i + 1, k]:
+                    score[i + 1, k], back[i + 1, k], piece[i + 1, k] = by_bytes, i, -1
+        # Back along the best paths of all texts at once; a path's ids end in the last column.
+        path, at, left = np.zeros((len(texts), n), "<u4"), size.copy(), np.full(len(texts), n)
+        raw: dict[int, list[tuple[int, int]]] = {}
+        rows = np.flatnonzero(at > 0)
+        while len(rows):
+            ids = piece[at[rows], rows]
+            left[rows] -= 1
+            path[rows, left[rows]] = np.maximum(ids, 0)
+            for k in rows[ids < 0].tolist():
+                raw.setdefault(k, []).append((int(left[k]), int(at[k]) - 1))
+            at[rows] = back[at[rows], rows]
+            rows = rows[at[rows] > 0]
+        out = [path[k, first:].tobytes() for k, first in enumerate(left.tolist())]
+        for k, places in raw.items():
+            ids = [[i] for i in path[k].tolist()]
+            for place, i in places:
+                ids[place] = [self.byte_ids[b] for b in (SPACE if texts[k][i] == LITERAL else texts[k][i]).encode()]
+            out[k] = np.array([i for part in ids[left[k] :] for i in part], "<u4").tobytes()
+        return out
+
+    def _segments(self, texts: list[str]) -> dict[str, bytes]:
+        """Ids of segments: short ones in charts of texts of like length, longer ones one by one."""
+        signs = {t: t.replace(SPACE, LITERAL).replace(" ", SPACE) for t in texts}
+        short = sorted((t for t in texts if 0 < len(signs[t]) <= SHORT), key=lambda t: len(signs[t]))
+        ids = {}
+        for k in range(0, len(short), TOGETHER):
+            part = short[k : k + TOGETHER]
+            ids.update(zip(part, self.chart_many([signs[t] for t in part]), strict=True))
+        for t in texts:
+            if t not in ids:
+                out: list[int] = []
+                self.stream(signs[t], out)
+                ids[t] = np.array(out, "<u4").tobytes()
+        return ids
+
+    def _learn(self, new: set[str]) -> None:
+        """Ids of words; the key of a segment that begins with a space leaves that out."""
+        text = lambda key: key if self.by_word and key[:1] == "\n" else " " + key
+        parts = {k: m for k in new if self.by_mark and k[-1:] in MARKS and k and (m := ENDING.fullmatch(k))}
+        stems = (new - parts.keys()) | {m[1] for m in parts.values()}
+        marks = {m[2] for m in parts.values()}
+        ids = self._segments([*map(text, stems), *marks])
+        self.words.update((k, ids[text(k)]) for k in stems)
+        self.words.update((k, self.words[m[1]] + ids[m[2]]) for k, m in parts.items())
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit bytes; a text is read as if a space stood before it, an empty one has none."""
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes | None]:
+        """Ids as little-endian unsigned 32-bit bytes; a text is read as if a space stood before it, an empty one has none, null stays null."""
+        held: list[list[str] | None] = []
+        size = 0
+        for t in texts:
+            held.append(None if t is None else self._words_of(t))
+            size += len(t or "")
+            if size >= AT_ONCE:
+                yield from self._coded(held)
+                held, size = [], 0
+        yield from self._coded(held)
+
+    def _words_of(self, text: str) -> list[str]:
         if not text:
-            return b""
+            return []
         if not self.by_word:
-            return self._segment(" " + text)
+            return [text]
         if "  " in text or " \n" in text or text[0] in " \n" or text[-1] == " ":
-            keys = [s[1:] if s[0] == " " else s for s in SEGMENT.findall(" " + text)]
-        else:
-            keys = text.replace("\n", " \n").split(" ")
-        known = self.words.get
-        return b"".join([known(k) or self._word(k) for k in keys])
+            return [s[1:] if s[0] == " " else s for s in SEGMENT.findall(" " + text)]
+        return text.replace("\n", " \n").split(" ")
+
+    def _coded(self, texts: list[list[str] | None]) -> Iterator[bytes | None]:
+        every = set().union(*(t for t in texts if t is not None))
+        if new := every.difference(self.words):
+            if len(self.words) > CACHE:
+                self.words.clear()
+                new = every
+            self._learn(new)
+        known = self.words.__getitem__
+        for words in texts:
+            yield None if words is None else b"".join(map(known, words))
 
     def decode(self, ids: bytes) -> str:
         text = b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -201,7 +295,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids") ->
     @F.pandas_udf("binary")
     def run(texts: pd.Series) -> pd.Series:
         pieces = _vocabulary(model)
-        return pd.Series([None if t is None else pieces.encode(t) for t in texts], dtype=object)
+        return pd.Series(list(pieces.encode_all(texts)), dtype=object)
 
     # Marked so that Spark computes the ids once, however many columns are made of them.
     return docs.withColumn(out, run.asNondeterministic()(F.col(text)))

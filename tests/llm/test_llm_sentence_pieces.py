@@ -48,6 +48,26 @@ def test_stream_finds_the_best_score_in_a_bounded_window():
     assert v.stream("internationalisation" * 2000, ids) < 400 and len(ids) >= 2000
 
 
+def test_charts_of_many_words_equal_charts_of_one():
+    v = Vocabulary.load(MODEL)
+    small = Vocabulary({"a": (1, -3.0), "aa": (2, -4.0), "aaa": (3, -5.5), "b": (4, -1.0), "ab": (5, -9.0)}, list(range(10, 266)), -20.0)
+    rng = random.Random(3)
+    for vocabulary, alphabet in ((v, ["the", "ing", "é", "①", LITERAL, SPACE, "𝄞", "x", "日", "."]), (small, ["a", "a", "b", "?", "é"])):
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 15))) for _ in range(700)]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in vocabulary.chart_many(texts)] == [vocabulary.chart(t) for t in texts]
+
+
+def test_texts_together_equal_texts_alone(monkeypatch):
+    monkeypatch.setattr(sentence_pieces, "AT_ONCE", 40)
+    monkeypatch.setattr(sentence_pieces, "CACHE", 5)
+    v = Vocabulary.load(MODEL)
+    texts = [*TEXTS, None, "y" * 200, "\nab.", "ab.", ".", "?!"] * 2
+    assert list(v.encode_all(texts)) == [None if t is None else Vocabulary.load(MODEL).encode(t) for t in texts]
+    assert list(v.encode_all([])) == []
+    joined = Vocabulary({"a ": (1, -1.0), "\n": (2, -1.0), f"x{SPACE}y": (3, -1.0), SPACE: (4, -5.0)}, list(range(10, 266)), -20.0)
+    assert not joined.by_word and joined.decode(joined.encode("\nx y")) == "\nx y"
+
+
 def test_words_remembered_equal_whole_stream():
     v = Vocabulary.load(MODEL)
     assert v.by_word
