@@ -37,7 +37,7 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf: str) -> DataFrame:
-    records = warc.round_trip(_table(spark, sf, "pages"), with_payload=False)
+    records = warc.round_trip(_table(spark, sf, "pages"), with_payload=False, url="url")
     return records.select(
         F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to")
     )

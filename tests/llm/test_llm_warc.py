@@ -63,3 +63,24 @@ def test_streams_of_several_members_and_broken_streams():
     assert list(warc.records_of(io.BytesIO(gzip.compress(b"")))) == []
     with pytest.raises(ValueError):
         list(warc.records_of(io.BytesIO(gzip.compress(record(1, b"abc")[:-6]))))
+    packer = zlib.compressobj(9, zlib.DEFLATED, 31)
+    whole = packer.compress(record(1, b"abc")) + packer.flush(zlib.Z_FULL_FLUSH)  # cut exactly after a record
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.records_of(io.BytesIO(whole)))
+
+
+def test_headers_follow_the_standard(spark, tmp_path):
+    rows = [(1, "<p>a</p>", "http://h/1"), (2, "<p>a</p>", "http://h/2 x\r\nEvil: 1"), (3, "b", None), (3, "b", None), (None, "c", "http://h/n")]
+    records = warc.plan_records(spark.createDataFrame(rows, "page_id long, html string, url string"), url="url")
+    warc.write_monolithic(records, f"file://{tmp_path}/raw", "2024-05-06T07:08:09Z")
+    found = [x for f in sorted((tmp_path / "raw").glob("*.gz")) for x in warc.records_of(io.BytesIO(f.read_bytes()))]
+    assert len(found) == 5 and len({f["warc-record-id"] for _, f, _ in found}) == 5
+    for block, f, payload in found:
+        head, _, body = payload.partition(b"\r\n\r\n")
+        assert block.startswith(b"WARC/1.1\r\n") and f["warc-record-id"].startswith("<urn:uuid:") and len(f["warc-record-id"]) == 47
+        assert f["warc-date"] == "2024-05-06T07:08:09Z" and f["content-type"] == "application/http; msgtype=response" and "evil" not in f
+        assert head.startswith(b"HTTP/1.1 200 OK\r\n") and (f["warc-type"] == "revisit") == (body == b"") == ("warc-profile" in f)
+    by = {f["warc-target-uri"]: f for _, f, _ in found}
+    assert set(by) == {"http://h/1", "http://h/2%20x%20%20Evil:%201", "urn:page:3", "http://h/n"}
+    again = by["http://h/2%20x%20%20Evil:%201"]
+    assert again["warc-type"] == "revisit" and again["warc-refers-to-target-uri"] == "http://h/1" and again["warc-profile"].endswith("identical-payload-digest")
