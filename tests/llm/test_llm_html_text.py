@@ -1,6 +1,7 @@
 """Main text of pages: markup cases, tree matching against brute force, and templates of a host."""
 
 import random
+import time
 from functools import cache
 
 from quire.llm import html_text
@@ -144,3 +145,76 @@ def test_what_all_pages_of_a_host_share_is_template(spark):
 
 def test_skeletons_of_equal_pages_are_equal():
     assert skeleton(PAGE) == skeleton(PAGE) and len({len(x) for x in skeleton(PAGE)}) == 1
+
+
+def test_markup_in_quotes_and_deep_or_broken_pages_take_linear_time():
+    assert extract('<p a="x>y">attr</p><p b=\'<b>\' c=it\'s>gt</p>') == "attr\ngt"
+    assert extract('<p a="never closed>x</p><p>y</p>').endswith("y")
+    start = time.time()
+    n = 40_000
+    for page in ("<b>" * n + "</i>" * n, "<b>" * n + "<article>" + "<i>" * n + "</b>" * n, '<a b="' * n, "<i>" * n + "<p></p>" * n, "<a " * n, "<!-- " * n):
+        extract(page)
+    assert time.time() - start < 20
+    a, b = skeleton("<div>" * 10_000 + "<p>a"), skeleton("<div>" * 9_000 + "<p>b</p>" + "<div>" * 1_000 + "c")
+    assert len(match(a[:2], b[:2])) == 10_001
+
+
+def story(rng, k):
+    return [" ".join(rng.choice("river stone bridge quiet seven lamp under water".split()) for _ in range(rng.randint(6, 30))) + f" {k}." for _ in range(rng.randint(2, 9))]
+
+
+def site(rng, k, wrap):
+    """A page and its text: a menu of varying links, an advert, the story, reader links; no tag or name says which is which."""
+    link = lambda: f'<li><a href="/{rng.randrange(99)}">{rng.choice(["Home", "News", "Sport", "Money"])} {rng.randrange(99)}</a></li>'
+    text = story(rng, k)
+    body = "".join(f"<p>{t}</p>" for t in text)
+    page = f"<body><div class=a><ul>{''.join(link() for _ in range(5))}</ul></div><div class=b>Buy {rng.randrange(999)}</div>{wrap[0]}<h1>Story {k}</h1>{body}{wrap[1]}<div class=c><ul>{link()}{link()}</ul></div><div>Same line</div></body>"
+    return page, "\n".join([f"Story {k}", *text])
+
+
+def test_the_wrapper_alone_finds_the_content(spark):
+    """Without declared parts: every page against the story it was made of."""
+    rng = random.Random(7)
+    rows, want = [], {}
+    for host, wrap in (("a.example", ("<div class=main>", "</div>")), ("b.example", ("<section><div>", "</div></section>"))):
+        for k in range(20):
+            page, text = site(rng, k, wrap)
+            want[host, k] = text
+            rows.append((k, f"http://{host}/{k}", page))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r.url.split("/")[2], r.page_id): r.main_text for r in html_text.page_text(df, declared=False).collect()}
+    assert got == want
+    few = html_text.page_text(df, declared=False, least=50).collect()
+    assert all("Same line" in r.main_text for r in few)
+
+
+def plain_wrapper(trees, least):
+    """The wrapper of one host from whole trees in memory: brute force over every reference node."""
+    ref = trees[0]
+    aligned = [match(t[:2], ref[:2]) for t in trees]
+    constant = set()
+    for j in range(len(ref[0])):
+        texts = [t[2][i] for t, pairs in zip(trees, aligned, strict=True) for i, at in pairs.items() if at == j and t[2][i]]
+        if len(texts) >= least and texts.count(ref[2][j]) >= html_text.CONSTANT * len(texts):
+            constant.add(j)
+    return constant
+
+
+def test_template_nodes_equal_brute_force(spark):
+    rng = random.Random(9)
+    pages = [site(rng, k, ("<div>", "</div>"))[0] for k in range(15)]
+    pages += [p.replace("Same line", "Other line") for p in pages[:1]]
+    rows = [("h", k, 0, tuple(skeleton(p, False))) for k, p in enumerate(pages)]
+    trees = spark.createDataFrame(rows, f"host string, h1 long, h2 long, tree struct<{html_text.SKELETON.replace(' array', ': array')}>")
+    got = html_text.templates(trees).collect()
+    assert len(got) == 1 and set(got[0].template) == plain_wrapper([skeleton(p, False) for p in pages], html_text.MIN_PAGES) != set()
+
+
+def test_query_contract(spark, tmp_path):
+    from quire.llm import queries
+
+    rows = [(1, "http://a/1", PAGE), (2, None, None), (3, "http://a/3", "<p>\U0001f389 x</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.op6_html_text(spark, str(tmp_path))
+    assert got.dtypes == [("page_id", "bigint"), ("url", "string"), ("text", "string"), ("n_chars", "bigint")]
+    assert {r.page_id: (r.text, r.n_chars) for r in got.collect()} == {1: (extract(PAGE), len(extract(PAGE))), 2: ("", 0), 3: ("\U0001f389 x", 3)}
