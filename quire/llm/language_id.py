@@ -24,12 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import written
+from quire.llm.quality_rules import declared
 
 BITS = 16
 CACHE = 300_000
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|textarea)\b.*?(?:</\1\s*>|\Z)|<[^>]*>", re.S | re.I)
 EDGES = ".,;:!?()[]{}\"'«»„“”‚‘’*#$%&|<>-_/\\0123456789"
-MOST_TRIGRAMS, TEMPER = 100, 0.5  # neighbouring trigrams are no independent witnesses
+# Neighbouring trigrams are no independent witnesses: evidence grows with half their number at first, and ever more slowly beyond some hundred.
+HALVED, TEMPER = 100, 0.5
 SUFFIX_WEIGHT, HOST_WEIGHT, DECLARED_WEIGHT = 20.0, 5.0, 5.0  # pages that the level above counts for
 MAX_LANGUAGES, MIN_ROWS = 64, 5
 OTHER = "other"  # all languages beyond these bounds
@@ -48,6 +50,7 @@ def trigrams(word: str) -> list[int]:
 class TextModel:
     languages: list[str]
     table: np.ndarray  # trigram, language: log-probability
+    halved: int = HALVED
 
 
 class WordScores:
@@ -74,20 +77,23 @@ class WordScores:
             self._learn(new if len(self.at) + len(new) <= CACHE else list(dict.fromkeys(words)))
         total = self.rows[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))].sum(0)
         n = total[-1]
-        return total[:-1] / n * min(n, MOST_TRIGRAMS) * TEMPER if n else np.zeros(len(total) - 1)
+        return total[:-1] / n * (self.model.halved * np.log1p(n / self.model.halved)) * TEMPER if n else np.zeros(len(total) - 1)
 
 
-def train_text_model(docs: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = 1000) -> TextModel:
-    """Trigram model of the languages that at least ``MIN_ROWS`` documents are in, at most the ``MAX_LANGUAGES`` most frequent ones.
+def train_text_model(
+    docs: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = 1000, max_languages: int = MAX_LANGUAGES, min_rows: int = MIN_ROWS, halved: int = HALVED
+) -> TextModel:
+    """Trigram model of the languages that at least ``min_rows`` documents are in, at most the ``max_languages`` most frequent ones.
 
-    All further languages together are one more, 'other'.
-    Null texts and languages teach nothing; without any language of ``MIN_ROWS`` documents the model has one, 'und'.
+    A declared region does not count: ``en-US`` is ``en``.  All further languages together are one more, 'other'.
+    ``halved`` is the number of trigrams from which more of them count for less.
+    Null texts and languages teach nothing; without any language of ``min_rows`` documents the model has one, 'und'.
     """
-    known = docs.select(F.lower(F.col(lang).cast("string")).alias("lang"), F.col(text).alias("t")).where("lang is not null and t is not null")
+    known = docs.select(declared(F.col(lang)).alias("lang"), F.col(text).alias("t")).where("lang is not null and t is not null")
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    listed = counts.where((F.col("n") >= MIN_ROWS) & (F.col("lang") != OTHER)).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES).collect()
+    listed = counts.where((F.col("n") >= min_rows) & (F.col("lang") != OTHER)).orderBy(F.col("n").desc(), "lang").limit(max_languages).collect()
     if not listed:
-        return TextModel(["und"], np.zeros((1 << BITS, 1)))
+        return TextModel(["und"], np.zeros((1 << BITS, 1)), halved)
     sizes = {r["lang"]: r["n"] for r in listed}
     rest = counts.agg(F.sum("n").alias("n")).first()["n"] - sum(sizes.values())
     known = known.withColumn("lang", F.when(F.col("lang").isin(*sizes), F.col("lang")).otherwise(OTHER))
@@ -113,7 +119,7 @@ def train_text_model(docs: DataFrame, text: str = "text", lang: str = "lang", ma
     rows = sample.mapInPandas(count, "g int, k int, n double").groupBy("g", "k").agg(F.sum("n").alias("n")).toPandas()  # bounded by the table
     table = np.full((1 << BITS, len(languages)), 0.05)
     table[rows["g"], rows["k"]] += rows["n"]
-    return TextModel(languages, np.log(table / table.sum(0)))
+    return TextModel(languages, np.log(table / table.sum(0)), halved)
 
 
 def _softmax(logs: Column) -> Column:
@@ -150,8 +156,8 @@ def page_languages(pages: DataFrame, model: TextModel, page_id: str = "page_id",
     body = F.coalesce(F.col(markup), F.lit(""))
     host = F.lower(F.coalesce(F.try_parse_url(F.col(url), F.lit("HOST")), F.lit("")))
     code = F.lower(F.regexp_extract(body, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
-    declared = F.when(code == "", "none").when(code.isin(*languages), code).otherwise(OTHER)
-    seen = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), declared.alias("declared"), evidence(body).alias("logs"))
+    marked = F.when(code == "", "none").when(code.isin(*languages), code).otherwise(OTHER)
+    seen = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), marked.alias("declared"), evidence(body).alias("logs"))
     seen = written(seen.withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("p", _softmax(F.col("logs"))), "evidence")
     flat = F.array_max("logs") == F.array_min("logs")
     if n == 1:

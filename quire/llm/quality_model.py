@@ -122,7 +122,7 @@ def shape(word: str) -> int:
     if word.isalpha():
         return ALL_CAPITALS if word.isupper() and len(word) > 1 else LETTERS
     s = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "a", word)
-    return crc32(re.sub(r"\d+", "0", s)[:12].encode()) & ((1 << BITS) - 1)
+    return crc32(re.sub(r"\d+", "0", s).encode()) & ((1 << BITS) - 1)
 
 
 class Shapes(dict):

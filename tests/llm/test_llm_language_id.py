@@ -33,11 +33,10 @@ def test_fusion(spark):
     assert all(0 < r.confidence <= 1 + 1e-9 for r in got)
 
 
-def test_languages_beyond_the_bounds_are_other(spark, monkeypatch):
+def test_languages_beyond_the_bounds_are_other(spark):
     rng = random.Random(2)
-    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
     docs = [(text(rng, x, 60), x) for x, n in (("de", 20), ("en", 20), ("fr", 8)) for _ in range(n)] + [("αβγ δεζ ηθι κλμ νξο " * 20, "el")]
-    model = language_id.train_text_model(spark.createDataFrame(docs, "text string, lang string"))
+    model = language_id.train_text_model(spark.createDataFrame(docs, "text string, lang string"), max_languages=2)
     assert model.languages == ["de", "en", "other"]
     rows = [(k, f"https://s{k}.example/", f"<html lang={x}><p>{t}</p>") for k, (x, t) in enumerate([("fr", text(rng, "fr", 40)), ("el", "αβγ δεζ κλμ " * 10), ("en", text(rng, "en", 40)), ("de", text(rng, "de", 40))])]
     got = {r.page_id: r for r in language_id.page_languages(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()}
