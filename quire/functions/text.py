@@ -183,11 +183,9 @@ def person_name(c: Column) -> Column:
         x = line
         for p in (L.EMAIL, L.PHONE, L.LINKEDIN, L.GITHUB):
             x = F.regexp_replace(x, p, "")
-        alpha = lambda w: F.regexp_replace(w, r"[^\p{L}]", "")
-        marks = F.transform(
-            F.split(strip(x), r"\s+"),
-            lambda w: F.when(alpha(w).rlike(r"^\p{Lu}\p{L}"), alpha(w)).otherwise("|"),
-        )
+        x = F.when(line.rlike(r"[@/0-9]|[\s().-]{7}"), x).otherwise(line)  # each of the patterns needs one of these
+        letters = F.transform(F.split(strip(x), r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}]", ""))
+        marks = F.transform(letters, lambda w: F.when(w.rlike(r"^\p{Lu}\p{L}"), w).otherwise("|"))
         return F.split(strip(F.regexp_extract(F.array_join(marks, " "), r"^[| ]*([^|]+)", 1)), " +")
 
     runs = F.transform(F.slice(non_blank_lines(c), 1, 8), lambda x: run(x))

@@ -315,37 +315,43 @@ def injection_score(target: DataFrame, rendered: DataFrame, template: DataFrame,
     """How much of the target vocabulary reached the rendered document, with per-section floors.
 
     The three line tables have (doc, section, line), section being summary,
-    experience, skills or null.  Vocabularies are distinct (doc, section, word)
-    rows; no document is held as one text.
+    experience, skills or null.  Vocabularies are (doc, section, word) rows with
+    the sides they occur on; no document is held as one text.
     """
-    def vocab(df, keys):
-        return df.select(*keys, F.explode(content_tokens(F.col(line))).alias("w")).distinct()
-
-    sec = [doc, "section"]
-    tv = cut(vocab(target.filter("section IS NOT NULL"), sec))
-    rt = cut(vocab(rendered, sec))
-    rv = rt.filter("section IS NOT NULL")
-    ov = vocab(template.filter("section IS NOT NULL"), sec)
-    full = cut(rt.select(doc, "w").distinct())
-    mark = lambda df, name: df.withColumn(name, F.lit(1))
-    in_full = mark(full, "f")
-    whole = tv.select(doc, "w").distinct().join(in_full, [doc, "w"], "left").groupBy(doc).agg(F.count(F.lit(1)).alias("words"), F.count("f").alias("found"))
-    hits = tv.join(mark(rv, "r"), [*sec, "w"], "left").join(in_full, [doc, "w"], "left").groupBy(*sec).agg(
-        F.count(F.lit(1)).alias("n"), F.count("r").alias("r"), F.count("f").alias("f"))
-    present = rv.select(*sec).distinct().withColumn("rendered", F.lit(True))
-    same = mark(rv, "a").join(mark(ov, "b"), [*sec, "w"], "full_outer").groupBy(*sec).agg(
-        F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("i"), F.count(F.lit(1)).alias("u"), F.count("a").alias("na"), F.count("b").alias("nb"))
-    j = hits.join(present, sec, "left").join(same, sec, "left")
+    # One bit a side: target, rendered, template.  A word of a section meets its sides in one aggregate, and its other sections in the next.
+    target_bit, rendered_bit, template_bit = 1, 2, 4
+    words = lambda df, bit: df.select(doc, "section", F.explode(content_tokens(F.col(line))).alias("w"), F.lit(bit).alias("bits"))
+    sides = (
+        words(target.filter("section IS NOT NULL"), target_bit).unionByName(words(rendered, rendered_bit))
+        .unionByName(words(template.filter("section IS NOT NULL"), template_bit))
+    )
+    by_section = sides.groupBy(doc, "section", "w").agg(F.bit_or("bits").alias("bits"))
+    by_word = by_section.groupBy(doc, "w").agg(F.collect_list(F.struct("section", "bits")).alias("at"), F.bit_or("bits").alias("any"))
+    # Every word counts once for each of its sections and once, without a section, for the document.
+    level = lambda of_doc, section, bits: F.struct(F.lit(of_doc).alias("of_doc"), section.alias("section"), bits.alias("bits"))
+    counted = F.concat(
+        F.transform(F.filter("at", lambda x: x["section"].isNotNull()), lambda x: level(False, x["section"], x["bits"])),
+        F.array(level(True, F.lit(None).cast("string"), F.col("any"))),
+    )
+    on = lambda c, *bits: (F.col(c).bitwiseAND(F.lit(sum(bits))) == sum(bits))
+    j = by_word.select(doc, "any", F.explode(counted).alias("x")).select(doc, "any", "x.*").groupBy(doc, "of_doc", "section").agg(
+        F.count_if(on("bits", target_bit)).alias("n"), F.count_if(on("bits", target_bit, rendered_bit)).alias("r"),
+        F.count_if(on("bits", target_bit) & on("any", rendered_bit)).alias("f"), F.count_if(on("bits", rendered_bit, template_bit)).alias("i"),
+        F.count_if(on("bits", rendered_bit) | on("bits", template_bit)).alias("u"), F.count_if(on("bits", rendered_bit)).alias("na"), F.count_if(on("bits", template_bit)).alias("nb"),
+    ).filter("n > 0")
     floor = F.lit(0.0)
     for name, v in INJECTION_FLOORS.items():
         floor = F.when(F.col("section") == name, v).otherwise(floor)
-    has = F.coalesce("rendered", F.lit(False))
+    has = F.col("na") > 0
     r, f = F.col("r") / F.col("n"), F.col("f") / F.col("n")
     low = F.when(has, r < floor).otherwise(f < F.when(F.col("section") == "summary", 0.95).otherwise(floor))
-    unchanged = has & (F.col("na") > 0) & (F.col("nb") > 0) & (F.col("i") / F.col("u") >= 0.95) & (r < 0.80)
-    bad = j.groupBy(doc).agg(F.count_if(F.coalesce(low, F.lit(False)) | F.coalesce(unchanged, F.lit(False))).alias("failed_sections"))
+    unchanged = has & (F.col("nb") > 0) & (F.col("i") / F.greatest(F.col("u"), F.lit(1)) >= 0.95) & (r < 0.80)
+    found = j.groupBy(doc).agg(
+        F.max(F.when(F.col("of_doc"), F.col("n"))).alias("words"), F.max(F.when(F.col("of_doc"), F.col("r"))).alias("found"),
+        F.count_if(~F.col("of_doc") & (low | unchanged)).alias("failed_sections"),
+    )
     text = rendered.groupBy(doc).agg(F.max(t.any_of(F.lower(line), L.PLACEHOLDERS)).alias("placeholder"), F.max(F.lower(line).contains("lorem ipsum")).alias("lorem"))
-    d = rendered.select(doc).distinct().join(whole, doc, "left").join(bad, doc, "left").join(text, doc, "left")
+    d = text.join(found, doc, "left")
     sim = F.coalesce(F.col("found") / F.col("words"), F.lit(0.0))
     cut_ = F.when(F.col("words").isNull() | (sim >= 0.80), 0).when(sim >= 0.50, 15).when(sim >= 0.25, 30).otherwise(50)
     hard = F.col("lorem") | (F.coalesce("failed_sections", F.lit(0)) > 0) | (F.col("words").isNotNull() & (sim < 0.10))

@@ -192,3 +192,15 @@ def test_props_are_searched_in_document_order(spark):
     got = {r.id: tuple(r.hit) for r in web.posting_in_props(df, "raw", "hit").collect()}
     for i, p in enumerate(pages):
         assert got[i] == plain_posting(p), (i, p)
+
+
+def test_nested_noise_ends_at_its_own_close(spark):
+    cases = {
+        "<p>a</p><nav>x<nav>y</nav>z</nav><p>b</p>": "\na\nb\n", "<NAV class=m>x<header>y</header>z</NAV>b": "b", "a</nav>b": "a\nb", "a<nav>b": "a\nb",
+        "<header><footer>x</footer>y<header>z</header>w</header>k<navigate>v</navigate>": "k\nv\n", "<script>var t='<nav>'</script>a<nav>b</nav>": "a", "<header\n>x</header >y": "y", "": "",
+        "<nav>a</nav><nav>b<nav>c</nav></nav>d<footer>e": "\nd\ne",
+    }
+    for value, want in cases.items():
+        assert one(spark, value, web.text_without_noise) == want, value
+    start = time.time()
+    assert one(spark, "<nav>" * 3000 + "x" + "</nav>" * 3000 + "y", web.text_without_noise) == "y" and time.time() - start < 10
