@@ -134,7 +134,7 @@ def scan_licences(docs: DataFrame, index: LicenceIndex, doc_id: str = "doc_id",
 
     table = _constant([
         {
-            "label": label, "length": len(ws), "key": f" {key} ", "weight": sum(map(index.idf, set(ws))), "need": min(2, len(anchors[k])),
+            "label": label, "length": len(ws), "key": f" {key} ", "weight": sum(map(index.idf, sorted(set(ws))), 0.0), "need": min(2, len(anchors[k])),
             "vocabulary": [{"word": w, "idf": index.idf(w)} for w in sorted(set(ws))], "anchors": [{"word": w, "p": ws.index(w)} for w in anchors[k]],
         } for k, (label, ws, key) in enumerate(notices)
     ], "array<struct<label:string,length:int,key:string,weight:double,need:int,vocabulary:array<struct<word:string,idf:double>>,anchors:array<struct<word:string,p:bigint>>>>")
@@ -188,12 +188,12 @@ def scan_licences(docs: DataFrame, index: LicenceIndex, doc_id: str = "doc_id",
 def label_licences(scanned: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of scanned documents.
 
-    The score is 1 where a phrase stands word for word, else the largest share of a notice that was found, 0 without any.
+    The score is 1 where a phrase stands word for word, else the largest share of a notice that was found, to nine digits, 0 without any.
     """
     base, more = F.col("places.label"), F.col("notices.label")
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     return scanned.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places.word").alias("first_word"), F.array_max("places.word").alias("last_word"),
         joined(base).alias("base_labels"), joined(F.concat(base, more)).alias("labels"),
-        F.when(F.size("places") > 0, 1.0).otherwise(F.least(F.coalesce(F.array_max("notices.share"), F.lit(0.0)), F.lit(1.0))).alias("score"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.round(F.least(F.coalesce(F.array_max("notices.share"), F.lit(0.0)), F.lit(1.0)), 9)).alias("score"),
     )

@@ -107,6 +107,10 @@ QUERIES = {
     )
 }
 
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else f"'{x}'" for x in row) + ")" for row in rows)
+
+
 SQL = {
     "op3_warc": """
         with t as (
@@ -128,6 +132,52 @@ SQL = {
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(norm) as text_sha256
         from t window w as (partition by norm)
     """,
+    "op12_license_scan": rf"""
+        with notices(t, label, body, phrase) as (values {_values((k, *x) for k, x in enumerate(license_scan.TEMPLATES))}
+        ), phrases(label, body) as (values {_values(license_scan.PHRASES)}
+        ), d as (
+          select row_number() over () as row_no, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents
+        ), vocabulary as (
+          select distinct unnest(string_split(body, ' ')) as w from (select body from notices union all select body from phrases)
+        ), occ as (
+          select row_no, w, i from (select row_no, unnest(words) as w, generate_subscripts(words, 1) - 1 as i from d) where w in (select w from vocabulary)
+        ), idf as (
+          select w, ln(1 + ((select count(*) from d) + 1)::double / (coalesce(n, 0) + 1)) as idf from vocabulary left join (select w, count(distinct row_no) as n from occ group by w) using (w)
+        ), tw as (
+          select t, unnest(string_split(body, ' ')) as w, generate_subscripts(string_split(body, ' '), 1) - 1 as p from notices
+        ), td as (
+          select t, w, min(p) as p, any_value(idf) as idf, row_number() over (partition by t order by any_value(idf) desc, w) as rarity from tw join idf using (w) group by t, w
+        ), total as (
+          select t, list_reduce(list_prepend(0::double, list(idf order by w)), lambda a, b: a + b) as weight, least(2, count(*) filter (rarity <= {license_scan.ANCHORS})) as need from td group by t
+        ), starts as (
+          select distinct row_no, t, i - tw.p as pos from occ join tw using (w) join td using (t, w) where rarity <= {license_scan.ANCHORS}
+        ), agreed as (
+          select row_no, t, pos from (select distinct s.row_no, s.t, s.pos, a.w from starts s join td a on a.t = s.t and a.rarity <= {license_scan.ANCHORS}
+            join occ o on o.row_no = s.row_no and o.w = a.w and abs(o.i - s.pos - a.p) <= {license_scan.SLACK})
+          join total using (t) group by row_no, t, pos, need having count(*) >= need
+        ), seen as (
+          select row_no, t, pos, label, phrase, words[greatest(pos - {license_scan.SLACK}, 0) + 1 : pos + len(string_split(body, ' ')) + {license_scan.SLACK}] as win from agreed join notices using (t) join d using (row_no)
+        ), keyed as (
+          select row_no, t, pos, label, win from seen where contains(' ' || array_to_string(win, ' ') || ' ', ' ' || phrase || ' ')
+        ), rated as (
+          select row_no, label, list_reduce(list_prepend(0::double, list(idf order by w)), lambda a, b: a + b) / any_value(weight) as share
+          from (select k.row_no, k.t, k.pos, k.label, td.w, td.idf from keyed k join td using (t) where list_contains(k.win, td.w)) join total using (t) group by row_no, t, pos, label
+        ), found as (
+          select row_no, label, share from rated where share >= {license_scan.LEAST}
+        ), places as (
+          select o.row_no, f.label, o.i from phrases f join occ o on o.w = string_split(f.body, ' ')[1] join d using (row_no)
+          where words[o.i + 1 : o.i + len(string_split(f.body, ' '))] = string_split(f.body, ' ')
+        ), b as (
+          select row_no, count(*) as n_base, min(i) as first_word, max(i) as last_word, string_agg(distinct label, ',' order by label) as base_labels from places group by row_no
+        ), a as (
+          select row_no, string_agg(distinct label, ',' order by label) as labels from (select row_no, label from places union all select row_no, label from found) group by row_no
+        ), m as (
+          select row_no, least(max(share), 1) as best from found group by row_no
+        )
+        select doc_id, len(words) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
+               case when n_base > 0 then 1::double else round(coalesce(best, 0), 9) end as score
+        from d left join b using (row_no) left join a using (row_no) left join m using (row_no)
+    """,
     "op13_resampling": r"""
         with t as (
           select 'd' as side, row_number() over () as row_no, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low from documents

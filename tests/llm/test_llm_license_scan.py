@@ -80,6 +80,29 @@ def test_scan_equals_a_plain_walk_on_edited_notices(spark):
     check(spark, rows)
 
 
+def test_query_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(6)
+    pool = [w for _, t, _ in ls.TEMPLATES for w in t.split()] + ["lorem"] * 80
+    rows = [r for r in AWKWARD if r[0] != 9]
+    for k in range(100, 220):
+        ws = rng.choice(ls.TEMPLATES)[1].split()
+        for _ in range(rng.randint(0, 4)):
+            ws[rng.randrange(len(ws))] = rng.choice(pool)
+        rows.append((k, " ".join([rng.choice(pool) for _ in range(9)] + ws), 0, ""))
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    found = con.execute(queries.SQL["op12_license_scan"])
+    names = [d[0] for d in found.description]
+    got = queries.op12_license_scan(spark, str(tmp_path)).select(*names)
+    want = found.fetchall()
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert len({r[names.index("score")] for r in want}) > 10
+
+
 def test_empty_table_and_no_templates(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert ls.scan_licences(df, ls.build_index(df)).count() == 0
