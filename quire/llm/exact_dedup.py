@@ -85,7 +85,10 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bi
 
 
 def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of ``docs`` for each group of equal texts, with all its columns; rows repeated whole leave one."""
+    """One row of ``docs`` for each group of equal texts, with all its columns; rows repeated whole leave one.
+
+    No column may begin with two underscores.
+    """
     kept = exact_groups(docs, doc_id, text).where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept_sha"))
     kept = written(kept.agg(F.count(F.lit(1)).alias("__rows")), "kept")
     marked = docs.withColumn("__sha", F.sha2(lower_ascii(F.col(text)), 256))

@@ -10,8 +10,8 @@ A page's text is what the slots under that root hold, without the parts that the
 be menus, notices, forms and the like (``declared``, a prior that can be turned off).  Pages of hosts with few pages, and those
 that have nothing under the root, are read by their declared structure alone.
 
-Trees travel as labels, parents and text hashes; the pages' markup does not
-move unless a host's template must reach many pages.
+Trees travel as labels, parents, text hashes and sizes; the pages' markup moves once at most, to meet what
+the wrapper says of its nodes.
 """
 
 from __future__ import annotations

@@ -273,7 +273,7 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS_PER_SHINGLE, similar: int = SIMILAR, of: int = OF) -> DataFrame:
     """The rows of ``docs`` that stay, with all columns: one of each component, with the smallest id, and of several texts of that id the one of the smallest hash.
 
-    A row without an id stays only where its whole component has none; rows repeated whole leave one.  Null and blank texts all stay.
+    A row without an id stays only where its whole component has none; rows repeated whole leave one.  Null and blank texts all stay.  No column may begin with two underscores.
     """
     sets, named = _components(docs, doc_id, text, k, similar, of)
     first = named.groupBy("component").agg(F.min("one").alias("one")).select("one.doc_id", "one.t1", "one.t2", F.lit(False).alias("__blank"))
