@@ -9,7 +9,8 @@ SF = "/root/testdata/sf0.001"
 NAMES = (
     "w1_allocate_quota", "w2_credit_ledger", "a7_grade_aggregate", "k4_examples_per_group", "w8_segment_sections", "w9_segment_roles",
     "w10_merge_title_lines", "w11_section_spans", "w12_sparse_pages", "w14_column_jump", "j14_align_sections", "j19_near_duplicate_lines",
-    "a21_token_f1", "f30_downgrade_invalid", "f35_section_diff",
+    "a21_token_f1", "f30_downgrade_invalid", "f35_section_diff", "s1_read_url_list", "s2_read_logs", "a10_log_counters",
+    "w16_reading_order", "w17_cap_bullets", "a36_region_scores", "f31_autocorrect_blocks",
 )
 
 
