@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import lexicons as L
 from quire.functions import text as t
-from quire.plans import cut, lag1, last_seen, ordered_scan, rank_in, running_min, running_sum
+from quire.plans import cut, hot_keys, lag1, last_seen, ordered_scan, rank_in, running_min, running_sum
 from quire.plans.matching import cell_edges, greedy_match, rank_pairs
 
 # Fixed values.
@@ -382,22 +382,29 @@ def near_duplicate_lines(
     d = lines.filter(keep).select(doc, F.col(order).alias("__i"), F.lower(s).alias("__t"), F.col(y).alias("__y"))
     d = d.withColumn("prefix", F.left("__t", F.lit(prefix)))
 
-    def flagged(rows: DataFrame) -> DataFrame:
-        at, blk = ["__y", "__i"], [F.floor(F.col("__y") * 64)]
-        d1 = ordered_scan(rows, [doc, "prefix"], at, blk, [lag1("__p", F.struct("__t", "__y"))])
+    # Counted on whole documents, so that both scans of all openings and of the long lines know their hot keys beforehand.
+    hot = hot_keys(lines, [doc])
+    kept = cut if hot is not None else lambda df: df
+    at, blk = ["__y", "__i"], [F.floor(F.col("__y") * 64)]
+
+    def flagged(rows: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+        d1 = ordered_scan(rows, keys, at, blk, [lag1("__p", F.struct("__t", "__y"))], hot)
         if allow_equal:
             prev = F.col("__p.__y")
         else:
-            d1 = cut(d1).withColumn("__other", F.when(F.col("__p.__t") != F.col("__t"), F.col("__p.__y")))
-            d1 = ordered_scan(d1, [doc, "prefix"], at, blk, [last_seen("__prev", "__other")])
+            d1 = kept(d1).withColumn("__other", F.when(F.col("__p.__t") != F.col("__t"), F.col("__p.__y")))
+            d1 = ordered_scan(d1, keys, at, blk, [last_seen("__prev", "__other")], hot)
             prev = F.col("__prev")
         near = F.coalesce(F.round(F.col("__y") - prev, 9) <= dy, F.lit(False))
-        return d1.groupBy(doc, "prefix").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(near).alias("n_flagged"))
-
-    d = cut(d)
-    every = flagged(d).filter("n_flagged > 0")
-    hard = flagged(d.filter(F.length("__t") >= hard_len)).filter("n_flagged > 0").select(doc, "prefix", F.lit(True).alias("hard"))
-    return every.join(hard, [doc, "prefix"], "left").withColumn("hard", F.coalesce("hard", F.lit(False)))
+        return kept(d1.select(*rows.columns, near.alias(out)))
+
+    d = flagged(kept(d), [doc, "prefix"], "__near")
+    d = d.withColumn("__long", F.length("__t") >= hard_len)
+    d = flagged(d, [doc, "prefix", "__long"], "__near_long")
+    return d.groupBy(doc, "prefix").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.count_if("__near").alias("n_flagged"),
+        F.coalesce(F.max(F.col("__long") & F.col("__near_long")), F.lit(False)).alias("hard"),
+    ).filter("n_flagged > 0")
 
 
 def summary_presence(expected: DataFrame, paras: DataFrame, doc: str = "doc_id") -> DataFrame:

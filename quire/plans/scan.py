@@ -167,28 +167,36 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> Dat
     return None if found.isEmpty() else found
 
 
+COUNT = object()  # hot keys are not known yet
+
+
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str | Column],
     block: Sequence[str | Column],
     scans: Sequence[Scan],
+    hot: DataFrame | None | object = COUNT,
 ) -> DataFrame:
     """Add one column per scan, computed over ``keys`` in ``order``.
 
-    ``order`` must be total inside a key; null is a key like any other.
+    ``order`` must be total inside a key; null is a key like any other.  ``hot``
+    is what :func:`hot_keys` found for ``keys`` or for some of them, on these rows
+    or more; a chain of scans that gives it counts once, and without hot keys
+    its scans share one shuffle.
     """
     if not keys:
         return _blocked(df, keys, order, block, scans)
-    hot = hot_keys(df, keys)
+    if hot is COUNT:
+        hot = hot_keys(df, keys)
     if hot is None:
         return _whole(df, keys, order, scans)
     if hot.limit(HOT_KEYS + 1).count() > HOT_KEYS:
         return _blocked(df, keys, order, block, scans)
     # A struct of the keys is never null itself, so rows with null keys find their hot key too.
     name = f"{_own(df.columns)}hot"
-    few = F.broadcast(hot.select(F.struct(*keys).alias(name)))
-    is_hot = F.struct(*keys) == F.col(name)
+    few = F.broadcast(hot.select(F.struct(*hot.columns).alias(name)))
+    is_hot = F.struct(*hot.columns) == F.col(name)
     return _whole(df.join(few, is_hot, "left_anti"), keys, order, scans).unionByName(
         _blocked(df.join(few, is_hot, "left_semi"), keys, order, block, scans)
     )
