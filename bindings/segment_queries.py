@@ -9,7 +9,7 @@ from bindings.views import sql_with, view
 from quire.functions import lexicons as L
 from quire.operators import profiles as pr
 from quire.operators import segments as g
-from quire.plans import cut
+from quire.plans import cut, hot_keys
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -47,8 +47,14 @@ f4 AS (SELECT *, h0 OR coalesce(pair AND lh IS NOT NULL AND lt <> 'experience' A
 seg AS (SELECT doc_id, line_no, line, s, ih AS is_heading, CAST(sum(ih::INT) OVER a AS BIGINT) AS section_no, coalesce(last_value(CASE WHEN ih THEN s END IGNORE NULLS) OVER a, '') AS heading, coalesce(last_value(CASE WHEN ih THEN coalesce(ty, 'other') END IGNORE NULLS) OVER a, '') AS section_type FROM f4 WINDOW a AS (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING))"""
 
 
+def seg_hot(s, sf):
+    """The segmented lines and the documents too long for one task."""
+    hot = hot_keys(view(s, sf, "v_resume_lines"), ["doc_id"])
+    return g.segment_sections(bind(s, sf, LN, "v_resume_lines"), hot=hot), hot
+
+
 def seg(s, sf):
-    return g.segment_sections(bind(s, sf, LN, "v_resume_lines"))
+    return seg_hot(s, sf)[0]
 
 
 @q("w8_segment_sections", sql_with("SELECT doc_id, line_no, line, is_heading, section_no, heading, section_type FROM seg", "v_resume_lines", extra=_SEG))
@@ -70,7 +76,8 @@ r5 AS (SELECT *, CASE WHEN role = 0 THEN 'body' WHEN op THEN 'header' WHEN coale
 
 @q("w9_segment_roles", sql_with("SELECT doc_id, section_no, line_no, role, label, CASE WHEN (label = 'bullet' AND bul) OR (label = 'body' AND starts_with(s, '- ')) THEN s[3:] ELSE s END AS text FROM r5", "v_resume_lines", extra=_SEG + _ROLE))
 def _(s, sf):
-    return g.segment_roles(seg(s, sf))
+    d, hot = seg_hot(s, sf)
+    return g.segment_roles(d, hot=hot)
 
 
 _WORDS = r"regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+')"
@@ -82,7 +89,7 @@ _FX = "SELECT doc_id, section_type, CASE WHEN section_type = 'summary' AND doc_i
 
 
 def _lines(s, sf):
-    cut(seg(s, sf)).createOrReplaceTempView("quire_seg")
+    seg(s, sf).createOrReplaceTempView("quire_seg")
     return s.sql(_FX.replace("FROM seg", "FROM quire_seg"))
 
 
@@ -120,7 +127,7 @@ LEFT JOIN (SELECT doc_id, section_type, sum(least(a, b)) AS m, sum(a) AS t FROM
     "v_resume_lines", extra=_SEG + f", fx AS ({_FX}), ft AS ({_FEAT.replace('{keys}', 'doc_id, section_type').replace('{src}', 'fx')}), sx AS ({_SRCX})," + rf"""
 tok AS (SELECT doc_id, section_type, side, lower(tk) AS tk FROM (SELECT doc_id, section_type, 's' AS side, unnest(regexp_extract_all(line, '[\p{{L}}\p{{N}}_]+')) AS tk FROM sx UNION ALL SELECT doc_id, section_type, 'o', unnest(regexp_extract_all(line, '[\p{{L}}\p{{N}}_]+')) FROM fx) WHERE regexp_matches(tk, '^[a-zA-Z]{{6,}}$'))""".replace("{{", "{").replace("}}", "}")))
 def _(s, sf):
-    out = _lines(s, sf)
+    out = cut(_lines(s, sf))
     out.createOrReplaceTempView("quire_fx")
     return g.coherence_scores(s.sql(_SRCX.replace("FROM fx", "FROM quire_fx")), out)
 
@@ -176,8 +183,8 @@ LEFT JOIN (SELECT doc_id, count(*) AS bad FROM (SELECT t.doc_id, t.section, CASE
  WHERE CASE WHEN has THEN rr < fl ELSE ff < CASE WHEN section = 'summary' THEN 0.95 ELSE fl END END OR (has AND na > 0 AND nb > 0 AND jac >= 0.95 AND rr < 0.80) GROUP BY 1) y ON y.doc_id = d.doc_id""", "v_resume_lines",
     extra=_SEG + f", it AS ({_INJ_T}), ir AS ({_INJ_R.replace(', ' + chr(39) + 'x' + chr(39) + ')', ', ' + chr(39) + 'x' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}), io AS ({_INJ_O.replace(', ' + chr(39) + 'x' + chr(39) + ')', ', ' + chr(39) + 'x' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}), tv AS (SELECT DISTINCT doc_id, section, unnest({_ct('line')}) AS w FROM it WHERE section IS NOT NULL), rv AS (SELECT DISTINCT doc_id, section, unnest({_ct('line')}) AS w FROM ir WHERE section IS NOT NULL), ov AS (SELECT DISTINCT doc_id, section, unnest({_ct('line')}) AS w FROM io WHERE section IS NOT NULL), fv AS (SELECT DISTINCT doc_id, unnest({_ct('line')}) AS w FROM ir)"))
 def _(s, sf):
-    cut(seg(s, sf)).createOrReplaceTempView("quire_seg")
-    it = s.sql(_INJ_T.replace("FROM seg", "FROM quire_seg"))
+    seg(s, sf).createOrReplaceTempView("quire_seg")
+    it = cut(s.sql(_INJ_T.replace("FROM seg", "FROM quire_seg")))
     it.createOrReplaceTempView("quire_it")
     return g.injection_score(it, s.sql(_INJ_R.replace("FROM it", "FROM quire_it")), s.sql(_INJ_O.replace("FROM it", "FROM quire_it")))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import lexicons as L
@@ -13,7 +13,7 @@ from quire.operators.evals import clamp
 from quire.operators.pairs import content_tokens, token_counts
 from quire.operators.texts import classify_heading, paragraph_hints
 from quire.plans import (
-    cut, last_seen, last_seen_before, lead1, ordered_scan, rank_in, running_sum,
+    COUNT, cut, hot_keys, last_seen, last_seen_before, lead1, ordered_scan, rank_in, running_sum,
 )
 
 # Fixed values.
@@ -56,32 +56,42 @@ def title_pair(c: Column) -> Column:
     )
 
 
-def segment_sections(lines: DataFrame, doc: str = "doc_id", order: str = "line_no", line: str = "line") -> DataFrame:
+def segment_sections(lines: DataFrame, doc: str = "doc_id", order: str = "line_no", line: str = "line",
+                     hot: DataFrame | None | object = COUNT) -> DataFrame:
     """Lines with section number, heading, type and whether they are the heading; section 0 precedes the first.
 
     Known names always open a section.  Before the first one an all-capitals line
     of three words does too.  After a heading that is not experience, two-word
-    title lines open sections as long as nothing else intervened.
+    title lines open sections as long as nothing else intervened.  ``hot`` is what
+    ``hot_keys(lines, [doc])`` found, if that is known; without hot documents
+    nothing is written and all steps share one shuffle.
     """
+    if hot is COUNT:
+        hot = hot_keys(lines, [doc])
     s = t.strip(F.col(line))
     words = F.size(F.split(s, r"\s+"))
     caps = (s == F.upper(s)) & F.regexp_replace(s, "[ -]", "").rlike(r"^\p{L}+$") & (words >= 3) & ~t.has_year(s) & (F.length(s) <= 60)
     d = classify_heading(lines, line, "__type").withColumns({
         "__s": s, "__caps": caps, "__pair": title_pair(F.col(line)), "__known": F.col("__type").isNotNull() & (s != ""),
     })
-    first = d.filter(F.col("__known") | F.col("__caps")).groupBy(doc).agg(F.min(order).alias("__first"))
-    d = d.join(first, doc, "left").withColumn("__h0", F.col("__known") | (F.col("__caps") & (F.col(order) == F.col("__first"))))
+    opening = F.col("__known") | F.col("__caps")
+    if hot is None:
+        d = d.withColumn("__first", F.min(F.when(opening, F.col(order))).over(Window.partitionBy(doc)))
+    else:
+        d = d.join(d.filter(opening).groupBy(doc).agg(F.min(order).alias("__first")), doc, "left")
+    d = d.withColumn("__h0", F.col("__known") | (F.col("__caps") & (F.col(order) == F.col("__first"))))
     d = d.withColumns({
         "__hat": F.when(F.col("__h0"), F.struct(F.col(order).alias("at"), F.coalesce("__type", F.lit("other")).alias("type"))),
         "__brk": F.when((F.col("__s") != "") & ~F.col("__h0") & ~F.col("__pair"), F.col(order)),
     })
-    d = cut(ordered_scan(d, [doc], [order], _blocks(order), [last_seen_before("__lh", "__hat"), last_seen_before("__lb", "__brk")]))
+    d = ordered_scan(d, [doc], [order], _blocks(order), [last_seen_before("__lh", "__hat"), last_seen_before("__lb", "__brk")], hot)
+    d = d if hot is None else cut(d)
     chain = F.col("__pair") & F.col("__lh").isNotNull() & (F.col("__lh.type") != "experience") & (
         F.col("__lb").isNull() | (F.col("__lb") < F.col("__lh.at")))
     d = d.withColumn("is_heading", F.col("__h0") | F.coalesce(chain, F.lit(False)))
     d = d.withColumn("__head", F.when(F.col("is_heading"), F.struct(F.col("__s").alias("heading"), F.coalesce("__type", F.lit("other")).alias("type"))))
     d = ordered_scan(d, [doc], [order], _blocks(order), [
-        running_sum("section_no", F.col("is_heading").cast("long")), last_seen("__cur", "__head")])
+        running_sum("section_no", F.col("is_heading").cast("long")), last_seen("__cur", "__head")], hot)
     return d.select(
         *lines.columns, "is_heading", "section_no", F.coalesce("__cur.heading", F.lit("")).alias("heading"),
         F.coalesce("__cur.type", F.lit("")).alias("section_type"),
@@ -96,9 +106,12 @@ def pre_section_prose(segmented: DataFrame, doc: str = "doc_id", order: str = "l
     return segmented.filter((F.col("section_no") == 0) & prose).groupBy(doc).agg(F.min_by(s, order).alias("prose")).join(has, doc, "left_anti")
 
 
-def segment_roles(segmented: DataFrame, doc: str = "doc_id", order: str = "line_no", line: str = "line") -> DataFrame:
+def segment_roles(segmented: DataFrame, doc: str = "doc_id", order: str = "line_no", line: str = "line",
+                  hot: DataFrame | None | object = COUNT) -> DataFrame:
     """Lines of experience sections with role number and label.
 
+    ``hot`` is as in :func:`segment_sections`.
+
     A pipe line opens a role; a second one right after it is meta.  In a role
     lines are meta up to the first bullet; a date line after bullets closes the
     role and belongs to the next (``next_date``); what follows it is body.
@@ -110,15 +123,20 @@ def segment_roles(segmented: DataFrame, doc: str = "doc_id", order: str = "line_
         "pipe": F.col("s").contains("|") & ~F.col("s").rlike("^[-•]"), "bullet": F.col("s").rlike("^(?:- |• |● |– )"),
         "date": F.col("s").rlike(L.DATE_LINE),
     })
-    d = cut(ordered_scan(d, key, [order], _blocks(order), [rank_in("n")]))
-    d = ordered_scan(d, key, [order], _blocks(order), [last_seen_before("lp", F.when(~F.col("pipe"), F.col("n")))])
+    if hot is COUNT:
+        d = cut(d)
+        hot = hot_keys(d, [doc])
+    scan = lambda df, keys, one: ordered_scan(df, keys, [order], _blocks(order), [one], hot)
+    kept = cut if hot is not None else lambda df: df
+    d = kept(scan(d, key, rank_in("n")))
+    d = scan(d, key, last_seen_before("lp", F.when(~F.col("pipe"), F.col("n"))))
     run = F.col("n") - F.coalesce("lp", F.lit(0))
     d = d.withColumn("opens", F.col("pipe") & (run % 2 == 1))
-    d = cut(ordered_scan(d, key, [order], _blocks(order), [running_sum("role", F.col("opens").cast("long"))]))
+    d = kept(scan(d, key, running_sum("role", F.col("opens").cast("long"))))
     inner = [*key, "role"]
-    d = ordered_scan(d, inner, [order], _blocks(order), [last_seen_before("seen", F.when(F.col("bullet"), F.lit(1)))])
-    d = cut(d.withColumn("closes", (F.col("role") > 0) & (F.col("seen") == 1) & F.col("date") & ~F.col("pipe") & ~F.col("bullet")))
-    d = ordered_scan(d, inner, [order], _blocks(order), [last_seen_before("closed", F.when(F.col("closes"), F.lit(1)))])
+    d = scan(d, inner, last_seen_before("seen", F.when(F.col("bullet"), F.lit(1))))
+    d = kept(d.withColumn("closes", (F.col("role") > 0) & (F.col("seen") == 1) & F.col("date") & ~F.col("pipe") & ~F.col("bullet")))
+    d = scan(d, inner, last_seen_before("closed", F.when(F.col("closes"), F.lit(1))))
     label = (
         F.when(F.col("role") == 0, "body").when(F.col("opens"), "header").when(F.col("closed") == 1, "body").when(F.col("closes"), "next_date")
         .when(F.col("bullet"), "bullet").when(F.col("seen") == 1, "bullet").otherwise("meta")

@@ -59,3 +59,18 @@ def test_resume_lines_meet_their_part_once_without_a_broadcast(spark, tmp_path):
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
     plan = views._resume_lines(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.count("part.parquet") <= 1
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="supplied tables are not here")
+def test_sections_and_roles_of_small_documents_write_nothing(spark, hot, checkpoints):
+    from bindings import segment_queries as q
+    from bindings.views import view
+
+    view(spark, SF, "v_resume_lines")
+    checkpoints.clear()
+    small = q.QUERIES["w9_segment_roles"](spark, SF)
+    rows = small.count()
+    assert len(checkpoints) == 1 and rows > 0
+    hot(20)
+    some = q.QUERIES["w9_segment_roles"](spark, SF)
+    assert some.exceptAll(small).isEmpty() and some.count() == rows
