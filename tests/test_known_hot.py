@@ -74,3 +74,23 @@ def test_sections_and_roles_of_small_documents_write_nothing(spark, hot, checkpo
     hot(20)
     some = q.QUERIES["w9_segment_roles"](spark, SF)
     assert some.exceptAll(small).isEmpty() and some.count() == rows
+
+
+def test_section_diff_of_small_documents_equals_the_large_path(spark, hot, checkpoints):
+    import random
+
+    from quire.operators.pairs import section_diff
+
+    rnd = random.Random(6)
+    lines = ["Summary", "professional summary", "Skills", "Technical Skills", "Education", "", " a ", "b", "c", "d", None]
+
+    def table():
+        rows = [(d, i, rnd.choice(lines)) for d in range(20) for i in range(rnd.randint(0, 15))]
+        return spark.createDataFrame([*rows, (None, 1, "Skills"), (None, 2, "b")], "doc_id long, line_no long, line string")
+
+    a, b = table(), table()
+    run = lambda: sorted(map(str, section_diff(a, b).collect()))
+    small = run()
+    assert len(checkpoints) == 1 and small
+    hot(4)
+    assert run() == small
