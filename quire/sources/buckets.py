@@ -133,6 +133,7 @@ def upsert_table(spark: SparkSession, base: str, source: DataFrame, keys: Sequen
     found = {c: (F.col(c) if c in keys else F.col(f"r.{c}")) for c in columns}
     same = {c for c in columns if source.schema[c].dataType.simpleString() == types[c].dataType.simpleString()}
     last = last.select(*[(v if c in same else v.cast(types[c].dataType)).alias(c) for c, v in found.items()])
+    last = cut(last)  # read for its buckets and for the merge
     mark = lambda d, new: d.select(*keys, F.struct(F.lit(new).alias("new"), *rest).alias("r"))
     both = mark(last, 1)
     touched = _touched(last.select(bucket_of(keys, n).alias(BUCKET)))

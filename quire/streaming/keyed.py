@@ -20,7 +20,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -75,10 +75,11 @@ class _Sorted(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
-        if len(batch):
+        parts = [part for part in rows if len(part)]
+        if parts:
+            batch = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
             batch = batch.sort_values(list(self.order), kind="stable", ignore_index=True)
-            out, new = self.apply(key, batch, self.value.get() if self.value.exists() else None)
+            out, new = self.apply(key, batch, self.value.get())
             self.value.update(new)
             yield out
 
@@ -124,43 +125,53 @@ class LedgerState(_Sorted):
         return out, (int(balance[-1]), int(max(last, at[-1])))
 
 
-class SubscriptionState(_Sorted):
-    """What the latest events after the first checkout say about one customer; every field is kept with the event that set it."""
+class SubscriptionState(StatefulProcessor):
+    """What the latest events after the first checkout say about one customer; every field is kept with the event that set it.
+
+    Customers are many and have few rows in a batch, so their rows come as rows and not as a frame each.
+    """
 
     FIELDS = ("status", "plan", "price")
     state = "gate_at long, gate_id long, " + ", ".join(f"{f}_at long, {f}_id long, {f} string" for f in FIELDS) + ", syncs long, failures long, applied long, last long"
-    order = ("ts", "event_id")
 
-    def apply(self, key, rows, held):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.value = handle.getValueState("value", self.state)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        events = sorted(((r.at, r.event_id, r.type or "", r.status, r.mapped_plan, r.price_id or "") for r in rows if r.at is not None), key=lambda e: e[:2])
+        if events:
+            out, new = self.apply(events, self.value.get())
+            self.value.update(new)
+            yield Row(customer=key[0], **out)
+
+    def close(self) -> None:
+        pass
+
+    def apply(self, events: list[tuple], held: tuple | None) -> tuple[dict, tuple]:
         held = held or (None,) * 11 + (0, 0, 0, -(1 << 62))
         gate, counts, last = held[:2], held[11:14], held[14]
         known = dict(zip(self.FIELDS, (held[2:5], held[5:8], held[8:11]), strict=True))
-        at, ids = _micros(rows["ts"]), rows["event_id"].to_numpy(np.int64)
-        gates = np.flatnonzero(rows["type"] == "checkout.session.completed")
-        if len(gates):
-            first = (int(at[gates[0]]), int(ids[gates[0]]))
+        first = next((e[:2] for e in events if e[2] == "checkout.session.completed"), None)
+        if first is not None:
             gate = first if gate[0] is None else min(first, gate)
-        live = rows.assign(at=at)
-        live = live[(at > gate[0]) | ((at == gate[0]) & (ids > gate[1]))] if gate[0] is not None else live[:0]
-        kind = live["type"].fillna("")
-        sub, paid, failed = kind.str.startswith("customer.subscription."), kind == "invoice.paid", kind == "invoice.payment_failed"
-        sync = sub | paid
-        said = {
-            "status": live["status"].where(sub, pd.Series(np.where(paid, "active", np.where(failed, "past_due", None)), live.index)),
-            "plan": live["mapped_plan"].where(sync).mask(sub & live["status"].isin(["canceled", "unpaid"]), "free"),
-            "price": live["price_id"].fillna("").where(sync),
-        }
-        for f, values in said.items():
-            values = values.dropna()
-            if len(values):
-                k = values.index[-1]
-                new = (int(live["at"][k]), int(live["event_id"][k]), values[k])
-                known[f] = new if known[f][0] is None else max(known[f], new)
-        counts = tuple(a + int(b) for a, b in zip(counts, (sync.sum(), failed.sum(), len(live)), strict=True))
+        new, synced, failures, applied = {}, 0, 0, 0
+        for at, i, kind, status, plan, price in events:
+            if gate[0] is None or (at, i) <= gate:
+                continue
+            sub, paid, failed = kind.startswith("customer.subscription."), kind == "invoice.paid", kind == "invoice.payment_failed"
+            values = (
+                status if sub else "active" if paid else "past_due" if failed else None,
+                "free" if sub and status in ("canceled", "unpaid") else plan if sub or paid else None,
+                price if sub or paid else None,
+            )
+            new.update((f, (at, i, v)) for f, v in zip(self.FIELDS, values, strict=True) if v is not None)
+            synced, failures, applied = synced + (sub or paid), failures + failed, applied + 1
+        for f, v in new.items():
+            known[f] = v if known[f][0] is None else max(known[f], v)
+        counts = tuple(a + b for a, b in zip(counts, (synced, failures, applied), strict=True))
         status, plan, price = (known[f][2] for f in self.FIELDS)
-        out = pd.DataFrame([(key[0], status or "", plan or "free", price or "", *counts, bool(at[0] < last))],
-                           columns=["customer", "status", "plan", "price_id", "syncs", "failures", "applied", "late"])
-        return out, (*gate, *(v for f in self.FIELDS for v in known[f]), *counts, int(max(last, at[-1])))
+        out = dict(status=status or "", plan=plan or "free", price_id=price or "", syncs=counts[0], failures=counts[1], applied=counts[2], late=events[0][0] < last)
+        return out, (*gate, *(v for f in self.FIELDS for v in known[f]), *counts, max(last, events[-1][0]))
 
 
 def keyed_quota(attempts: DataFrame, base: str, billing: DataFrame, user: str = "user_id", at: str = "started_at", key: str = "run_id", lateness: str = LATENESS) -> None:
@@ -186,12 +197,13 @@ def keyed_subscription(events: DataFrame, base: str, customer: str = "customer_i
     """The state of every customer of a batch, merged into the bucketed table ``state``."""
     spark = events.sparkSession
     kind = dict(events.dtypes)[customer]
-    rows = u.plan_lookup(events).select(F.col(customer).alias("customer"), "ts", "event_id", "type", "status", "price_id", "mapped_plan")
-    out = rows.withWatermark("ts", lateness).groupBy("customer").transformWithStateInPandas(
+    rows = u.plan_lookup(events).select(F.col(customer).alias("customer"), "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "type", "status", "price_id", "mapped_plan")
+    out = rows.withWatermark("ts", lateness).groupBy("customer").transformWithState(
         SubscriptionState(), f"customer {kind}, status string, plan string, price_id string, syncs long, failures long, applied long, late boolean", "update", "EventTime")
 
     def each(batch: DataFrame, epoch: int) -> None:
-        upsert_table(spark, f"{base}/state", batch.withColumnRenamed("customer", customer), [customer], ["applied"], epoch)
+        done = cut(batch)  # the upsert reads it more than once, and every read would run the state again
+        upsert_table(spark, f"{base}/state", done.withColumnRenamed("customer", customer), [customer], ["applied"], epoch)
         vacuum(spark, f"{base}/state", VERSIONS)
 
     _run(out, base, "update", each)

@@ -124,6 +124,20 @@ def test_dedup_streams_keep_one_null_key(spark, tmp_path):
     assert sorted(((r.sid, r.event_id) for r in jobs.appended(spark, f"{base}/first").collect()), key=str) == [("s1", 1), ("s2", 2), (None, 0)]
 
 
+def test_upsert_runs_its_source_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    for version in (1, 2):
+        source = rows(spark, [("a", 1, version, "x"), ("b", 2, version, "y")]).mapInPandas(counted, SCHEMA)
+        b.upsert_table(spark, str(tmp_path / "t"), source, ["k"], ["v"], version, buckets=4)
+        assert read.value == 2 * version
+
+
 # ---- keyed state ------------------------------------------------------------------------------------------------
 
 
