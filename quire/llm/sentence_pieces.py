@@ -17,23 +17,26 @@ frequent and long pieces win.  A text's ids therefore differ from those of mergi
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
+from itertools import batched, chain
 from math import log
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE = 200_000
+CACHE = 100_000  # words a worker remembers before it starts anew
 LITERAL = "\ud800"  # stands for a U+2581 of the text itself; no decoded text holds it
 LETTER_MARK = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ][.,;:!?]")
 ENDING = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?]+)", re.S)
 MARKS = ".,;:!?"
 SHORT = 64  # characters that are charted whole, being fewer than a window may grow to
 TOGETHER = 4096  # words that are charted together
-AT_ONCE = 1_000_000  # characters of texts whose new words are learned together
+AT_ONCE = 400_000  # characters of texts whose new words are learned together
+ROWS = 256  # values of an Arrow batch that are Python objects at a time
 SEGMENT = re.compile(r" +[^ \n]*|\n[^ \n]*")
 
 
@@ -43,7 +46,6 @@ class Vocabulary:
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], byte_score: float):
         self.pieces, self.byte_ids, self.byte_score = pieces, byte_ids, byte_score
         self.longest = max(map(len, pieces), default=1)
-        self.beginnings = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
         #: Paths converge before every word unless a piece has a space after another sign.
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in pieces) and not any("\n" in p for p in pieces)
         #: Paths converge between a letter and a mark unless a piece holds such a pair.
@@ -53,6 +55,10 @@ class Vocabulary:
         table = {i: p.replace(SPACE, " ").encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
         self.table = [table.get(i, b"") for i in range(max(table) + 1)]
 
+    @cached_property
+    def beginnings(self) -> set[str]:
+        return {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
+
     @classmethod
     def load(cls, path: str) -> Vocabulary:
         import sentencepiece
@@ -287,15 +293,20 @@ def _vocabulary(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
+def _in_parts(values: pa.Array, f: Callable[[Iterator], Iterator], kind: pa.DataType) -> pa.Array:
+    """``f`` over a whole batch, of which only a few values at a time are Python objects."""
+    each = chain.from_iterable(values.slice(k, ROWS).to_pylist() for k in range(0, len(values), ROWS))
+    return pa.concat_arrays([pa.array([], kind), *(pa.array(part, kind) for part in batched(f(each), ROWS))])
+
+
 def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with the ids of every whole text in ``out``, as little-endian unsigned 32-bit bytes.
 
     Null stays null and empty has no ids; other columns pass unread, and one named like ``out`` is replaced.
     """
-    @F.pandas_udf("binary")
-    def run(texts: pd.Series) -> pd.Series:
-        pieces = _vocabulary(model)
-        return pd.Series(list(pieces.encode_all(texts)), dtype=object)
+    @F.arrow_udf("binary")
+    def run(texts: pa.Array) -> pa.Array:
+        return _in_parts(texts, _vocabulary(model).encode_all, pa.binary())
 
     # Marked so that Spark computes the ids once, however many columns are made of them.
     return docs.withColumn(out, run.asNondeterministic()(F.col(text)))
@@ -303,9 +314,9 @@ def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids") ->
 
 def decode(docs: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``docs`` with the text of ``ids`` in ``out``; null stays null."""
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def run(values: pa.Array) -> pa.Array:
         pieces = _vocabulary(model)
-        return pd.Series([None if v is None else pieces.decode(v) for v in values], dtype=object)
+        return _in_parts(values, lambda each: (None if v is None else pieces.decode(v) for v in each), pa.string())
 
     return docs.withColumn(out, run(F.col(ids)))

@@ -85,3 +85,29 @@ def test_columns_round_trip(spark):
     got = sentence_pieces.decode(sentence_pieces.encode(df, MODEL), MODEL).collect()
     assert len(got) == len(rows) and all(r.text == r.decoded for r in got)
     assert sentence_pieces.encode(df.limit(0), MODEL).count() == 0
+
+
+def test_a_batch_is_taken_apart_a_few_values_at_a_time():
+    import pyarrow as pa
+
+    most = 0
+
+    class Taken:
+        def __init__(self, values, start=0, n=None):
+            self.values, self.start, self.n = values, start, len(values) if n is None else n
+
+        def __len__(self):
+            return self.n
+
+        def slice(self, k, n):
+            return Taken(self.values, k, min(n, self.n - k))
+
+        def to_pylist(self):
+            nonlocal most
+            most = max(most, self.n)
+            return self.values[self.start : self.start + self.n]
+
+    values = [None if i % 7 == 0 else str(i) for i in range(1000)]
+    got = sentence_pieces._in_parts(Taken(values), iter, pa.string())
+    assert got.to_pylist() == values and most <= sentence_pieces.ROWS
+    assert sentence_pieces._in_parts(pa.array([], pa.string()), iter, pa.string()).to_pylist() == []
