@@ -206,22 +206,25 @@ def threshold_check(results: DataFrame, cases: DataFrame, defaults: Mapping[str,
 
 def validate_scores(raw: DataFrame, key: str, col: str = "raw", required: Sequence[str] = tuple(SCORE_WEIGHTS)) -> DataFrame:
     """Errors of raw assessment JSON: each required score must be an integer from 1 to 10."""
-    v = F.try_parse_json(F.col(col))
     kind = lambda c: F.coalesce(F.schema_of_variant(c), F.lit("VOID"))
-    d = raw.withColumn("__v", v).withColumn("__s", F.try_variant_get("__v", "$.scores", "variant"))
+    # A value with a member is an object, so the costly schema of a whole object is asked for only where a member is missing.
+    d = raw.withColumn("__v", F.try_parse_json(F.col(col))).withColumn("__s", F.try_variant_get("__v", "$.scores", "variant"))
+    d = d.withColumns({f"__n{i}": F.try_variant_get("__s", f"$.{k}.score", "variant") for i, k in enumerate(required)})
     checks = []
-    for k in required:
-        entry = F.try_variant_get("__s", f"$.{k}", "variant")
-        score = F.try_variant_get("__s", f"$.{k}.score", "variant")
-        n = F.try_variant_get("__s", f"$.{k}.score", "bigint")
-        ok = (kind(score) == "BIGINT") & n.between(1, 10)
+    for i, k in enumerate(required):
+        score, entry = F.col(f"__n{i}"), F.try_variant_get("__s", f"$.{k}", "variant")
+        ok = score.isNotNull() & (kind(score) == "BIGINT") & F.try_variant_get(score, "$", "bigint").between(1, 10)
         checks.append(
-            F.when(entry.isNull(), f"missing score key: {k}").when(~kind(entry).startswith("OBJECT"), f"scores.{k} is not a dict")
-            .when(~F.coalesce(ok, F.lit(False)), f"scores.{k}.score must be int 1-10")
+            F.when(F.coalesce(ok, F.lit(False)), F.lit(None).cast("string")).when(score.isNotNull(), f"scores.{k}.score must be int 1-10")
+            .when(entry.isNull(), f"missing score key: {k}").when(~kind(entry).startswith("OBJECT"), f"scores.{k} is not a dict")
+            .otherwise(f"scores.{k}.score must be int 1-10")
         )
+    scored = F.lit(False)
+    for i in range(len(required)):
+        scored = scored | F.col(f"__n{i}").isNotNull()
     errors = (
-        F.when(~kind(F.col("__v")).startswith("OBJECT"), F.array(F.lit("response is not a dict")))
-        .when(F.col("__s").isNotNull() & ~kind(F.col("__s")).startswith("OBJECT"), F.array(F.lit("scores is not a dict")))
+        F.when(F.col("__s").isNull() & ~kind(F.col("__v")).startswith("OBJECT"), F.array(F.lit("response is not a dict")))
+        .when(F.col("__s").isNotNull() & ~scored & ~kind(F.col("__s")).startswith("OBJECT"), F.array(F.lit("scores is not a dict")))
         .otherwise(F.array_compact(F.array(*checks)))
     )
     return d.withColumn("errors", errors).select(

@@ -127,3 +127,17 @@ def test_quota_stream_marks_late_rows(spark, tmp_path):
 def test_monthly_usage_counts(spark):
     df = spark.createDataFrame([(1, dt.datetime(2024, 1, 31, 23, 59)), (1, dt.datetime(2024, 2, 1))], "user_id int, started_at timestamp")
     assert sorted((r.month, r.used) for r in usage.monthly_usage(df).collect()) == [(1, 1), (2, 1)]
+
+
+def test_raw_scores_keep_their_errors_without_schemas_of_whole_objects(spark):
+    entry = {
+        '{"score":3}': "", '{"score":11}': "a.score must be int 1-10", '{"score":"3"}': "a.score must be int 1-10", '{"score":3.5}': "a.score must be int 1-10",
+        '{"score":null}': "a.score must be int 1-10", "{}": "a.score must be int 1-10", "null": "a is not a dict", "7": "a is not a dict", '[{"score":3}]': "a is not a dict",
+    }
+    raw = {f'{{"scores":{{"a":{k},"b":{{"score":1}}}}}}': v and f"scores.{v}" for k, v in entry.items()}
+    raw |= {'{"scores":{"b":{"score":1}}}': "missing score key: a", '{"scores":null}': "scores is not a dict", "[1]": "response is not a dict", "x": "response is not a dict"}
+    rows = spark.createDataFrame(list(enumerate(raw)), "id int, raw string")
+    checked = quality.validate_scores(rows, "id", "raw", ["a", "b"])
+    assert [r.errors for r in checked.orderBy("id").collect()] == list(raw.values())
+    # Values are taken once as they are and read as numbers only in that form, not from the text's object again.
+    assert "variant_get(__s" in (plan := checked._jdf.queryExecution().analyzed().toString()) and "$.a.score, BigintType" not in plan and "$.a.score, LongType" not in plan
