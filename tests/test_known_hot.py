@@ -94,3 +94,11 @@ def test_section_diff_of_small_documents_equals_the_large_path(spark, hot, check
     assert len(checkpoints) == 1 and small
     hot(4)
     assert run() == small
+
+
+def test_line_items_are_kept_without_columns_that_nothing_reads(spark):
+    from bindings import views
+
+    views._MEMO.clear()
+    li = views.view(spark, "/root/testdata/sf0.001", "v_li")
+    assert sorted(li.columns) == sorted(views.LI) and "l_comment" not in li.columns
