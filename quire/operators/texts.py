@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import lexicons as L
 from quire.functions import text as t
-from quire.plans import last_seen_before, ordered_scan, rule_table
+from quire.plans import hot_keys, lag1, lead1, ordered_scan, rule_table
 
 
 def with_change(df: DataFrame, text: str, new: Column, out: str = "clean") -> DataFrame:
@@ -342,22 +342,26 @@ def merge_title_lines(lines: DataFrame, doc: str = "doc_id", order: str = "line_
                       block: int = 4096) -> DataFrame:
     """A short title followed by a ``company | year`` line becomes one line, at the title's place."""
     s = t.strip(F.col(line))
-    first_word = F.lower(F.split(s, r"\s+")[0])
+    first_word = F.lower(F.split(s, r"\s+", 2)[0])
     title = (
-        (s != "") & ~s.contains("|") & ~s.rlike("^(?:- |• |● |– )") & (s != F.upper(s))
+        ~s.contains("|") & ~s.rlike("^(?:- |• |● |– )") & (s != F.upper(s))
         & ~first_word.isin(*L.TITLE_MERGE_STOP_WORDS) & (F.length(s) <= 60) & ~s.rlike("[.!?,:;]$")
     )
-    target = (s != "") & s.contains("|") & t.has_year(F.col(line))
-    d = lines.withColumns({
-        "__s": s, "__title": title, "__target": target,
-        "__live": F.when(s != "", F.struct(title.alias("title"), s.alias("s"), F.col(order).alias("at"))),
+    # Blank lines stay as they are; of the others only the lines themselves are shuffled, once, and what is read of them is taken afterwards.
+    live = lines.filter(s != "")
+    hot = hot_keys(live, [doc])
+    d = (live.repartition(doc) if hot is None else live).withColumns({
+        "__title": F.when(title, s), "__target": s.contains("|") & t.has_year(F.col(line)),
     })
-    d = ordered_scan(d, [doc], [order], [F.floor(F.col(order) / block)], [last_seen_before("__prev", "__live")])
-    merged = F.col("__target") & F.coalesce(F.col("__prev.title"), F.lit(False))
-    d = d.withColumn("__m", merged)
-    eaten = d.filter("__m").select(doc, F.col("__prev.at").alias(order), F.lit(True).alias("__eaten"))
-    text = F.when(F.col("__m"), F.concat(F.col("__prev.s"), F.lit(" | "), F.col("__s"))).otherwise(F.col(line))
-    return d.join(eaten, [doc, order], "left").filter("__eaten IS NULL").select(
+    d = ordered_scan(d, [doc], [order], [F.floor(F.col(order) / block)], [
+        lag1("__prev", F.struct(F.col("__title").alias("s"), F.col(order).alias("at"))), lead1("__next", "__target"),
+    ], hot=hot)
+    d = d.withColumn("__m", F.col("__target") & F.col("__prev.s").isNotNull())
+    eaten = F.col("__title").isNotNull() & F.coalesce("__next", F.lit(False))
+    text = F.when(F.col("__m"), F.concat(F.col("__prev.s"), F.lit(" | "), s)).otherwise(F.col(line))
+    out = d.filter(~eaten).select(
         *[F.when(F.col("__m"), F.col("__prev.at")).otherwise(F.col(order)).alias(c) if c == order else F.col(c) for c in lines.columns if c != line],
         text.alias(line), F.col("__m").alias("merged"),
     )
+    blank = lines.filter(F.coalesce(s, F.lit("")) == "").withColumn("merged", F.lit(False))
+    return out.unionByName(blank)
