@@ -232,8 +232,22 @@ def validate_scores(raw: DataFrame, key: str, col: str = "raw", required: Sequen
     )
 
 
+def with_section_type(sections: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Blocks with the ``section_type`` of their section, joined and written once for all that reads them afterwards."""
+    return cut(_typed(sections, blocks))
+
+
+def _typed(sections: DataFrame, blocks: DataFrame) -> DataFrame:
+    if "section_type" in blocks.columns:
+        return blocks
+    return blocks.join(sections.select("doc_id", "section_id", F.col("semantic_type").alias("section_type")), ["doc_id", "section_id"])
+
+
 def classification_rules(sections: DataFrame, blocks: DataFrame) -> DataFrame:
-    """One row per broken rule (doc_id, section_id, code, block_id), from the rule tables."""
+    """One row per broken rule (doc_id, section_id, code, block_id), from the rule tables.
+
+    ``blocks`` may come from :func:`with_section_type`; the sections are then not joined to them again.
+    """
     spark = sections.sparkSession
     counts = blocks.groupBy("doc_id", "section_id").agg(
         F.count_if(F.col("grp") == "block").alias("nb"), F.count_if(F.col("grp") != "block").alias("nr")
@@ -262,17 +276,16 @@ def classification_rules(sections: DataFrame, blocks: DataFrame) -> DataFrame:
     groups = rule_table(spark, BLOCK_GROUPS, "section_type string, grp string, type_code string, policy_code string, new_code string, need string")
     types = rule_table(spark, BLOCK_TYPES, "section_type string, grp string, semantic_type string, own string")
     b = (
-        blocks.join(base.withColumnRenamed("semantic_type", "section_type"), ["doc_id", "section_id"])
-        .join(groups, ["section_type", "grp"])
+        _typed(sections, blocks).join(groups, ["section_type", "grp"])
         .join(types.withColumn("known", F.lit(True)), ["section_type", "grp", "semantic_type"], "left")
     )
     need = F.coalesce("need", "own")
-    codes = F.array_compact(F.array(
+    codes = F.array(
         F.when(F.col("known").isNull(), F.col("type_code")),
         F.when(need.isNotNull() & ~F.col("rewrite_policy").eqNullSafe(need), F.col("policy_code")),
         F.when(F.col("new_code").isNotNull() & F.coalesce("is_new", F.lit(True)), F.col("new_code")),
-    ))
-    bad_block = b.select("doc_id", "section_id", F.explode(codes).alias("code"), "block_id")
+    )
+    bad_block = b.select("doc_id", "section_id", F.explode(codes).alias("code"), "block_id").filter("code IS NOT NULL")
     return bad_section.unionByName(invalid).unionByName(no_id).unionByName(bad_block)
 
 
@@ -328,7 +341,10 @@ def downgrade_invalid(sections: DataFrame, blocks: DataFrame, errors: DataFrame)
 
 
 def autocorrect_blocks(sections: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sections, blocks) with education, experience and projects forced into shape."""
+    """(sections, blocks) with education, experience and projects forced into shape.
+
+    ``blocks`` may come from :func:`with_section_type` and keep their ``section_type`` then.
+    """
     st = F.col("semantic_type")
     exp, proj = st == "experience", st == "projects"
     s = _set(sections, {
@@ -336,7 +352,7 @@ def autocorrect_blocks(sections: DataFrame, blocks: DataFrame) -> tuple[DataFram
         "preserve_heading": exp | F.col("preserve_heading"), "preserve_body_structure": exp | F.col("preserve_body_structure"),
     })
     cols = blocks.columns
-    b = blocks.join(sections.select("doc_id", "section_id", st.alias("section_type")), ["doc_id", "section_id"])
+    b = _typed(sections, blocks)
     sec, grp, bt = F.col("section_type"), F.col("grp"), F.col("semantic_type")
     b = b.filter(~((sec == "experience") & (grp == "block")))
     edu = (sec == "education") & (grp == "block") & bt.isin(*WRONG_IN_EDUCATION)
@@ -357,7 +373,7 @@ def autocorrect_blocks(sections: DataFrame, blocks: DataFrame) -> tuple[DataFram
     flat = merged.select(
         "doc_id", "section_id", F.lit("").alias("role_id"), F.lit("block").alias("grp"), F.col("n").alias("ord"), "block_id", "para_id",
         F.when(bt.isin("project_entry", "other_paragraph"), bt).otherwise("project_entry").alias("semantic_type"),
-        F.lit("preserve").alias("rewrite_policy"), "is_new",
+        F.lit("preserve").alias("rewrite_policy"), "is_new", F.lit("projects").alias("section_type"),
     )
     return s, fixed.unionByName(flat.select(*cols))
 

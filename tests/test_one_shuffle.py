@@ -34,3 +34,28 @@ def test_merged_titles_take_one_shuffle_of_the_lines(spark, hot):
     assert run(out) == want and any("True" in w for w in want)
     hot(5)
     assert run(merge_title_lines(df)) == want
+
+
+def test_section_types_are_joined_to_blocks_once(spark):
+    from quire.operators import quality as k
+
+    rnd = random.Random(18)
+    kinds = ["summary", "skills", "education", "experience", "projects", "other", "bogus"]
+    sec = spark.createDataFrame(
+        [(d, str(s), rnd.choice(kinds), rnd.choice(["preserve", "rewrite_body", None]), rnd.random() < 0.5, None) for d in range(9) for s in range(4)],
+        "doc_id long, section_id string, semantic_type string, rewrite_policy string, preserve_heading boolean, preserve_body_structure boolean")
+    blk = spark.createDataFrame(
+        [(d, str(s), "", rnd.choice(["block", "header", "meta", "body"]), i, f"b{i}", rnd.choice(["", "p1", f"p{i}"]),
+          rnd.choice(["summary_paragraph", "project_entry", "role_header", "x"]), rnd.choice(["preserve", "rewrite_text"]), rnd.choice([True, False, None]))
+         for d in range(10) for s in range(5) for i in range(4)],
+        "doc_id long, section_id string, role_id string, grp string, ord long, block_id string, para_id string, semantic_type string, rewrite_policy string, is_new boolean")
+    typed = k.with_section_type(sec, blk)
+    run = lambda x: sorted(map(str, x.collect()))
+    before = k.classification_rules(sec, typed)
+    assert run(before) == run(k.classification_rules(sec, blk)) != []
+    fixed, again = k.autocorrect_blocks(sec, typed)[1], k.autocorrect_blocks(sec, blk)[1]
+    assert run(fixed.drop("section_type")) == run(again) and set(fixed.columns) == {*again.columns, "section_type"}
+    after = k.classification_rules(sec, fixed)
+    assert run(after) == run(k.classification_rules(sec, again))
+    joins = lambda x: x._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(before) < joins(k.classification_rules(sec, blk)) and joins(after) < joins(k.classification_rules(sec, again))
