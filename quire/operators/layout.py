@@ -159,8 +159,10 @@ def horizontal_occupancy(blocks: DataFrame, bins: int = 20) -> DataFrame:
     last = F.least(F.lit(bins - 1), F.ceil(F.col("nx1") * bins).cast("int") - 1)
     b = b.withColumn("bin", F.explode(F.sequence(F.floor(F.col("nx0") * bins).cast("int"), F.greatest(last, F.floor(F.col("nx0") * bins).cast("int")))))
     over = F.least(F.col("nx1"), (F.col("bin") + 1) / bins) - F.greatest(F.col("nx0"), F.col("bin") / bins)
-    return b.withColumn("part", _dec(F.greatest(over, F.lit(0.0)) * (F.col("ny1") - F.col("ny0")))).groupBy("doc_id", "page", "bin").agg(
-        F.least(F.lit(1.0), F.sum("part").cast("double") * bins).alias("occupancy")
+    # Twelve exact decimals as whole numbers, which add up in any order and cost far less than decimals; a sum beyond them is a full strip.
+    part = F.floor(F.greatest(over, F.lit(0.0)) * (F.col("ny1") - F.col("ny0")) * 1e12 + 0.5)
+    return b.select("doc_id", "page", "bin", part.alias("part")).groupBy("doc_id", "page", "bin").agg(
+        F.least(F.lit(1.0), F.coalesce(F.try_sum("part") / F.lit(1e12) * bins, F.lit(1.0))).alias("occupancy")
     ).filter("occupancy > 0")
 
 
