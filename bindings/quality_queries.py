@@ -204,10 +204,11 @@ D = "SELECT DISTINCT doc_id, doc_id % 9 = 0 AS label_column_fixed, doc_id % 4 =
 
 
 def parser_docs(s, sf):
-    view(s, sf, "v_paras").createOrReplaceTempView("quire_v_paras")
+    # Line items meet their part once; the documents, sections, paragraphs and members are all read from what that gave.
+    cut(view(s, sf, "v_paras").select("doc_id", "ord", "parser_semantic", "text")).createOrReplaceTempView("quire_v_paras")
     p = s.sql(P.replace("FROM v_paras", "FROM quire_v_paras"))
     p.createOrReplaceTempView("quire_p")
-    return (s.sql(D.replace("FROM p", "FROM quire_p")), s.sql(S.replace("FROM v_paras", "FROM quire_v_paras")), p, s.sql(M.replace("FROM p", "FROM quire_p")))
+    return (cut(s.sql(D.replace("FROM p", "FROM quire_p"))), s.sql(S.replace("FROM v_paras", "FROM quire_v_paras")), p, s.sql(M.replace("FROM p", "FROM quire_p")))
 
 
 _RX = {"d": k.DATE, "parts": k.DATE_PARTS, "b": k.BULLET_START}

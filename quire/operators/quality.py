@@ -458,15 +458,23 @@ def diagnostic_detectors(docs: DataFrame, sections: DataFrame, paras: DataFrame,
     """
     sec = cut(sections.select("doc_id", "section_id", "raw_title", "semantic_type", experience_title(F.col("raw_title")).alias("is_exp")))
     key = ["doc_id", "section_id"]
-    p = cut(paras.select(*key, "para_id", "ord", "text", "parser_semantic").join(sec, key).withColumns({"s": t.strip(F.col("text"))}))
+    p = cut(paras.select(*key, "para_id", "ord", "text", "parser_semantic").join(sec, key)).withColumns({"s": t.strip(F.col("text"))})
     mem = cut(members.select(*key, "role_id", "kind", "para_id"))
     roles = cut(mem.groupBy(*key, "role_id").agg(
         F.count_if(F.col("kind") == "header").alias("headers"), F.count_if(F.col("kind") == "bullet").alias("bullets")).join(sec, key))
 
-    def found(df: DataFrame, code: str) -> DataFrame:
+    def found(df: DataFrame, code: str | Column) -> DataFrame:
         have = df.columns
         opt = lambda c: F.col(c) if c in have else F.lit("")
-        return df.select("doc_id", F.lit(code).alias("code"), opt("section_id").alias("section_id"), opt("para_id").alias("para_id"), opt("role_id").alias("role_id"))
+        code = F.lit(code) if isinstance(code, str) else code
+        return df.select("doc_id", code.alias("code"), opt("section_id").alias("section_id"), opt("para_id").alias("para_id"), opt("role_id").alias("role_id"))
+
+    def each(df: DataFrame, tests: Mapping[str, Column]) -> DataFrame:
+        """The rows once for every test they meet, from one pass over them."""
+        met = F.lit(False)
+        for c in tests.values():
+            met = met | c
+        return found(df.filter(met), F.explode(F.array(*[F.when(c, code) for code, c in tests.items()]))).filter("code IS NOT NULL")
 
     low = F.lower(F.col("s"))
     upper = F.col("s").rlike(r"^\p{Lu}")
@@ -484,11 +492,12 @@ def diagnostic_detectors(docs: DataFrame, sections: DataFrame, paras: DataFrame,
         .join(p.filter("parser_semantic = 'role_meta'").select(*key, "para_id"), [*key, "para_id"])
         .groupBy(*key, "role_id").agg(F.count(F.lit(1)).alias("metas"))
     )
-    orphans = p.filter(F.col("is_exp") & paragraph).join(mem.filter("para_id <> ''").select(*key, "para_id").distinct(), [*key, "para_id"], "left_anti")
+    # Both tests of an orphan come before the join, which then sees few rows.
+    orphans = p.filter(F.col("is_exp") & paragraph & (contact_line(F.col("s")) | education_line(F.col("s")))).join(mem.filter("para_id <> ''").select(*key, "para_id").distinct(), [*key, "para_id"], "left_anti")
     certs = p.filter((F.col("semantic_type") == "certifications") & (F.col("parser_semantic") != "section_heading"))
     plain = ~t.any_of(F.lower("raw_title"), ("skill", "technical", "expertise"))
-    certs = certs.filter(plain & skills_list_line(F.col("s"))).join(multi, "doc_id", "left_semi")
-    skills = cut(found(certs, "TABLE_SKILLS_INSIDE_NON_SKILLS_SECTION"))
+    certs = cut(certs.filter(plain & skills_list_line(F.col("s"))).join(multi, "doc_id", "left_semi").select(*key, "para_id"))
+    skills = found(certs, "TABLE_SKILLS_INSIDE_NON_SKILLS_SECTION")
     umbrella = found(certs.select(*key).distinct(), "TABLE_COLUMN_CONTAMINATION_SUSPECTED")
     body = p.filter("s <> ''").groupBy(*key, "raw_title", "is_exp").agg(F.count(F.lit(1)).alias("n"), F.max_by("text", F.struct("ord", "para_id")).alias("last"))
     org_words = F.split(title, "[^a-z0-9_]+")
@@ -496,21 +505,22 @@ def diagnostic_detectors(docs: DataFrame, sections: DataFrame, paras: DataFrame,
                        & F.arrays_overlap(org_words, F.array(*[F.lit(w) for w in ORGANISATION_WORDS]))).join(with_roles, key, "left_anti")
     return union_all(
         found(sec.filter("is_exp").join(with_roles, key, "left_anti"), "EXPERIENCE_NO_ROLES"),
-        found(p.filter(F.col("is_exp") & F.col("parser_semantic").isin("section_heading", "paragraph", "role_header") & upper
-                       & low.isin(*KNOWN_HEADINGS) & ~low.isin(*EXPERIENCE_TITLES)), "MERGED_SECTION_SUSPECTED"),
-        found(p.filter(paragraph & (F.col("s") != "") & (F.length("s") <= 60) & upper & low.isin(*KNOWN_HEADINGS)
-                       & F.arrays_overlap(words, F.array(*[F.lit(w) for w in HEADING_TRIGGERS])) & ~(in_skills & (F.size(words) == 1))), "HEADING_NOT_RECOGNIZED"),
+        each(p, {
+            "MERGED_SECTION_SUSPECTED": F.col("is_exp") & F.col("parser_semantic").isin("section_heading", "paragraph", "role_header") & upper
+            & low.isin(*KNOWN_HEADINGS) & ~low.isin(*EXPERIENCE_TITLES),
+            "HEADING_NOT_RECOGNIZED": paragraph & (F.col("s") != "") & (F.length("s") <= 60) & upper & low.isin(*KNOWN_HEADINGS)
+            & F.arrays_overlap(words, F.array(*[F.lit(w) for w in HEADING_TRIGGERS])) & ~(in_skills & (F.size(words) == 1)),
+            "BULLET_NOT_RECOGNIZED": ~F.col("parser_semantic").isin("bullet", "section_heading", "role_header") & F.col("text").rlike(BULLET_START),
+        }),
         found(heads.filter(F.col("member_text").rlike(DATE) & (F.size(rest) < 2)), "ROLE_HEADER_CONTAINS_DATE"),
         found(inside, "EXPERIENCE_ROLE_BOUNDARY_INSIDE_BULLETS"),
         found(inside.filter("metas >= 2").join(roles.filter("bullets >= 15").select(*key, "role_id"), [*key, "role_id"]), "EXPERIENCE_OVERMERGED_ROLE"),
-        found(p.filter(~F.col("parser_semantic").isin("bullet", "section_heading", "role_header") & F.col("text").rlike(BULLET_START)), "BULLET_NOT_RECOGNIZED"),
         found(roles.filter("headers >= 2 AND bullets = 0"), "ROLE_GROUPING_WEAK"),
         found(with_roles.join(sec.filter("NOT is_exp"), key), "ROLE_LIKE_GROUPING_NON_EXPERIENCE"),
         found(docs.filter("label_column_fixed"), "LABEL_COLUMN_DETECTED"),
         found(docs.filter("table_layout_fixed"), "TABLE_COLUMN_LAYOUT_DETECTED"),
         found(docs.filter("table_layout_aborted AND NOT table_layout_fixed"), "TABLE_COLUMN_REORDER_ABORTED"),
-        found(orphans.filter(contact_line(F.col("s"))), "TABLE_CONTACT_INSIDE_EXPERIENCE"),
-        found(orphans.filter(education_line(F.col("s"))), "TABLE_EDUCATION_INSIDE_EXPERIENCE"),
+        each(orphans, {"TABLE_CONTACT_INSIDE_EXPERIENCE": contact_line(F.col("s")), "TABLE_EDUCATION_INSIDE_EXPERIENCE": education_line(F.col("s"))}),
         skills, suppress_covered(umbrella, skills, key), found(orgs, "TABLE_ORG_NAME_PROMOTED_TO_FAKE_SECTION"),
     )
 
