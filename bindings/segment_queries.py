@@ -9,7 +9,7 @@ from bindings.views import sql_with, view
 from quire.functions import lexicons as L
 from quire.operators import profiles as pr
 from quire.operators import segments as g
-from quire.plans import cut, hot_keys
+from quire.plans import cut, cut_laid, hot_keys
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -88,9 +88,15 @@ len(list_intersect(list_distinct(flatten(list({_WORDS.format('lower(line)')}))),
 _FX = "SELECT doc_id, section_type, CASE WHEN section_type = 'summary' AND doc_id % 3 = 0 THEN concat(line, ' University degree; college of Kafka at large, Docker') ELSE line END AS line FROM seg WHERE NOT is_heading AND section_no > 0"
 
 
+def _of_seg(s, sf, text):
+    """What ``text`` reads of the segmented lines, and how to write it: small documents stay where they lie."""
+    d, hot = seg_hot(s, sf)
+    d.createOrReplaceTempView("quire_seg")
+    return s.sql(text.replace("FROM seg", "FROM quire_seg")), cut if hot is not None else cut_laid
+
+
 def _lines(s, sf):
-    seg(s, sf).createOrReplaceTempView("quire_seg")
-    return s.sql(_FX.replace("FROM seg", "FROM quire_seg"))
+    return _of_seg(s, sf, _FX)[0]
 
 
 @q("a12_section_features", sql_with("""SELECT doc_id, section_type, num_lines, char_count, bullet_count, date_count, role_marker_count, education_kw_count, tech_kw_count, comma_count, semicolon_count, round(char_count / num_lines, 6) AS avg_line_length, round(bullet_count / num_lines, 6) AS bullet_density, round(date_count / num_lines, 6) AS date_density,
@@ -127,7 +133,8 @@ LEFT JOIN (SELECT doc_id, section_type, sum(least(a, b)) AS m, sum(a) AS t FROM
     "v_resume_lines", extra=_SEG + f", fx AS ({_FX}), ft AS ({_FEAT.replace('{keys}', 'doc_id, section_type').replace('{src}', 'fx')}), sx AS ({_SRCX})," + rf"""
 tok AS (SELECT doc_id, section_type, side, lower(tk) AS tk FROM (SELECT doc_id, section_type, 's' AS side, unnest(regexp_extract_all(line, '[\p{{L}}\p{{N}}_]+')) AS tk FROM sx UNION ALL SELECT doc_id, section_type, 'o', unnest(regexp_extract_all(line, '[\p{{L}}\p{{N}}_]+')) FROM fx) WHERE regexp_matches(tk, '^[a-zA-Z]{{6,}}$'))""".replace("{{", "{").replace("}}", "}")))
 def _(s, sf):
-    out = cut(_lines(s, sf))
+    out, kept = _of_seg(s, sf, _FX)
+    out = kept(out)
     out.createOrReplaceTempView("quire_fx")
     return g.coherence_scores(s.sql(_SRCX.replace("FROM fx", "FROM quire_fx")), out)
 
@@ -183,8 +190,8 @@ LEFT JOIN (SELECT doc_id, count(*) AS bad FROM (SELECT t.doc_id, t.section, CASE
  WHERE CASE WHEN has THEN rr < fl ELSE ff < CASE WHEN section = 'summary' THEN 0.95 ELSE fl END END OR (has AND na > 0 AND nb > 0 AND jac >= 0.95 AND rr < 0.80) GROUP BY 1) y ON y.doc_id = d.doc_id""", "v_resume_lines",
     extra=_SEG + f", it AS ({_INJ_T}), ir AS ({_INJ_R.replace(', ' + chr(39) + 'x' + chr(39) + ')', ', ' + chr(39) + 'x' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}), io AS ({_INJ_O.replace(', ' + chr(39) + 'x' + chr(39) + ')', ', ' + chr(39) + 'x' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}), tv AS (SELECT DISTINCT doc_id, section, unnest({_ct('line')}) AS w FROM it WHERE section IS NOT NULL), rv AS (SELECT DISTINCT doc_id, section, unnest({_ct('line')}) AS w FROM ir WHERE section IS NOT NULL), ov AS (SELECT DISTINCT doc_id, section, unnest({_ct('line')}) AS w FROM io WHERE section IS NOT NULL), fv AS (SELECT DISTINCT doc_id, unnest({_ct('line')}) AS w FROM ir)"))
 def _(s, sf):
-    seg(s, sf).createOrReplaceTempView("quire_seg")
-    it = cut(s.sql(_INJ_T.replace("FROM seg", "FROM quire_seg")))
+    it, kept = _of_seg(s, sf, _INJ_T)
+    it = kept(it)
     it.createOrReplaceTempView("quire_it")
     return g.injection_score(it, s.sql(_INJ_R.replace("FROM it", "FROM quire_it")), s.sql(_INJ_O.replace("FROM it", "FROM quire_it")))
 

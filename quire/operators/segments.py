@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import lexicons as L
 from quire.functions import text as t
 from quire.operators.evals import clamp
-from quire.operators.pairs import content_tokens, token_counts
+from quire.operators.pairs import content_tokens
 from quire.operators.texts import classify_heading, paragraph_hints
 from quire.plans import (
     COUNT, cut, hot_keys, last_seen, last_seen_before, lead1, ordered_scan, rank_in, running_sum,
@@ -46,12 +46,12 @@ def _blocks(order: str, size: int = 4096) -> list[Column]:
     return [F.floor(F.col(order) / size)]
 
 
-def title_pair(c: Column) -> Column:
+def title_pair(column: str) -> Column:
     """Two capitalised words that could be an unlisted heading."""
-    s = t.strip(c)
+    s = t.strip_plain(column)
     w = F.split(s, r"\s+")
     return (
-        (s != "") & ~s.rlike(r"^[-•·–*]") & ~s.rlike(r"[|,;:]") & (F.length(s) <= 60) & ~s.rlike("[.!?]$") & (F.size(w) == 2)
+        (s != "") & (F.length(s) <= 60) & ~s.rlike(r"^[-•·–*]") & ~s.rlike(r"[|,;:]") & ~s.rlike("[.!?]$") & (F.size(w) == 2)
         & ~F.exists(w, lambda x: ~x.rlike(r"^\p{Lu}")) & ~t.has_year(s) & ~s.rlike(r"\p{Ll}\p{Lu}")
     )
 
@@ -68,28 +68,30 @@ def segment_sections(lines: DataFrame, doc: str = "doc_id", order: str = "line_n
     """
     if hot is COUNT:
         hot = hot_keys(lines, [doc])
-    s = t.strip(F.col(line))
+    s = F.col("__text")
     words = F.size(F.split(s, r"\s+"))
-    caps = (s == F.upper(s)) & F.regexp_replace(s, "[ -]", "").rlike(r"^\p{L}+$") & (words >= 3) & ~t.has_year(s) & (F.length(s) <= 60)
-    d = classify_heading(lines, line, "__type").withColumns({
-        "__s": s, "__caps": caps, "__pair": title_pair(F.col(line)), "__known": F.col("__type").isNotNull() & (s != ""),
-    })
+    caps = (F.length(s) <= 60) & (s == F.upper(s)) & F.regexp_replace(s, "[ -]", "").rlike(r"^\p{L}+$") & (words >= 3) & ~t.has_year(s)
+    d = classify_heading(lines.withColumn("__text", t.strip_plain(line)), "__text", "__type").withColumns({
+        "__full": s != "", "__caps": caps, "__pair": title_pair("__text"), "__known": F.col("__type").isNotNull() & (s != ""),
+    }).drop("__text")
     opening = F.col("__known") | F.col("__caps")
     if hot is None:
-        d = d.withColumn("__first", F.min(F.when(opening, F.col(order))).over(Window.partitionBy(doc)))
+        # In the order of the scans after it, so that all of them share one sort.
+        whole = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        d = d.withColumn("__first", F.min(F.when(opening, F.col(order))).over(whole))
     else:
         d = d.join(d.filter(opening).groupBy(doc).agg(F.min(order).alias("__first")), doc, "left")
     d = d.withColumn("__h0", F.col("__known") | (F.col("__caps") & (F.col(order) == F.col("__first"))))
     d = d.withColumns({
         "__hat": F.when(F.col("__h0"), F.struct(F.col(order).alias("at"), F.coalesce("__type", F.lit("other")).alias("type"))),
-        "__brk": F.when((F.col("__s") != "") & ~F.col("__h0") & ~F.col("__pair"), F.col(order)),
+        "__brk": F.when(F.col("__full") & ~F.col("__h0") & ~F.col("__pair"), F.col(order)),
     })
     d = ordered_scan(d, [doc], [order], _blocks(order), [last_seen_before("__lh", "__hat"), last_seen_before("__lb", "__brk")], hot)
     d = d if hot is None else cut(d)
     chain = F.col("__pair") & F.col("__lh").isNotNull() & (F.col("__lh.type") != "experience") & (
         F.col("__lb").isNull() | (F.col("__lb") < F.col("__lh.at")))
     d = d.withColumn("is_heading", F.col("__h0") | F.coalesce(chain, F.lit(False)))
-    d = d.withColumn("__head", F.when(F.col("is_heading"), F.struct(F.col("__s").alias("heading"), F.coalesce("__type", F.lit("other")).alias("type"))))
+    d = d.withColumn("__head", F.when(F.col("is_heading"), F.struct(t.strip_plain(line).alias("heading"), F.coalesce("__type", F.lit("other")).alias("type"))))
     d = ordered_scan(d, [doc], [order], _blocks(order), [
         running_sum("section_no", F.col("is_heading").cast("long")), last_seen("__cur", "__head")], hot)
     return d.select(
@@ -146,10 +148,10 @@ def segment_roles(segmented: DataFrame, doc: str = "doc_id", order: str = "line_
     return d.select(doc, "section_no", order, "role", label.alias("label"), text.alias("text"))
 
 
-def _mask(words: Sequence[str], c: Column) -> Column:
-    """Bit set of the listed words present in a line."""
+def _mask(words: Sequence[str], of_line: Column) -> Column:
+    """Bit set of the listed words among those of a line."""
     bits = F.create_map(*[x for i, w in enumerate(words) for x in (F.lit(w), F.lit(1 << i).cast("long"))])
-    hit = F.filter(t.words(F.lower(c)), lambda w: w.isin(*words))
+    hit = F.filter(of_line, lambda w: w.isin(*words))
     return F.aggregate(hit, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseOR(F.try_element_at(bits, w)))
 
 
@@ -157,11 +159,16 @@ def section_features(lines: DataFrame, keys: Sequence[str], line: str = "line")
     """Counts and densities of a section's lines; distinct keywords as bit sets, so all parts merge."""
     c = F.col(line)
     n = F.length(c)
-    years = F.regexp_count(c, F.lit(L.YEAR_IN_TEXT))
-    marks = F.regexp_count(c, F.lit("[|–—]")) + F.size(F.filter(t.words(c), lambda w: w == "at"))
-    d = lines.select(*keys, n.alias("n"), c.rlike(r"^\s*[-•·▪▸]\s").alias("b"), years.alias("y"), marks.alias("m"),
-                     F.regexp_count(c, F.lit(",")).alias("c"), F.regexp_count(c, F.lit(";")).alias("sc"),
-                     _mask(L.EDUCATION_KEYWORDS, c).alias("e"), _mask(L.TECH_KEYWORDS, c).alias("k"))
+    # Patterns are sought only where their fixed signs are.
+    years = F.when(c.contains("19") | c.contains("20"), F.regexp_count(c, F.lit(L.YEAR_IN_TEXT))).when(c.isNotNull(), 0)
+    at = F.when(c.contains("at"), F.size(F.filter(t.words(c), lambda w: w == "at"))).otherwise(0)
+    signs = lambda x: n - F.length(F.replace(c, F.lit(x), F.lit("")))
+    marks = F.regexp_count(c, F.lit("[|–—]")) + at
+    known = F.filter(t.words(F.lower(c)), lambda w: w.isin(*L.EDUCATION_KEYWORDS, *L.TECH_KEYWORDS))
+    d = lines.select(*keys, c.alias(line), known.alias("__words"))
+    d = d.select(*keys, n.alias("n"), c.rlike(r"^\s*[-•·▪▸]\s").alias("b"), years.alias("y"), marks.alias("m"),
+                 signs(",").alias("c"), signs(";").alias("sc"),
+                 _mask(L.EDUCATION_KEYWORDS, F.col("__words")).alias("e"), _mask(L.TECH_KEYWORDS, F.col("__words")).alias("k"))
     g = d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("num_lines"), F.sum("n").alias("char_count"), F.count_if("b").alias("bullet_count"), F.sum("y").alias("date_count"),
         F.sum("m").alias("role_marker_count"), F.bit_count(F.bit_or("e")).alias("education_kw_count"), F.bit_count(F.bit_or("k")).alias("tech_kw_count"),
@@ -211,13 +218,18 @@ def coherence_scores(src: DataFrame, out: DataFrame, doc: str = "doc_id", kind:
     Both sides are line tables with (doc, section_type, line), headings left out.
     """
     feat = coherence(section_features(out, [doc, kind], line), kind)
-    tagged = src.select(doc, kind, F.col(line).alias("s"), F.lit("").alias("o")).unionByName(out.select(doc, kind, F.lit("").alias("s"), F.col(line).alias("o")))
-    n = token_counts(tagged, [doc, kind], {"a": "s", "b": "o"}, "^[a-zA-Z]{6,}$")
+    words = lambda df, side: df.select(doc, kind, F.lit(side).alias("side"), F.explode(t.letter_words(F.col(line), 6)).alias("w")).withColumn("w", F.lower("w"))
+    of = lambda side: F.count_if(F.col("side") == side)
+    n = words(out, 1).unionByName(words(src, 0)).groupBy(doc, kind, "w").agg(of(0).alias("a"), of(1).alias("b"))
     over = n.groupBy(doc, kind).agg(F.sum(F.least("a", "b")).alias("m"), F.sum("a").alias("t"))
     sl = src.groupBy(doc, kind).agg(F.count(F.lit(1)).alias("src_lines"))
-    j = feat.join(over, [doc, kind], "left").join(sl, [doc, kind], "left")
-    overlap = F.coalesce(F.col("m") / F.nullif("t", F.lit(0)), F.lit(0.0))
-    stale = (overlap >= 0.70) & (F.coalesce("src_lines", F.lit(0)) >= 2) & (F.col("num_lines") >= 2) & ~F.col(kind).isin(*VERBATIM_TYPES)
+    # Put side by side by one more grouping, so that lines which lie by the document are never moved.
+    values = {"num_lines": "long", "coherence": "double", "m": "long", "t": "long", "src_lines": "long"}
+    wide = lambda df: df.select(doc, kind, *[F.col(c) if c in df.columns else F.lit(None).cast(k).alias(c) for c, k in values.items()])
+    j = wide(feat).unionByName(wide(over)).unionByName(wide(sl)).groupBy(doc, kind).agg(*[F.max(c).alias(c) for c in values]).filter("num_lines IS NOT NULL")
+    met = F.col(doc).isNotNull() & F.col(kind).isNotNull()  # null meets nothing
+    overlap = F.coalesce(F.when(met, F.col("m") / F.nullif("t", F.lit(0))), F.lit(0.0))
+    stale = (overlap >= 0.70) & met & (F.coalesce("src_lines", F.lit(0)) >= 2) & (F.col("num_lines") >= 2) & ~F.col(kind).isin(*VERBATIM_TYPES)
     return j.select(doc, kind, "num_lines", "coherence", F.round(overlap, 9).alias("stale_overlap"), stale.alias("stale"))
 
 

@@ -6,7 +6,7 @@ balanced when one key holds a large share of the rows.
 """
 
 from quire.plans.joins import lookup_join, rule_table
-from quire.plans.lineage import cut
+from quire.plans.lineage import cut, cut_laid
 from quire.plans.quantile import grouped_median
 from quire.plans.scan import (
     COUNT,
@@ -23,7 +23,7 @@ from quire.plans.scan import (
 )
 
 __all__ = [
-    "COUNT", "cut", "grouped_median", "hot_keys", "lag1", "last_seen", "last_seen_before",
+    "COUNT", "cut", "cut_laid", "grouped_median", "hot_keys", "lag1", "last_seen", "last_seen_before",
     "lead1", "lookup_join", "next_seen_after", "ordered_scan", "rank_in", "rule_table",
     "running_min", "running_sum",
 ]
