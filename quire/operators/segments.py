@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import lexicons as L
 from quire.functions import text as t
 from quire.operators.evals import clamp
-from quire.operators.pairs import content_tokens
+from quire.operators.pairs import OVERLAP_STOP_WORDS, content_words
 from quire.operators.texts import classify_heading, paragraph_hints
 from quire.plans import (
     COUNT, cut, hot_keys, last_seen, last_seen_before, lead1, ordered_scan, rank_in, running_sum,
@@ -348,40 +349,65 @@ def injection_score(target: DataFrame, rendered: DataFrame, template: DataFrame,
     experience, skills or null.  Vocabularies are (doc, section, word) rows with
     the sides they occur on; no document is held as one text.
     """
-    # One bit a side: target, rendered, template.  A word of a section meets its sides in one aggregate, and its other sections in the next.
+    # One bit a side: target, rendered, template.  A word of a document has one number with the three bits of each of its
+    # sections: first those without a name, then those with a floor.  A section of another name has none, so its words count
+    # for the document as if without a name, and once more by themselves.  The document has a name of its own in all sides, as
+    # Spark knows that a union's sides lie alike only where their columns come from no view.
     target_bit, rendered_bit, template_bit = 1, 2, 4
-    words = lambda df, bit: df.select(doc, "section", F.explode(content_tokens(F.col(line))).alias("w"), F.lit(bit).alias("bits"))
+    named = list(INJECTION_FLOORS)
+    place = F.lit(0)
+    for k, name in enumerate(named, 1):
+        place = F.when(F.col("section") == name, 3 * k).otherwise(place)
+    other = F.col("section").isNotNull() & ~F.col("section").isin(*named)
+    once = F.array(F.struct(F.lit(None).cast("string").alias("other"), F.coalesce(place, F.lit(0)).alias("place")))
+    copies = F.when(other, F.concat(once, F.array(F.struct(F.col("section").alias("other"), F.lit(0).alias("place"))))).otherwise(once)
+
+    def words(df: DataFrame, bit: int) -> DataFrame:
+        d = df.select(F.col(doc).alias("__doc"), line, F.explode(copies).alias("x"))
+        d = d.select("__doc", "x.other", F.lit(bit).alias("bit"), "x.place", F.explode(content_words(F.col(line))).alias("w"))
+        return d.filter(~F.col("w").isin(*OVERLAP_STOP_WORDS)).select("__doc", "other", "w", F.expr("shiftleft(bit, place)").alias("bits"))
+
     sides = (
-        words(target.filter("section IS NOT NULL"), target_bit).unionByName(words(rendered, rendered_bit))
+        words(rendered, rendered_bit).unionByName(words(target.filter("section IS NOT NULL"), target_bit))
         .unionByName(words(template.filter("section IS NOT NULL"), template_bit))
     )
-    by_section = sides.groupBy(doc, "section", "w").agg(F.bit_or("bits").alias("bits"))
-    by_word = by_section.groupBy(doc, "w").agg(F.collect_list(F.struct("section", "bits")).alias("at"), F.bit_or("bits").alias("any"))
-    # Every word counts once for each of its sections and once, without a section, for the document.
-    level = lambda of_doc, section, bits: F.struct(F.lit(of_doc).alias("of_doc"), section.alias("section"), bits.alias("bits"))
-    counted = F.concat(
-        F.transform(F.filter("at", lambda x: x["section"].isNotNull()), lambda x: level(False, x["section"], x["bits"])),
-        F.array(level(True, F.lit(None).cast("string"), F.col("any"))),
+    by_word = sides.groupBy("__doc", "other", "w").agg(F.bit_or("bits").alias("bits"))
+    in_place = lambda k: F.shiftright("bits", 3 * k)
+    anywhere = reduce(lambda a, b: a.bitwiseOR(b), [in_place(k) for k in range(len(named) + 1)])
+    by_word = by_word.withColumn("any", anywhere)
+    on = lambda c, *bits: c.bitwiseAND(F.lit(sum(bits))) == sum(bits)
+
+    def counts(k: int) -> list[Column]:
+        x = in_place(k)
+        return [c.alias(f"{n}{k}") for n, c in {
+            "n": F.count_if(on(x, target_bit)), "r": F.count_if(on(x, target_bit, rendered_bit)),
+            "f": F.count_if(on(x, target_bit) & on(F.col("any"), rendered_bit)), "i": F.count_if(on(x, rendered_bit, template_bit)),
+            "u": F.count_if(on(x, rendered_bit) | on(x, template_bit)), "na": F.count_if(on(x, rendered_bit)), "nb": F.count_if(on(x, template_bit)),
+        }.items()]
+
+    def failed(k: int, floor: float, bare: float) -> Column:
+        c = lambda n: F.col(f"{n}{k}")
+        has, r, f = c("na") > 0, c("r") / F.greatest(c("n"), F.lit(1)), c("f") / F.greatest(c("n"), F.lit(1))
+        low = F.when(has, r < floor).otherwise(f < bare)
+        unchanged = has & (c("nb") > 0) & (c("i") / F.greatest(c("u"), F.lit(1)) >= 0.95) & (r < 0.80)
+        return F.when((c("n") > 0) & (low | unchanged), 1).otherwise(0)
+
+    j = by_word.groupBy("__doc", "other").agg(
+        F.count_if(on(F.col("any"), target_bit)).alias("words"), F.count_if(on(F.col("any"), target_bit, rendered_bit)).alias("found"),
+        *[c for k in range(len(named) + 1) for c in counts(k)],
     )
-    on = lambda c, *bits: (F.col(c).bitwiseAND(F.lit(sum(bits))) == sum(bits))
-    j = by_word.select(doc, "any", F.explode(counted).alias("x")).select(doc, "any", "x.*").groupBy(doc, "of_doc", "section").agg(
-        F.count_if(on("bits", target_bit)).alias("n"), F.count_if(on("bits", target_bit, rendered_bit)).alias("r"),
-        F.count_if(on("bits", target_bit) & on("any", rendered_bit)).alias("f"), F.count_if(on("bits", rendered_bit, template_bit)).alias("i"),
-        F.count_if(on("bits", rendered_bit) | on("bits", template_bit)).alias("u"), F.count_if(on("bits", rendered_bit)).alias("na"), F.count_if(on("bits", template_bit)).alias("nb"),
-    ).filter("n > 0")
-    floor = F.lit(0.0)
-    for name, v in INJECTION_FLOORS.items():
-        floor = F.when(F.col("section") == name, v).otherwise(floor)
-    has = F.col("na") > 0
-    r, f = F.col("r") / F.col("n"), F.col("f") / F.col("n")
-    low = F.when(has, r < floor).otherwise(f < F.when(F.col("section") == "summary", 0.95).otherwise(floor))
-    unchanged = has & (F.col("nb") > 0) & (F.col("i") / F.greatest(F.col("u"), F.lit(1)) >= 0.95) & (r < 0.80)
-    found = j.groupBy(doc).agg(
-        F.max(F.when(F.col("of_doc"), F.col("n"))).alias("words"), F.max(F.when(F.col("of_doc"), F.col("r"))).alias("found"),
-        F.count_if(~F.col("of_doc") & (low | unchanged)).alias("failed_sections"),
+    of_named = reduce(lambda a, b: a + b, [failed(k, v, 0.95 if name == "summary" else v) for k, (name, v) in enumerate(INJECTION_FLOORS.items(), 1)])
+    of_doc = F.col("other").isNull()
+    found = j.groupBy("__doc").agg(
+        F.nullif(F.max(F.when(of_doc, F.col("words"))), F.lit(0)).alias("words"), F.max(F.when(of_doc, F.col("found"))).alias("found"),
+        F.sum(F.when(of_doc, of_named).otherwise(failed(0, 0.0, 0.0))).alias("failed_sections"),
     )
-    text = rendered.groupBy(doc).agg(F.max(t.any_of(F.lower(line), L.PLACEHOLDERS)).alias("placeholder"), F.max(F.lower(line).contains("lorem ipsum")).alias("lorem"))
-    d = text.join(found, doc, "left")
+    text = rendered.select(F.col(doc).alias("__doc"), line).groupBy("__doc").agg(F.max(t.any_of(F.lower(line), L.PLACEHOLDERS)).alias("placeholder"), F.max(F.lower(line).contains("lorem ipsum")).alias("lorem"))
+    # Put side by side by one more grouping, so that lines which lie by the document are never moved; null meets nothing.
+    values = {"placeholder": "boolean", "lorem": "boolean", "words": "long", "found": "long", "failed_sections": "long"}
+    wide = lambda df: df.select("__doc", F.lit("lorem" in df.columns).alias("here"), *[F.col(c) if c in df.columns else F.lit(None).cast(k).alias(c) for c, k in values.items()])
+    d = wide(text).unionByName(wide(found)).groupBy("__doc").agg(F.max("here").alias("here"), *[F.max(c).alias(c) for c in values]).filter("here")
+    d = d.withColumnRenamed("__doc", doc).withColumns({c: F.when(F.col(doc).isNotNull(), F.col(c)) for c in ("words", "found", "failed_sections")})
     sim = F.coalesce(F.col("found") / F.col("words"), F.lit(0.0))
     cut_ = F.when(F.col("words").isNull() | (sim >= 0.80), 0).when(sim >= 0.50, 15).when(sim >= 0.25, 30).otherwise(50)
     hard = F.col("lorem") | (F.coalesce("failed_sections", F.lit(0)) > 0) | (F.col("words").isNotNull() & (sim < 0.10))

@@ -35,6 +35,29 @@ def test_coherence_of_laid_lines_moves_nothing(spark):
     assert any(r.stale_overlap == 1 for r in of(laid).collect()) and spark.conf.get("spark.sql.adaptive.enabled") == "true"
 
 
+def test_injection_score_of_laid_lines_moves_nothing(spark):
+    from quire.operators.segments import injection_score
+    from quire.plans import cut_laid
+
+    rows = table(spark, random.Random(2), 300)
+    laid = cut_laid(rows.repartition(3, "doc_id"))
+    of = lambda df: injection_score(df.filter("length(line) % 3 > 0"), df.filter("length(line) % 4 > 0"), df.filter("length(line) % 2 > 0"))
+    assert shuffles(of(laid)) == 0
+    same(of(laid), of(rows))
+
+
+def test_injection_score_counts_sections_of_other_names(spark):
+    from quire.operators.segments import injection_score
+
+    frame = lambda *rows: spark.createDataFrame(rows, "doc_id long, section string, line string")
+    target = frame((1, "education", "alpha bravo charlie delta"), (1, "skills", "kafka"), (2, "education", "alpha bravo"), (2, None, "unused"))
+    rendered = frame((1, "education", "foxtrot golfing"), (1, "skills", "kafka"), (2, "education", "alpha"), (2, "summary", "bravo"))
+    template = frame((1, "education", "foxtrot golfing"), (2, "education", "hotel"))
+    got = {r.doc_id: (round(r.recall, 6), r.failed_sections, r.hard) for r in injection_score(target, rendered, template).collect()}
+    # Document 1 still has the template's education section; in document 2 the words stand in other sections, for which there is no floor.
+    assert got == {1: (0.2, 1, True), 2: (1.0, 0, False)}
+
+
 def test_sections_take_one_sort_and_carry_the_text_once(spark):
     from quire.operators.segments import segment_sections
 
