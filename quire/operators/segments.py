@@ -105,8 +105,13 @@ def pre_section_prose(segmented: DataFrame, doc: str = "doc_id", order: str = "l
     """First long prose line before any heading, for documents without a summary section."""
     s = t.strip(F.col(line))
     prose = (F.length(s) >= 60) & s.contains(" ") & ~s.contains("@") & ~s.contains("://") & ~s.contains("|") & ~s.rlike("^[-•·–*0-9]")
-    has = segmented.filter(F.col("is_heading") & (F.col("section_type") == "summary")).select(doc).distinct()
-    return segmented.filter((F.col("section_no") == 0) & prose).groupBy(doc).agg(F.min_by(s, order).alias("prose")).join(has, doc, "left_anti")
+    early, has = (F.col("section_no") == 0) & prose, F.col("is_heading") & (F.col("section_type") == "summary")
+    d = segmented.filter(early | has).withColumn("__early", F.coalesce(early, F.lit(False)))
+    g = d.groupBy(doc).agg(
+        F.min_by(s, F.when(F.col("__early"), F.col(order))).alias("prose"), F.count_if("__early").alias("__n"), F.count_if(has).alias("__has"),
+    )
+    # The heading of a null document is no document's.
+    return g.filter((F.col("__n") > 0) & ((F.col("__has") == 0) | F.col(doc).isNull())).select(doc, "prose")
 
 
 def segment_roles(segmented: DataFrame, doc: str = "doc_id", order: str = "line_no", line: str = "line",

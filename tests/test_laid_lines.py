@@ -59,17 +59,20 @@ def test_injection_score_counts_sections_of_other_names(spark):
 
 
 def test_sections_take_one_sort_and_carry_the_text_once(spark):
-    from quire.operators.segments import segment_sections
+    from quire.operators.segments import pre_section_prose, segment_sections
 
     rows = [(d, i, x) for d in range(6) for i, x in enumerate(["Jane", "A long line of prose " * 4, "Skills", "x", ["Summary", "Awards"][d % 2]])]
     lines = spark.createDataFrame(rows, "doc_id long, line_no long, line string")
     segmented = segment_sections(lines, hot=None)
     plan = segmented._jdf.queryExecution().executedPlan().toString()
     assert plan.count("+- Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1
+    prose = pre_section_prose(segmented)
+    assert shuffles(prose) == 1
+    assert {r.doc_id for r in prose.collect()} == {1, 3, 5}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="supplied tables are not here")
-@pytest.mark.parametrize("query", ["w8_segment_sections", "w9_segment_roles", "a12_section_features", "j19_near_duplicate_lines", "j19_repeated_top_lines"])
+@pytest.mark.parametrize("query", ["w8_segment_sections", "w8_pre_section_prose", "w9_segment_roles", "a12_section_features", "j19_near_duplicate_lines", "j19_repeated_top_lines"])
 def test_line_queries_move_line_items_only(spark, query):
     from bindings import pairs_queries, segment_queries
 
