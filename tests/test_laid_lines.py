@@ -94,3 +94,50 @@ def test_resume_lines_of_equal_parts(spark, tmp_path):
     got, want = views.view(spark, sf, "v_resume_lines"), views._plain_view(spark, sf, "v_resume_lines")
     assert got.dtypes == want.dtypes
     same(got.select("doc_id", "line_no", "line"), want.select("doc_id", "line_no", "line"))
+
+
+def test_best_pairs_with_known_scores_equal_a_walk_over_all(spark):
+    from difflib import SequenceMatcher
+
+    from quire.operators.pairs import SIMILARITY, _held, _ratio, _reaches
+    from quire.plans.matching import best_pairs
+
+    rnd, scored = random.Random(3), []
+    parts = ["built alpha, ", "reduced cost", "- ", "led team", "ab" * 60, "lowered", "x", ""]
+    against = _ratio()
+
+    def counting(right):
+        f = against(right)
+        return lambda left: scored.append(1) or f(left)
+
+    pairs = 0
+    for _ in range(300):
+        sides = [[(i, "".join(rnd.choices(parts, k=rnd.randint(0, 4)))) for i in range(rnd.randint(0, 5))] for _ in range(2)]
+        edges = sorted((-SequenceMatcher(None, a, b).ratio(), -x, -y, i, j) for i, (x, a) in enumerate(sides[0]) for j, (y, b) in enumerate(sides[1]))
+        want, left, right = set(), set(), set()
+        for v, _, _, i, j in edges:
+            if -v >= SIMILARITY and i not in left and j not in right:
+                want.add((i, j))
+                left.add(i)
+                right.add(j)
+        assert set(best_pairs(*sides, counting, SIMILARITY, _held, _reaches)) == want
+        pairs += len(want)
+    assert len(scored) < pairs
+    scored.clear()
+    assert best_pairs([(1, "- built alpha, reduced")], [(1, "built alpha, lowered cost")], counting, SIMILARITY, _held, _reaches) == [(0, 0)] and not scored
+
+
+def test_experience_diff_of_laid_lines_moves_nothing(spark, hot, monkeypatch):
+    from quire.operators import pairs
+    from quire.plans import cut_laid
+
+    rnd = random.Random(4)
+    kinds = ["Acme | x", "Beta | y", *["- Built the thing fast", "- Built the thing faster", "- Led a team"] * 4, "Education", "", None, "Jan 2019"]
+    frame = lambda: spark.createDataFrame([(d, i, rnd.choice(kinds) if i else "Experience") for d in [None, *range(30)] for i in range(rnd.randint(0, 25))], "doc_id long, line_no long, line string")
+    a, b = frame(), frame()
+    laid = [cut_laid(x.repartition(3, "doc_id")) for x in (a, b)]
+    assert shuffles(pairs.experience_diff(*laid)) == 0 and pairs.experience_diff(*laid).count() > 10
+    same(pairs.experience_diff(*laid), pairs.experience_diff(a, b))
+    small = pairs.experience_diff(a, b)
+    monkeypatch.setattr(pairs, "GROUP_ROWS", 30)
+    same(pairs.experience_diff(*laid), small)
