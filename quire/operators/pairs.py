@@ -441,12 +441,14 @@ def near_duplicate_lines(
     Among lines with one opening it is enough to look back to the latest line
     with another text, so each opening is scanned once instead of paired.
     """
-    s = t.strip(F.col(line))
+    # Exploded, so that a text which the lines still have to make is made once and not for each of the conditions.
+    d = lines.filter(F.col(y) <= zone).select(doc, F.col(order).alias("__i"), F.col(y).alias("__y"), F.explode(F.array(t.strip(F.col(line)))).alias("__s"))
+    s = F.col("__s")
     first = F.regexp_replace(F.lower(F.split(s, r"\s+")[0]), "[.,;:]+$", "")
-    keep = (F.length(s) >= min_len) & (F.size(F.split(s, r"\s+")) >= 4) & ~s.rlike(r"^[A-Z\s:./()|-]{5,}$") & (F.col(y) <= zone)
+    keep = (F.length(s) >= min_len) & (F.size(F.split(s, r"\s+")) >= 4) & ~s.rlike(r"^[A-Z\s:./()|-]{5,}$")
     if skip_verbs:
         keep = keep & ~first.isin(*L.ACTION_VERBS)
-    d = lines.filter(keep).select(doc, F.col(order).alias("__i"), F.lower(s).alias("__t"), F.col(y).alias("__y"))
+    d = d.filter(keep).select(doc, "__i", F.lower(s).alias("__t"), "__y")
     d = d.withColumn("prefix", F.left("__t", F.lit(prefix)))
 
     # Counted on whole documents, so that both scans of all openings and of the long lines know their hot keys beforehand.
